@@ -10,6 +10,11 @@ def _int(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, use) -> Column:
+    """Name an intermediate value so that it is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def indices(n: Column) -> Column:
     """0 .. n-1; empty when n is 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -105,21 +110,26 @@ def fair_lengths(lengths: Column, budget: Column) -> Column:
     All lengths are cut to the highest common ceiling that fits; tokens left over go one each
     to the originally longest entries, earlier ones first on a tie.
     """
-    budget = F.greatest(budget.cast("int"), F.lit(0))
-
     def used(c):
         return F.aggregate(lengths, F.lit(0), lambda acc, n: acc + F.least(n, c))
 
-    ceilings = indices(F.least(F.array_max(lengths), budget) + 1)
-    cap = F.array_max(F.filter(ceilings, lambda c: used(c) <= budget))
-    spare = budget - used(cap)
+    def with_budget(room):
+        ceilings = indices(F.least(F.array_max(lengths), room) + 1)
+        cap = F.array_max(F.filter(ceilings, lambda c: used(c) <= room))
+        return let(cap, lambda c: let(room - used(c), lambda spare: deal(c, spare)))
 
-    def one(n, i):
+    def deal(cap, spare):
         ranked = F.transform(lengths, lambda m, j: F.struct(m.alias("m"), j.alias("j")))
-        ahead = F.size(F.filter(ranked, lambda s: (s["m"] > n) | ((s["m"] == n) & (s["j"] < i))))
-        return F.when(n <= cap, n).otherwise(cap + F.when(ahead < spare, 1).otherwise(0))
 
-    return F.when(used(F.lit(2**31 - 1)) <= budget, lengths).otherwise(F.transform(lengths, one))
+        def one(n, i):
+            ahead = F.size(F.filter(ranked, lambda s: (s["m"] > n) | ((s["m"] == n) & (s["j"] < i))))
+            return F.when(n <= cap, n).otherwise(cap + F.when(ahead < spare, 1).otherwise(0))
+
+        return F.transform(lengths, one)
+
+    room = F.greatest(budget.cast("int"), F.lit(0))
+    fits = F.aggregate(lengths, F.lit(0), lambda acc, n: acc + n) <= room
+    return F.when(fits, lengths).otherwise(let(room, with_budget))
 
 
 def cut_to(sentences: Column, lengths: Column) -> Column:
