@@ -13,48 +13,44 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import text as tx
 
-# Fixed values: (pattern, replacement), applied in this order.
+# Fixed values: (pattern, replacement), applied in this order. Each group has a guard: texts
+# without any of its characters skip the group.
 PUNCTUATION_RULES = (
-    (r"\r", ""),
-    (r"\(", " ("),
-    (r"\)", ") "),
-    (r" +", " "),
-    (r"\) ([.!:?;,])", ")$1"),
-    (r"\( ", "("),
-    (r" \)", ")"),
-    (r"(\p{Nd}) %", "$1%"),
-    (r" :", ":"),
-    (r" ;", ";"),
-    (r"[„“”]", '"'),
-    (r"–", "-"),
-    (r"—", " - "),
-    (r" +", " "),
-    (r"[´‘‚’]", "'"),
-    (r"''", '"'),
-    (r"…", "..."),
-    (r"\u00a0?«\u00a0?", '"'),
-    (r"\u00a0?»\u00a0?", '"'),
-    (r"\u00a0(?=[%:?!;])", ""),
-    (r"nº\u00a0", "nº "),
-    (r"\u00a0(?=ºC|cm)", " "),
-    (r",\u00a0", ", "),
-    (r" +", " "),
-    (r'"([,.]+)', '$1"'),
-    (r"(\p{Nd})\u00a0(\p{Nd})", "$1.$2"),
+    (r"[\r()]| {2}", (
+        (r"\r", ""), (r"\(", " ("), (r"\)", ") "), (r" +", " "),
+        (r"\) ([.!:?;,])", ")$1"), (r"\( ", "("), (r" \)", ")"),
+    )),
+    (r" [%:;]", ((r"(\p{Nd}) %", "$1%"), (r" :", ":"), (r" ;", ";"))),
+    (r"[„“”–—´‘‚’…«»º\u00a0]", (
+        (r"[„“”]", '"'), (r"–", "-"), (r"—", " - "), (r" +", " "), (r"[´‘‚’]", "'"),
+        (r"''", '"'), (r"…", "..."), (r"\u00a0?«\u00a0?", '"'), (r"\u00a0?»\u00a0?", '"'),
+        (r"\u00a0(?=[%:?!;])", ""), (r"nº\u00a0", "nº "), (r"\u00a0(?=ºC|cm)", " "),
+        (r",\u00a0", ", "), (r" +", " "),
+    )),
+    (r"''", ((r"''", '"'),)),
+    (r"\"[,.]", ((r'"([,.]+)', '$1"'),)),
+    (r"\u00a0", ((r"(\p{Nd})\u00a0(\p{Nd})", "$1.$2"),)),
 )
 
 
-def normalise_punctuation(t: Column) -> Column:
+def punctuation_steps() -> list:
     """English punctuation normalisation without the treebank-only rules."""
-    for pattern, new in PUNCTUATION_RULES:
-        t = F.regexp_replace(t, pattern, new)
-    return tx.strip(t)
+    def group(guard, rules):
+        def step(t: Column) -> Column:
+            new = t
+            for pattern, replacement in rules:
+                new = F.regexp_replace(new, pattern, replacement)
+            return F.when(t.rlike(guard), new).otherwise(t)
+
+        return step
+
+    return [*(group(g, r) for g, r in PUNCTUATION_RULES), tx.strip]
 
 
 # Latin ligatures and digraphs with their spelled-out forms.
@@ -113,68 +109,77 @@ def _reread(match: re.Match) -> str:
 
 
 @F.pandas_udf(StringType())
-def _decode_again(s: pd.Series) -> pd.Series:
-    entity, misread = re.compile(_ENTITY), re.compile(_MISREAD)
+def _reread_text(s: pd.Series) -> pd.Series:
+    entity, misread, kana = re.compile(_ENTITY), re.compile(_MISREAD), re.compile("[･-ﾟ]+")
 
     def one(t):
-        if t is None:
-            return None
         if "<" not in t:
             t = entity.sub(lambda m: html.unescape(m.group()), t)
-        return misread.sub(_reread, t)
+        t = misread.sub(_reread, t)
+        # Half-width kana first, so that a voiced mark can join its letter.
+        t = kana.sub(lambda m: unicodedata.normalize("NFKC", m.group()), t)
+        return unicodedata.normalize("NFC", t)
 
     return s.map(one, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def _compose(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
 def _only_where(trigger: Column, t: Column, fn) -> Column:
     """Send a row to an Arrow function only when it shows the trigger; others pass a null."""
     return F.coalesce(fn(F.when(trigger, t)), t)
 
 
-def unify_characters(t: Column) -> Column:
-    """The part of the repair that needs no Python."""
-    t = F.translate(t, *_C1)
-    t = F.when(
-        t.rlike("[" + "".join(a for a, _ in LIGATURES) + "]"),
-        F.aggregate(
-            F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LIGATURES]),
-            t,
-            lambda acc, p: F.replace(acc, p["a"], p["b"]),
-        ),
-    ).otherwise(t)
-    t = F.when(t.rlike(r"[\u3000！-\uffef]"), F.translate(t, *_WIDTH)).otherwise(t)
+def _modern_controls(t: Column) -> Column:
+    return F.when(t.rlike(r"[\x80-\x9f]"), F.translate(t, *_C1)).otherwise(t)
+
+
+def _spell_ligatures(t: Column) -> Column:
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LIGATURES])
+    spelled = F.aggregate(pairs, t, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+    return F.when(t.rlike("[" + "".join(a for a, _ in LIGATURES) + "]"), spelled).otherwise(t)
+
+
+def _ordinary_width(t: Column) -> Column:
+    return F.when(t.rlike(r"[\u3000！-\uffef]"), F.translate(t, *_WIDTH)).otherwise(t)
+
+
+def _plain_marks(t: Column) -> Column:
+    """Straight quotes, one kind of line break, no terminal codes, no control characters."""
     t = F.regexp_replace(t, r"[ʼ‘-‛]", "'")
     t = F.regexp_replace(t, r"[“-‟]", '"')
     t = F.regexp_replace(t, r"\r\n|[\r\u2028\u2029\x85]", "\n")
     t = F.regexp_replace(t, r"\x1b\[[\p{Nd};]*[a-zA-Z]", "")
-    return F.regexp_replace(
-        t, r"[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]", ""
-    )
+    return F.regexp_replace(t, r"[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]", "")
+
+
+def _reread_where_needed(t: Column) -> Column:
+    return _only_where(t.rlike(rf"{_ENTITY}|{_MISREAD}|[･-ﾟ]|{_COMPOSABLE}"), t, _reread_text)
 
 
-def repair_unicode(t: Column, arrow: bool = True) -> Column:
-    """Entities, mis-decoded UTF-8, ligatures, width, quotes, line breaks, controls, composition.
+def repair_steps(arrow: bool = True) -> list:
+    """Entities, mis-decoded UTF-8, composition, ligatures, width, quotes, line breaks, controls.
 
-    ``arrow=False`` leaves out the three steps that need Python.
+    ``arrow=False`` leaves out the first three, which need Python.
     """
-    if arrow:
-        t = _only_where(t.rlike(f"{_ENTITY}|{_MISREAD}"), t, _decode_again)
-    t = unify_characters(t)
-    if arrow:
-        t = _only_where(t.rlike(_COMPOSABLE), t, _compose)
-    return t
+    plain = [_modern_controls, _spell_ligatures, _ordinary_width, _plain_marks]
+    return [_reread_where_needed, *plain] if arrow else plain
 
 
-def clean(t: Column, minimal: bool = False, arrow: bool = True) -> Column:
+def clean_steps(minimal: bool = False, arrow: bool = True) -> list:
     """The cleaning chain of a corpus line; ``minimal`` only repairs characters."""
-    if not minimal:
-        t = tx.space_punctuation(t)
-        t = tx.attach_clitics(t)
-        t = tx.pair_double_quotes(t)
-        t = normalise_punctuation(t)
-    return tx.strip(repair_unicode(t, arrow))
+    spacing = [tx.space_punctuation, tx.attach_clitics, tx.pair_double_quotes, *punctuation_steps()]
+    return [*([] if minimal else spacing), *repair_steps(arrow), tx.strip]
+
+
+def apply_steps(df: DataFrame, steps: list, column: str = "text") -> DataFrame:
+    """Run Column functions one after another, each as its own projection.
+
+    A step mentions its input several times; chained inside one expression every mention would
+    repeat all steps before it.
+    """
+    for step in steps:
+        df = df.withColumn(column, step(F.col(column)))
+    return df
+
+
+def clean(df: DataFrame, column: str = "text", minimal: bool = False, arrow: bool = True) -> DataFrame:
+    return apply_steps(df, clean_steps(minimal, arrow), column)

@@ -59,26 +59,19 @@ def scan(
     before   sum of ``add`` over earlier lines
     total    sum of ``add`` over the whole key
     """
-    items = df
-    feats = []
+    feats = {}
     if back is not None:
-        items = items.withColumn("_tail", F.array(F.struct(back.alias("v"))))
-        feats.append("tail")
+        feats["tail"] = F.array(F.struct(back.alias("v")))
     if ahead is not None:
-        items = items.withColumn("_head", F.struct(ahead.alias("v")))
-        feats.append("head")
+        feats["head"] = F.struct(ahead.alias("v"))
     if carry is not None:
-        items = items.withColumn("_last", carry)
-        feats.append("last")
+        feats["last"] = carry
     if add is not None:
-        items = items.withColumn("_sum", add.cast("bigint"))
-        feats.append("sum")
-    out = _level(items, order.keys, order.major, order.minor, order.shifts, feats, depth)
-    return out.drop(*[f"_{f}" for f in feats])
+        feats["sum"] = add.cast("bigint")
+    return _level(df, order.keys, order.major, order.minor, order.shifts, feats, depth)
 
 
-def _window_columns(rows: DataFrame, parts: list[str], by: list[str], feats, depth: int) -> DataFrame:
-    w = Window.partitionBy(*parts).orderBy(*by)
+def _window_columns(rows: DataFrame, w, feats, depth: int) -> DataFrame:
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     new = {}
     if "tail" in feats:
@@ -96,44 +89,52 @@ def _window_columns(rows: DataFrame, parts: list[str], by: list[str], feats, dep
 
 def _level(rows, keys, major, minor, shifts, feats, depth) -> DataFrame:
     by = [major, *minor]
+    scratch = [f"_{f}" for f in feats]
     if not shifts:
-        out = _window_columns(rows, list(keys), by, feats, depth)
+        w = Window.partitionBy(*keys)
+        out = _window_columns(rows.withColumns({f"_{f}": c for f, c in feats.items()}), w.orderBy(*by), feats, depth)
         if "sum" in feats:
-            out = out.withColumn("total", F.sum("_sum").over(Window.partitionBy(*keys)))
-        return out
-
-    bucket = f"_b{len(shifts)}"
-    parts = [*keys, bucket]
-    rows = rows.withColumn(bucket, F.shiftright(F.col(major).cast("bigint"), shifts[0]))
-    rows = _window_columns(rows, parts, by, feats, depth)
-    w = Window.partitionBy(*parts).orderBy(*by)
+            out = out.withColumn("total", F.sum("_sum").over(w))
+        return out.drop(*scratch)
+
+    # Keys and range travel as one struct. A struct is never null, so the join below adds no
+    # filter of its own, and the summary reads the very exchange the rows come from.
+    part = f"_part{len(shifts)}"
+    bucket = f"_range{len(shifts)}"
+    columns = rows.columns
+    rest = [c for c in columns if c not in keys]
+    at = F.shiftright(F.col(major).cast("bigint"), shifts[0]).alias(bucket)
+    rows = rows.select(F.struct(*keys, at).alias(part), *rest).repartition(part)
+    rows = rows.withColumns({f"_{f}": c for f, c in feats.items()})
+    w = Window.partitionBy(part).orderBy(*by)
+    rows = _window_columns(rows, w, feats, depth)
     edges = rows.withColumns({
         "_first": F.lag(F.lit(True)).over(w).isNull(),
         "_end": F.lead(F.lit(True)).over(w).isNull(),
     }).where("_first or _end")
 
-    def at(flag, value):
+    def edge(flag, value):
         return F.first(F.when(F.col(flag), value), ignorenulls=True)
 
     aggs, carried = [], []
     if "tail" in feats:
-        aggs.append(at("_end", F.slice(F.concat("_tail", "prev"), 1, depth)).alias("_tail"))
+        aggs.append(edge("_end", F.slice(F.concat("_tail", "prev"), 1, depth)).alias("_tail"))
         carried.append("prev")
     if "head" in feats:
-        aggs.append(at("_first", F.col("_head")).alias("_head"))
+        aggs.append(edge("_first", F.col("_head")).alias("_head"))
         carried.append("next")
     if "last" in feats:
-        aggs.append(at("_end", F.coalesce("_last", "carried")).alias("_last"))
+        aggs.append(edge("_end", F.coalesce("_last", "carried")).alias("_last"))
         carried.append("carried")
     if "sum" in feats:
-        aggs.append(at("_end", F.col("before") + F.col("_sum")).alias("_sum"))
+        aggs.append(edge("_end", F.col("before") + F.col("_sum")).alias("_sum"))
         carried += ["before", "total"]
-    summary = edges.groupBy(*parts).agg(*aggs)
+    summary = edges.groupBy(part).agg(*aggs).select(part, f"{part}.*", *scratch)
     narrower = tuple(s - shifts[0] for s in shifts[1:])
-    above = _level(summary, keys, bucket, (), narrower, feats, depth)
-    above = above.select(*parts, *[F.col(c).alias(f"_up_{c}") for c in carried])
+    above = _level(summary, keys, bucket, (), narrower, {f: F.col(f"_{f}") for f in feats}, depth)
+    above = above.select(part, *[F.col(c).alias(f"_up_{c}") for c in carried])
 
-    rows = rows.join(above, parts, "left")
+    rows = rows.join(above, part, "left")
     joined = {}
     if "tail" in feats:
         joined["prev"] = F.slice(F.concat("prev", "_up_prev"), 1, depth)
@@ -144,7 +145,8 @@ def _level(rows, keys, major, minor, shifts, feats, depth) -> DataFrame:
     if "sum" in feats:
         joined["before"] = F.col("before") + F.col("_up_before")
         joined["total"] = F.col("_up_total")
-    return rows.withColumns(joined).drop(bucket, *[f"_up_{c}" for c in carried])
+    rows = rows.withColumns(joined)
+    return rows.select(*[F.col(f"{part}.{c}").alias(c) if c in keys else F.col(c) for c in columns], *carried)
 
 
 def dense_index(df: DataFrame, order: LineOrder, name: str = "line_no") -> DataFrame:

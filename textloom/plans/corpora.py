@@ -12,67 +12,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.functions.repair import clean
+from textloom.functions.repair import apply_steps, clean_steps
 from textloom.operators import lines as ln
 from textloom.operators.ordered import FILE_LINES, LineOrder
 
 
-def _with_text(df: DataFrame, text) -> DataFrame:
-    return df.withColumn("text", text)
+def _t():
+    return F.col("text")
+
+
+def _text(df: DataFrame, *steps) -> DataFrame:
+    return apply_steps(df, list(steps))
+
+
+def _unless_blank(fn):
+    return lambda t: F.when(t == "", "").otherwise(fn(t))
 
 
 def child_speech(df: DataFrame, order: LineOrder = FILE_LINES, arrow: bool = True) -> DataFrame:
     """Transcribed child speech: capitalised, cleaned, quoted, repeats dropped; blank lines go."""
-    df = _with_text(df, tx.strip(F.col("text"))).where(tx.not_blank(F.col("text")))
-    df = _with_text(df, tx.quote(clean(tx.capitalise_first(F.col("text")), arrow=arrow)))
+    df = _text(df, tx.strip).where(tx.not_blank(_t()))
+    df = _text(df, tx.capitalise_first, *clean_steps(arrow=arrow), tx.quote)
     return ln.drop_repeats(df, order)
 
 
 def spoken_dialogue(df: DataFrame, order: LineOrder = FILE_LINES, arrow: bool = True) -> DataFrame:
     """Spoken conversation: lone punctuation goes, blanks stay and reset repeats."""
-    df = _with_text(df, tx.strip(F.col("text"))).where(tx.not_lone_punctuation(F.col("text")))
-    t = F.col("text")
-    df = _with_text(df, F.when(t == "", "").otherwise(tx.quote(clean(tx.capitalise_first(t), arrow=arrow))))
+    df = _text(df, tx.strip).where(tx.not_lone_punctuation(_t())).withColumn("blank", _t() == "")
+    df = _text(df, tx.capitalise_first, *clean_steps(arrow=arrow))
+    df = df.withColumn("text", F.when(F.col("blank"), "").otherwise(tx.quote(_t()))).drop("blank")
     return ln.drop_repeats_keep_blanks(df, order)
 
 
 def treebank_stories(df: DataFrame, order: LineOrder = FILE_LINES, arrow: bool = True) -> DataFrame:
     """Treebank-escaped stories: brackets and quotes restored, no line is dropped."""
-    t = tx.unescape_treebank(tx.strip(F.col("text")))
-    return _with_text(df, clean(t, arrow=arrow))
+    return _text(df, tx.strip, tx.unescape_treebank, *clean_steps(arrow=arrow))
 
 
 def indented_stories(df: DataFrame, order: LineOrder = FILE_LINES, arrow: bool = True) -> DataFrame:
     """Stories with indented paragraphs: tab marks, blanks only after longer paragraphs."""
-    t = F.col("text")
-    df = _with_text(df, F.when(tx.strip(t) == "", "").otherwise(clean(tx.mark_indent(t), True, arrow)))
+    marked = F.when(tx.strip(_t()) == "", "").otherwise(tx.mark_indent(_t()))
+    df = _text(df.withColumn("text", marked), *clean_steps(True, arrow))
     return ln.keep_paragraph_gaps(df, order)
 
 
 def wrapped_books(df: DataFrame, order: LineOrder = FILE_LINES, arrow: bool = True, flush_tail: bool = False) -> DataFrame:
     """Hard-wrapped books: paragraphs become one line each."""
-    df = _with_text(df, clean(tx.collapse_blanks(F.col("text")), True, arrow))
+    df = _text(df, tx.collapse_blanks, *clean_steps(True, arrow))
     return ln.reflow_paragraphs(df, order, flush_tail)
 
 
 def subtitles(df: DataFrame, order: LineOrder = FILE_LINES, arrow: bool = True) -> DataFrame:
     """Subtitles: dashes off after cleaning, lines quoted, repeats and blank runs dropped."""
-    t = tx.strip_dash(clean(tx.collapse_blanks(F.col("text")), True, arrow))
-    df = _with_text(df, t)
-    df = _with_text(df, F.when(F.col("text") == "", "").otherwise(tx.quote_unless_marked(F.col("text"))))
+    df = _text(df, tx.collapse_blanks, *clean_steps(True, arrow), tx.strip_dash, _unless_blank(tx.quote_unless_marked))
     return ln.drop_repeats(df, order)
 
 
 def talk_captions(df: DataFrame, order: LineOrder = FILE_LINES, arrow: bool = True) -> DataFrame:
     """Talk captions: dashes off before cleaning; escaped tags, arrows and bare labels go."""
-    t = clean(tx.strip_dash(tx.collapse_blanks(F.col("text"))), True, arrow)
-    df = _with_text(df, t)
-    plain, no_tags = tx.entity_rounds(F.col("text"), 3)
-    df = df.withColumns({"text": plain, "_tags": (F.col("text") == "") | no_tags}).where("_tags").drop("_tags")
-    t = F.col("text")
-    df = df.where((t == "") | (tx.no_arrow(t) & tx.not_bare_label(t)))
-    df = _with_text(df, F.when(t == "", "").otherwise(tx.quote_unless_marked(t)))
-    return ln.drop_repeats(df, order)
+    df = _text(df, tx.collapse_blanks, tx.strip_dash, *clean_steps(True, arrow))
+    plain, no_tags = tx.entity_rounds(_t(), 3)
+    df = df.withColumns({"text": plain, "tag_free": (_t() == "") | no_tags}).where("tag_free").drop("tag_free")
+    df = df.where((_t() == "") | (tx.no_arrow(_t()) & tx.not_bare_label(_t())))
+    return ln.drop_repeats(_text(df, _unless_blank(tx.quote_unless_marked)), order)
 
 
 def simple_encyclopedia(
@@ -80,30 +82,24 @@ def simple_encyclopedia(
     stub_phrases=tx.STUB_PHRASES, flush_tail: bool = False,
 ) -> DataFrame:
     """Short encyclopedia: boilerplate entries go together with their titles."""
-    t = clean(tx.drop_citations(tx.collapse_blanks(F.col("text"))), True, arrow)
-    df = _with_text(df, t)
+    df = _text(df, tx.collapse_blanks, tx.drop_citations, *clean_steps(True, arrow))
     df = df.withColumns({
-        "is_stub": (F.col("text") != "") & tx.is_stub(F.col("text"), stub_phrases),
-        "text": tx.unescape_entities(F.col("text"), 2),
+        "is_stub": (_t() != "") & tx.is_stub(_t(), stub_phrases),
+        "text": tx.unescape_entities(_t(), 2),
     })
     return ln.drop_stub_entries(df, order, "is_stub", flush_tail).drop("is_stub")
 
 
 def phone_dialogue(df: DataFrame, order: LineOrder = FILE_LINES, arrow: bool = True) -> DataFrame:
     """Telephone conversation: every text line quoted, repeats found across blanks."""
-    t = clean(tx.strip_dash(tx.collapse_blanks(F.col("text"))), True, arrow)
-    df = _with_text(df, t)
-    df = _with_text(df, F.when(F.col("text") == "", "").otherwise(tx.quote(F.col("text"))))
+    df = _text(df, tx.collapse_blanks, tx.strip_dash, *clean_steps(True, arrow), _unless_blank(tx.quote))
     return ln.drop_repeats_across_blanks(df, order)
 
 
 def encyclopedia(df: DataFrame, order: LineOrder = FILE_LINES, arrow: bool = True) -> DataFrame:
     """Encyclopedia markup: a blank before each heading, furniture off, links to targets."""
-    df = df.withColumns({
-        "is_first": F.col(order.major) == 0,
-        "text": clean(tx.collapse_blanks(F.col("text")), True, arrow),
-    })
-    return ln.markup_lines(df)
+    df = df.withColumn("is_first", F.col(order.major) == 0)
+    return ln.markup_lines(_text(df, tx.collapse_blanks, *clean_steps(True, arrow)))
 
 
 # Corpus name -> plan, in the order of the combined corpus.
