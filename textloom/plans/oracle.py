@@ -269,7 +269,7 @@ def build() -> dict[str, str]:
     q["wiki_markup"] = rf"""WITH {PAGE_LINES},
       r AS (SELECT page_id, pos, regexp_replace(regexp_replace(text, '^<h1>((?s:.*))$', '= = = \1 = = ='),
               '^<a href="([^"]*)">((?s:.*))$', '[[\1|\2]] [1]') AS t FROM page_lines),
-      d AS (SELECT page_id, pos, {_repair(_n1("t"))} AS t FROM r),
+      d AS (SELECT page_id, pos, {_repair("CASE WHEN contains(t, '<') THEN " + _n1("t") + " ELSE replace(" + _n1("t") + ", '&amp;', '&') END")} AS t FROM r),
       k AS (SELECT * FROM d WHERE t <> '' AND t NOT LIKE '[[Category:%' AND t NOT LIKE '[[File:%'),
       x AS (SELECT page_id, pos, unnest(ls) AS t, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS sub FROM
              (SELECT page_id, pos, CASE WHEN t LIKE '= = = %' AND pos > 0 THEN ['', t] ELSE [t] END AS ls FROM k))
