@@ -41,10 +41,13 @@ def padding_mask(n_real: Column, length) -> Column:
     return F.concat(repeat(False, n_real), repeat(True, _int(length) - n_real))
 
 
+def _exponentials(scores: Column, use) -> Column:
+    """exp(score - max), each intermediate computed once per array."""
+    return let(F.array_max(scores), lambda top: let(F.transform(scores, lambda x: F.exp(x - top)), use))
+
+
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    exps = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(exps, lambda e: e / total(exps))
+    return _exponentials(scores, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def total(values: Column) -> Column:
@@ -52,8 +55,7 @@ def total(values: Column) -> Column:
 
 
 def log_sum_exp(scores: Column) -> Column:
-    top = F.array_max(scores)
-    return top + F.log(F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return F.array_max(scores) + _exponentials(scores, lambda e: F.log(total(e)))
 
 
 def cross_entropy(scores: Column, target: Column) -> Column:
@@ -88,9 +90,11 @@ def norm(values: Column) -> Column:
 
 def sample_std(values: Column) -> Column:
     n = F.size(values)
-    mean = total(values) / n
-    sq = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.sqrt(sq / (n - 1))
+
+    def spread(mean):
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+
+    return F.sqrt(let(total(values) / n, spread) / (n - 1))
 
 
 def span_mask(n: Column, start: Column, end: Column) -> Column:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Blanks as a Unicode-aware splitter sees them; Java's \s alone is ASCII only.
 BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
 BLANK_BUT_NEWLINE = r"[ \t\x0b\f\r\p{Z}\x1c-\x1f\x85]"
+# The same characters one by one.
+BLANKS = "".join(
+    chr(c) for c in range(0x3001)
+    if chr(c) in "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85" or unicodedata.category(chr(c)).startswith("Z")
+)
 # Scratch character for a two-step rewrite; private use, absent from natural text.
 MARK = "\ue001"
 
@@ -34,8 +41,8 @@ def _replace_all(t: Column, pairs) -> Column:
 
 
 def strip(t: Column) -> Column:
-    """Remove Unicode blanks at both ends."""
-    return F.regexp_replace(t, rf"^{BLANK}+|{BLANK}+\z", "")
+    """Remove Unicode blanks at both ends; only the ends are looked at."""
+    return F.btrim(t, F.lit(BLANKS))
 
 
 def collapse_blanks(t: Column) -> Column:

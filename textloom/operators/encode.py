@@ -1,6 +1,7 @@
 """Applying a vocabulary: words to ids and back.
 
-Looking words up is a join with the vocabulary, whose size is checked before it is broadcast.
+Looking words up is a join with the vocabulary; Spark measures the vocabulary and broadcasts it
+only below its size threshold, and beyond that shuffles both sides and splits hot words (AQE).
 Merging, longest match and best path have no expression form; they run in an Arrow function
 that remembers words it has seen, so no text is shuffled.
 """
@@ -16,21 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from textloom.functions.words import UNK, hide_bytes
-from textloom.operators.vocab import MAX_VOCAB, bounded_rows
+from textloom.operators.vocab import bounded_rows
 
 _REMEMBERED = 1 << 18
 
 
-def lookup_side(vocab: DataFrame, bound: int = MAX_VOCAB) -> DataFrame:
-    """The vocabulary as a broadcast side when its size allows, as an ordinary side otherwise."""
-    small = vocab.limit(bound + 1).count() <= bound
-    return F.broadcast(vocab) if small else vocab
-
-
 def encode_by_lookup(tokens: DataFrame, vocab: DataFrame, keys: list[str], pos: str = "pos", word: str = "word") -> DataFrame:
     """(keys, ids) from one row per word; unknown words become the unknown id."""
-    side = lookup_side(vocab.select(F.col("token").alias(word), "id"))
-    found = tokens.join(side, word, "left").withColumn("id", F.coalesce("id", F.lit(UNK)))
+    known = vocab.select(F.col("token").alias(word), "id")
+    found = tokens.join(known, word, "left").withColumn("id", F.coalesce("id", F.lit(UNK)))
     return found.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(pos, "id"))), lambda s: s["id"]).alias("ids")
     )
@@ -158,8 +153,8 @@ def tokens_to_ids(tokens: DataFrame, vocab: DataFrame, keys: list[str]) -> DataF
 
 def ids_to_tokens(encoded: DataFrame, vocab: DataFrame, keys: list[str], ids: str = "ids") -> DataFrame:
     """(keys, tokens) from (keys, ids array)."""
-    side = lookup_side(vocab.select("token", "id"))
-    rows = encoded.select(*keys, F.posexplode(ids).alias("pos", "id")).join(side, "id", "left")
+    known = vocab.select("token", "id")
+    rows = encoded.select(*keys, F.posexplode(ids).alias("pos", "id")).join(known, "id", "left")
     named = F.struct("pos", F.coalesce("token", F.lit("[UNK]")).alias("token"))
     return rows.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(named)), lambda s: s["token"]).alias("tokens")

@@ -172,11 +172,9 @@ def probing_f1(spans: DataFrame, keys: list[str] = ("task", "split")) -> DataFra
 
 def top_tokens_per_position(scored: DataFrame, vocab: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
     """The k most probable tokens of each masked position, as (keys, rank, token, probability)."""
-    from textloom.operators.encode import lookup_side
-
     best = scored.select(*keys, F.posexplode(ar.top_k(ar.softmax(F.col("logits")), k)).alias("rank", "b"))
     named = best.select(*keys, "rank", F.col("b.index").alias("id"), F.col("b.score").alias("probability"))
-    return named.join(lookup_side(vocab.select("id", "token")), "id", "left").select(*keys, "rank", "token", "probability")
+    return named.join(vocab.select("id", "token"), "id", "left").select(*keys, "rank", "token", "probability")
 
 
 def vector_statistics(vectors: DataFrame, name: str, values: str) -> DataFrame:

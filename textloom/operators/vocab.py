@@ -23,10 +23,9 @@ def training_text(t):
 
 
 def word_counts(df: DataFrame, text: str = "text", words=whitespace_words, drop_tabs: bool = True) -> DataFrame:
-    """(word, freq) over non-blank lines."""
+    """(word, freq) over all lines; blank lines have no words."""
     t = training_text(F.col(text)) if drop_tabs else tx.strip(F.col(text))
-    lines = df.select(t.alias("t")).where(tx.not_blank(F.col("t")))
-    exploded = lines.select(F.explode(words(F.col("t"))).alias("word"))
+    exploded = df.select(F.explode(words(t)).alias("word"))
     return exploded.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
