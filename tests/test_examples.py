@@ -86,7 +86,7 @@ def test_sentence_sets(spark):
     assert a.input_ids == [1, 7, 8, 2, 9, 2, 3] and a.segment_ids == [0, 0, 0, 0, 1, 1, 0]
     assert a.span_mask == [True, False, True, True, True, True, True] and a.is_pad == [False] * 6 + [True]
     assert b.input_ids == [1, 5, 2, 6, 2, 7, 2] and b.segment_ids == [0, 0, 0, 1, 1, 0, 0]
-    cut = evalsets.collate_sentences(df.drop("span_masks"), max_length=5).orderBy("id").first()
+    cut = evalsets.collate_sentences(df.drop("span_masks").where("id = 0"), max_length=5).first()
     assert cut.input_ids == [1, 7, 2, 9, 2]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as tx
+from textloom.functions.hashing import uniform
 from textloom.functions.repair import clean
 from textloom.session import cut_lineage
 
@@ -207,7 +208,7 @@ def written_blocks(els: DataFrame, key: str = "doc_id") -> DataFrame:
 def speaker_name(doc: Column, who: Column, names) -> Column:
     """A stable pseudonym per document and speaker code."""
     table = F.array(*[F.lit(n) for n in names])
-    return F.element_at(table, (F.pmod(F.xxhash64(doc, who), F.lit(len(names))) + 1).cast("int"))
+    return F.element_at(table, (F.floor(uniform(doc, who) * len(names)) + 1).cast("int"))
 
 
 def spoken_blocks(els: DataFrame, names, key: str = "doc_id") -> DataFrame:

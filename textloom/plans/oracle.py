@@ -307,6 +307,19 @@ def build() -> dict[str, str]:
       SELECT conv_id, turn, {_cap("role")} || ' ' || substr(md5(conv_id || ':' || role), 1, 4) || ': ''' || t || '''' AS text
       FROM t WHERE regexp_matches(t, '[\p{{L}}\p{{N}}]')"""
 
+    who_key = "'' || conv_id || ':' || role"
+    who = f"['Ada', 'Ben', 'Cleo', 'Dan', 'Eve'][1 + CAST(floor({_u(who_key)} * 5) AS BIGINT)]"
+    ends = """SELECT conv_id AS doc_id, '## Talk ' || conv_id AS text FROM conversations GROUP BY conv_id
+      UNION ALL SELECT conv_id, '' FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id, '' FROM conversations GROUP BY conv_id"""
+    sentence_lines = "array_to_string(list_filter(string_split(text, chr(10)), lambda v: v <> ''), chr(10))"
+    turns = f"c0 AS (SELECT conv_id, role, {sentence_lines} AS x FROM conversations), {_clean_cte('c0', 'conv_id, role')}"
+    q["spoken_documents"] = rf"""WITH {turns}, b AS (SELECT conv_id AS doc_id, {who} || ': ''' || x || '''' AS text FROM c5
+        WHERE regexp_matches(x, '[\p{{L}}\p{{N}}]') UNION ALL {ends})
+      SELECT doc_id, text, count(*) AS n FROM b GROUP BY doc_id, text"""
+    q["written_documents"] = f"""WITH {turns}, b AS (SELECT conv_id AS doc_id, role || ': ''' || x || '''' AS text FROM c5
+        WHERE x <> '' UNION ALL {ends})
+      SELECT doc_id, text, count(*) AS n FROM b GROUP BY doc_id, text"""
+
     q["word_counts"] = f"WITH {WORD_COUNTS} SELECT word, freq FROM wc"
     q["vocab_wordlevel"] = f"WITH {WORD_COUNTS}, {VOCAB} SELECT word AS token, id, freq FROM vocab"
     q["encode_wordlevel"] = f"""WITH {WORD_COUNTS}, {VOCAB},
@@ -369,6 +382,11 @@ def build() -> dict[str, str]:
       m AS (SELECT *, least(len(b), 45 - na) AS nb FROM l)
       SELECT conv_id, turn, na AS n_a, nb AS n_b, {_csv("[1] || a[1:na] || [2] || b[1:nb] || [2]")} AS input_ids,
         {_csv("list_transform(range(na + 2), lambda z: 0) || list_transform(range(nb + 1), lambda z: 1)")} AS segment_ids FROM m"""
+    q["collated_sentences"] = f"""WITH {TURN_PAIRS}, p AS (SELECT conv_id AS batch, turn, {_ids("text_a")} AS a, {_ids("text_b")} AS b FROM tp),
+      c AS (SELECT batch, turn, a[1:len(a) - greatest(0, least(len(a), len(a) + len(b) + 3 - 512))] AS a, b FROM p),
+      l AS (SELECT *, len(a) + len(b) + 3 AS length, max(len(a) + len(b) + 3) OVER (PARTITION BY batch) AS width FROM c)
+      SELECT batch, turn, length, width, md5({_csv("[1] || a || [2] || b || [2] || list_transform(range(width - length), lambda z: 3)")}) AS input_md5,
+        width - length AS n_pad FROM l"""
     q["span_masks"] = f"""WITH {CORPUS_LINES}, k AS (SELECT doc_id, pos, {_ids("text")} AS k FROM corpus_lines WHERE text <> '')
       SELECT doc_id, pos, array_to_string(list_transform(range(len(k)), lambda i: CASE WHEN i BETWEEN len(k) // 4 AND len(k) // 2 THEN '0' ELSE '1' END), '') AS span_mask,
         {_csv("list_transform(range(8), lambda v: len(list_filter(k, lambda x: x % 8 = v)))")} AS labels

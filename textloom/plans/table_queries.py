@@ -9,7 +9,7 @@ from textloom.functions import arrays as ar
 from textloom.functions import text as tx
 from textloom.functions import words as wd
 from textloom.functions.hashing import digest
-from textloom.operators import detok, encode, evalsets, examples, metrics, segment, vocab
+from textloom.operators import detok, encode, evalsets, examples, markup, metrics, segment, unigram, vocab
 from textloom.operators import lines as ln
 from textloom.operators.ordered import DOCUMENT_LINES, LineOrder
 from textloom.plans import corpora
@@ -158,6 +158,40 @@ def detokenized(spark, sf):
     return detok.detokenize(toks, "doc_id").select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
 
 
+def _turns_as_xml(spark, sf, root: str, turn) -> DataFrame:
+    """Each conversation as one document, ``turn`` being the markup of a turn; a conversation is small."""
+    xml = F.col("text")
+    for char, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        xml = F.replace(xml, F.lit(char), F.lit(code))
+    lines = F.array_join(F.transform(F.split(xml, "\n"), lambda s: F.concat(F.lit("<s>"), s, F.lit("</s>"))), "")
+    rows = _table(spark, sf, "conversations").withColumn("lines", lines).withColumn("xml", turn)
+    turns = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "xml"))), lambda t: t["xml"]), "")
+    return rows.groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("turns")).select(
+        "doc_id",
+        F.concat(F.lit(f'<{root}><div level="1" type="talk" n="'), F.col("doc_id").cast("string"), F.lit('">'), "turns",
+                 F.lit(f"</div></{root}>")).alias("xml"),
+    )
+
+
+SPEAKER_NAMES = ("Ada", "Ben", "Cleo", "Dan", "Eve")
+
+
+def spoken_documents(spark, sf):
+    turn = F.concat(F.lit('<u who="'), F.col("role"), F.lit('"><pause/>'), F.col("lines"), F.lit("</u>"))
+    els = markup.elements(_turns_as_xml(spark, sf, "stext", turn))
+    blocks = markup.spoken_blocks(els, SPEAKER_NAMES)
+    return blocks.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def written_documents(spark, sf):
+    turn = F.concat(
+        F.lit("<sp><speaker><s>"), F.col("role"), F.lit("</s></speaker><p>"), F.col("lines"), F.lit("</p></sp><pb/>")
+    )
+    els = markup.elements(_turns_as_xml(spark, sf, "wtext", turn))
+    blocks = markup.written_blocks(els)
+    return blocks.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- vocabularies ------------------------------------------------------------------------
 
 
@@ -208,6 +242,18 @@ def bpe_token_frequencies(spark, sf):
     return vocab.token_frequencies(counts.select(split(F.array("word")).alias("tokens"), "freq"))
 
 
+def wordpiece_tokens(spark, sf):
+    """Byte-level words with single digits, a small WordPiece vocabulary, and its subword frequencies."""
+    counts = byte_level_counts(spark, sf)
+    split = encode.wordpiece_splitter(vocab.train_wordpiece(counts, 220))
+    return vocab.token_frequencies(counts.select(split(F.array("word")).alias("tokens"), "freq"))
+
+
+def unigram_pieces(spark, sf):
+    out = unigram.train_unigram(_word_counts(spark, sf), vocab_size=1500, seed_size=2500)
+    return out.select("token", _big("id"), F.round("score", 6).alias("score"))
+
+
 def token_freq_top100(spark, sf):
     toks = _word_counts(spark, sf).select(F.array("word").alias("tokens"), "freq")
     return vocab.top_tokens(vocab.token_frequencies(toks), 100)
@@ -230,13 +276,13 @@ def vocab_coverage(spark, sf):
 # --- training examples -------------------------------------------------------------------
 
 
-def _crc_ids(t):
-    """Stand-in ids for words, spread over 5000 values after the specials; plain arithmetic on lengths and positions."""
+def _stand_in_ids(t):
+    """An id per word from its length and position, so that SQL can compute the same."""
     return F.transform(wd.whitespace_words(t), lambda w, i: ((F.length(w) * 131 + i * 17) % 4993 + 7).cast("int"))
 
 
 def _segments(spark, sf):
-    return _table(spark, sf, "documents").select(F.col("doc_id").alias("seg_id"), _crc_ids(F.col("text")).alias("ids"))
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("seg_id"), _stand_in_ids(F.col("text")).alias("ids"))
 
 
 def shard_steps(spark, sf):
@@ -285,19 +331,19 @@ def _turn_pairs(spark, sf):
 
 def pair_encode(spark, sf):
     rows = _turn_pairs(spark, sf)
-    ids, real = evalsets.encode_pair(_crc_ids(F.col("text_a")), _crc_ids(F.col("text_b")), 32)
+    ids, real = evalsets.encode_pair(_stand_in_ids(F.col("text_a")), _stand_in_ids(F.col("text_b")), 32)
     label = evalsets.fill_labels(F.when(F.col("conv_id") % 5 != 0, F.col("turn") % 2))
     return rows.select("conv_id", "turn", _joined(ids).alias("input_ids"), _joined(real).alias("is_real"), label.cast("bigint").alias("label"))
 
 
 def longest_pair(spark, sf):
-    rows = _turn_pairs(spark, sf).select(_crc_ids(F.col("text_a")).alias("a"), _crc_ids(F.col("text_b")).alias("b"))
+    rows = _turn_pairs(spark, sf).select(_stand_in_ids(F.col("text_a")).alias("a"), _stand_in_ids(F.col("text_b")).alias("b"))
     return evalsets.longest_pair(rows, "a", "b", 3).select(_big("max_length"))
 
 
 def truncate_pairs(spark, sf):
     rows = _turn_pairs(spark, sf).select(
-        "conv_id", "turn", F.array(_crc_ids(F.col("text_a")), _crc_ids(F.col("text_b"))).alias("s")
+        "conv_id", "turn", F.array(_stand_in_ids(F.col("text_a")), _stand_in_ids(F.col("text_b"))).alias("s")
     )
     rows = rows.withColumn("s", evalsets.truncate_sentences(F.col("s"), 48))
     return rows.select(
@@ -307,9 +353,21 @@ def truncate_pairs(spark, sf):
     )
 
 
+def collated_sentences(spark, sf):
+    """Turn pairs in batches of one conversation, padded to the longest pair of the batch."""
+    rows = _turn_pairs(spark, sf).select(
+        F.col("conv_id").alias("batch"), "turn", F.array(_stand_in_ids(F.col("text_a")), _stand_in_ids(F.col("text_b"))).alias("sentences")
+    )
+    out = evalsets.collate_sentences(rows, max_length=512)
+    return out.select(
+        "batch", "turn", _big("length"), _big("width"), F.md5(_joined(F.col("input_ids"))).alias("input_md5"),
+        F.size(F.filter("is_pad", lambda p: p)).cast("bigint").alias("n_pad"),
+    )
+
+
 def span_masks(spark, sf):
     """A span in the middle of each short line, as a mask and a multi-hot label."""
-    rows = corpus_lines(spark, sf).where("text <> ''").select("doc_id", _big("pos"), _crc_ids(F.col("text")).alias("ids"))
+    rows = corpus_lines(spark, sf).where("text <> ''").select("doc_id", _big("pos"), _stand_in_ids(F.col("text")).alias("ids"))
     rows = rows.where(tx.subword_count_between(F.col("ids"), 1, 126))
     n = F.size("ids")
     mask = ar.span_mask(n, F.floor(n / 4), F.floor(n / 2))
@@ -321,7 +379,7 @@ def span_masks(spark, sf):
 
 
 def pseudo_likelihood_rows(spark, sf):
-    rows = _table(spark, sf, "benchmark").select("item_id", _crc_ids(F.col("text")).alias("token_ids"))
+    rows = _table(spark, sf, "benchmark").select("item_id", _stand_in_ids(F.col("text")).alias("token_ids"))
     rows = rows.withColumn("width", F.size("token_ids"))
     out = evalsets.mask_each_position(rows, ["item_id"])
     return out.select("item_id", _big("pos"), _big("target"), F.md5(_joined(F.col("input_ids"))).alias("input_md5"))
@@ -453,11 +511,11 @@ QUERIES = {
     for fn in (
         doc_lines_dedup, lines_spoken, lines_child_speech, lines_spoken_dialogue, lines_treebank, lines_story_gaps,
         paragraphs_reflow, lines_subtitle, lines_captions, stub_filter, lines_phone, wiki_markup, corpus_union,
-        clean_full, sentences, sentences_across_lines, abbreviation_stats, speaker_turns, detokenized,
+        clean_full, sentences, sentences_across_lines, abbreviation_stats, speaker_turns, spoken_documents, written_documents, detokenized,
         word_counts, byte_level_counts, vocab_wordlevel, encode_wordlevel, bpe_merges, bpe_token_frequencies,
-        token_freq_top100, f95, vocab_coverage,
+        wordpiece_tokens, unigram_pieces, token_freq_top100, f95, vocab_coverage,
         shard_steps, train_examples, short_examples, span_mask, epoch_batches,
-        pair_encode, longest_pair, truncate_pairs, span_masks, pseudo_likelihood_rows,
+        pair_encode, longest_pair, truncate_pairs, collated_sentences, span_masks, pseudo_likelihood_rows,
         label_balance, confusion, accuracy_batch_mean, mcc, f1, f1_macro, pearson_spearman, pairwise_choice,
         minimal_pairs_macro, history_stats, epoch_table, topk_softmax, collapse_classes, vector_stats,
         masked_token_scores,
