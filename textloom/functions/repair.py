@@ -110,7 +110,7 @@ def _reread(match: re.Match) -> str:
 
 @F.pandas_udf(StringType())
 def _reread_text(s: pd.Series) -> pd.Series:
-    entity, misread, kana = re.compile(_ENTITY), re.compile(_MISREAD), re.compile("[･-ﾟ]+")
+    entity, misread, kana = re.compile(_ENTITY), re.compile(_MISREAD), re.compile(r"[･-ﾟ]+")
 
     def one(t):
         if "<" not in t:

@@ -12,7 +12,7 @@ TOKEN_ESCAPES = (
     ("&bar;", "|"), ("&#124;", "|"), ("&lt;", "<"), ("&gt;", ">"), ("&bra;", "["), ("&ket;", "]"),
     ("&quot;", '"'), ("&apos;", "'"), ("&#91;", "["), ("&#93;", "]"), ("&amp;", "&"),
 )
-_CJK = r"[ᄀ-ᇿ⺀-꓏ꡀ-꡿가-힯豈-﫿︰-﹏･-ￜ]"
+_CJK = r"[\x{1100}-\x{11ff}\x{2e80}-\x{a4cf}\x{a840}-\x{a87f}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{fe30}-\x{fe4f}\x{ff65}-\x{ffdc}\x{20000}-\x{2ffff}]"
 _OPENER = r"^[\p{Sc}(\[{¿¡]+$"
 _CLOSER = r"^[,.?!:;\\%}\])]+$"
 _FRENCH_CLOSER = r"^[?!:;\\%]$"

@@ -95,7 +95,7 @@ def _average_ranks(values: DataFrame, v: str, scale: float, shifts) -> DataFrame
     return out.select(v, (F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2).alias(f"rank_{v}"))
 
 
-def spearman(rows: DataFrame, x: str, y: str, scale: float = 1.0, shifts=(10, 30)) -> DataFrame:
+def spearman(rows: DataFrame, x: str, y: str, scale: float = 1.0, shifts=(10, 24, 40)) -> DataFrame:
     """Correlation of average ranks.
 
     Equal (x, y) rows are counted first, so ties, however many, travel as one row; ``scale``

@@ -20,25 +20,26 @@ from pyspark.sql import functions as F
 class LineOrder:
     """How lines are ordered.
 
-    keys    columns that restart the order; must not be null
+    keys    columns that restart the order
     major   integer column, ascending inside a key
     minor   further order columns, for several lines with the same ``major``
     shifts  bits dropped from ``major`` at each level; lines that share ``major >> shifts[0]``
-            form one window
+            form one window; further levels keep the summary windows at some million
+            rows at most, for dense numbers up to 2^44 as for arbitrary 64-bit ones
     """
 
     keys: tuple[str, ...]
     major: str
     minor: tuple[str, ...] = ()
-    shifts: tuple[int, ...] = (14, 38)
+    shifts: tuple[int, ...] = (14, 28, 46)
 
     @property
     def columns(self) -> list[str]:
         return [*self.keys, self.major, *self.minor]
 
 
-DOCUMENT_LINES = LineOrder(("lang", "source"), "doc_id", ("pos",), (12, 36))
-FILE_LINES = LineOrder(("split", "corpus"), "line_no", (), (16, 40))
+DOCUMENT_LINES = LineOrder(("lang", "source"), "doc_id", ("pos",), (12, 26, 44))
+FILE_LINES = LineOrder(("split", "corpus"), "line_no", (), (16, 32))
 
 
 def scan(

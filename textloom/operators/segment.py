@@ -102,10 +102,10 @@ def abbreviation_scores(df: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_replace("w", r"\.$", "").alias("type"), F.col("w").endswith(".").cast("bigint").alias("dotted")
     ).where(F.col("type").rlike(r"^[\p{L}.\-]+$"))
     types = typed.groupBy("type").agg(F.sum("dotted").alias("with_period"), F.count(F.lit(1)).alias("n"))
-    all_words = types.agg(F.sum("n").alias("words"), F.sum("with_period").alias("dotted_words"))
-    rows = types.where(F.col("with_period") > 0).crossJoin(all_words)  # one row on the right
+    share = types.agg((F.sum("with_period") / F.sum("n")).alias("share"))
+    rows = types.where(F.col("with_period") > 0).withColumn("p", share.scalar())
     k, n = F.col("with_period").cast("double"), F.col("n").cast("double")
-    p = F.col("dotted_words") / F.col("words")
+    p = F.col("p")
 
     def loglik(q):
         return k * F.log(q) + (n - k) * F.log(1.0 - q)

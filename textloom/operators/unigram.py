@@ -109,8 +109,8 @@ def _digamma(x: Column) -> Column:
 
 def _maximise(expected: DataFrame, least: float = 0.5) -> dict:
     kept = expected.where(F.col("weight") >= least)
-    total = kept.agg(F.sum("weight").alias("total"))
-    scored = kept.crossJoin(total).select("piece", (_digamma(F.col("weight")) - _digamma(F.col("total"))).alias("s"))  # one row
+    total = kept.agg(F.sum("weight").alias("total")).scalar()
+    scored = kept.withColumn("total", total).select("piece", (_digamma(F.col("weight")) - _digamma(F.col("total"))).alias("s"))
     return {r["piece"]: r["s"] for r in bounded_rows(scored, _BOUND)}
 
 
@@ -134,7 +134,7 @@ def _prune(words: DataFrame, scores: dict, keep: int) -> dict:
     rows = spark.createDataFrame(list(scores.items()), "piece string, score double")
     split = rows.mapInPandas(other, "piece string, score double, own boolean, alt array<string>")
     split = split.join(uses, "piece", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    total = uses.agg(F.sum("weight").alias("total"))
+    total = uses.agg(F.sum("weight").alias("total")).scalar()
     parts = split.where(F.size("alt") > 0).select("piece", F.explode("alt").alias("part"), F.col("weight").alias("w"))
     used = uses.select(F.col("piece").alias("part"), F.col("weight").alias("part_weight"))
     alone = parts.join(used, "part", "left").groupBy("piece").agg(
@@ -143,7 +143,7 @@ def _prune(words: DataFrame, scores: dict, keep: int) -> dict:
     f, t = F.col("weight"), F.col("total")
     with_piece = F.log(f) - F.log(t)
     without = F.col("alt_log") - F.col("n") * F.log(t + f * (F.col("n") - 1))
-    costed = split.join(alone, "piece", "left").crossJoin(total)  # one row on the right
+    costed = split.join(alone, "piece", "left").withColumn("total", total)
     always = F.length("piece") == 1
     loss = F.when(always | (F.size("alt") == 0), F.lit(float("inf"))).otherwise(f / t * (with_piece - without))
     useful = costed.where(always | (F.col("own") & (f > 0))).select("piece", "score", loss.alias("loss"))

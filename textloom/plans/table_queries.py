@@ -432,8 +432,10 @@ def f1_macro(spark, sf):
 
 def pearson_spearman(spark, sf):
     rows = _predictions(spark, sf).select("n_chars", F.col("quality").alias("y"))
-    both = metrics.pearson(rows, "n_chars", "y").crossJoin(metrics.spearman(rows, "n_chars", "y"))  # one row each
-    return both.select(F.round("pearson", 9).alias("pearson"), F.round("spearman", 9).alias("spearman"))
+    ranks = metrics.spearman(rows, "n_chars", "y")
+    return metrics.pearson(rows, "n_chars", "y").select(
+        F.round("pearson", 9).alias("pearson"), F.round(ranks.scalar(), 9).alias("spearman")
+    )
 
 
 def pairwise_choice(spark, sf):
