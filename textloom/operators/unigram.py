@@ -12,11 +12,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.words import SPECIALS
-from textloom.operators.vocab import bounded_rows
+from textloom.operators.vocab import bounded_rows, tasks_for
 from textloom.session import cut_lineage
 
 
@@ -157,8 +158,9 @@ def train_unigram(
 ) -> DataFrame:
     """Vocabulary of scored pieces: specials, then pieces from the most probable on."""
     spark = counts.sparkSession
-    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = cut_lineage(counts.where(F.length("word") > 0).select("word", "freq").repartition(spread, "word"))
+    counted = counts.where(F.length("word") > 0).select("word", "freq").persist(StorageLevel.MEMORY_AND_DISK)
+    words = cut_lineage(counted.repartition(tasks_for(counted.count(), 4_000), "word"))
+    counted.unpersist()
     seeds = bounded_rows(seed_pieces(words, seed_size, max_piece), _BOUND)
     total = math.log(sum(r["freq"] for r in seeds))
     scores = {r["piece"]: math.log(r["freq"]) - total for r in seeds}

@@ -69,6 +69,11 @@ def bounded_rows(df: DataFrame, bound: int = MAX_VOCAB) -> list:
     return rows
 
 
+def tasks_for(rows: int, per_task: int) -> int:
+    """Tasks for a table that is small in bytes but costly per row, where AQE would merge too much."""
+    return max(1, -(-rows // per_task))
+
+
 # --- byte pair merges --------------------------------------------------------------------
 
 
@@ -151,9 +156,7 @@ def train_bpe(
         inner = alphabet
     rest = F.translate(rest, "".join(inner), "".join(_symbol(ids[prefix + c]) for c in inner))
     state = words.select(F.concat(first, rest).alias("w"), "freq").where(F.length("w") > 1)
-    # Word tables are small in bytes but costly per row, so their spread is set, not left to AQE.
-    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = state = cut_lineage(state.repartition(spread, "w"))
+    base = state = cut_lineage(state.repartition(tasks_for(words.count(), 10_000), "w"))
     words.unpersist()
 
     merges: list[tuple[str, str]] = []

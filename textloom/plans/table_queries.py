@@ -226,7 +226,7 @@ def _small_bpe(spark, sf):
     return counts, *vocab.train_bpe(counts, vocab_size=BPE_SIZE)
 
 
-BPE_SIZE = 200
+BPE_SIZE = 160
 
 
 def bpe_merges(spark, sf):
@@ -245,7 +245,7 @@ def bpe_token_frequencies(spark, sf):
 def wordpiece_tokens(spark, sf):
     """Byte-level words with single digits, a small WordPiece vocabulary, and its subword frequencies."""
     counts = byte_level_counts(spark, sf)
-    split = encode.wordpiece_splitter(vocab.train_wordpiece(counts, 220))
+    split = encode.wordpiece_splitter(vocab.train_wordpiece(counts, 180))
     return vocab.token_frequencies(counts.select(split(F.array("word")).alias("tokens"), "freq"))
 
 
