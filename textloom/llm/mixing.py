@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> D
         F.sum(weight).over(every) - F.coalesce(F.sum(weight).over(before), F.lit(0.0))
     )
     own = own.withColumn("level", level).withColumn("free", F.col("level") * weight < cap)
-    flat = F.min(F.when(F.col("free"), F.col("level"))).over(every)
+    flat = F.max(F.when(F.col("free"), F.col("level"))).over(every)  # of the first free one
     target = F.when(flat.isNull(), cap).otherwise(F.least(cap, flat * weight))
     return own.select("source", "source_size", target.cast("double").alias("target"))
 
