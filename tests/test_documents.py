@@ -1,6 +1,7 @@
 import gzip
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import spec
@@ -82,6 +83,30 @@ def test_text_files(spark, tmp_path):
     assert text_lines.corpus_paths("d", "10M", ["cbt"]) == ["d/corpus_10M/cbt.train"]
 
 
+@pytest.mark.parametrize("files", [4, 64])
+def test_sink_reads_back(spark, tmp_path, files):
+    lines = [f"line {i}" for i in range(2000)]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, text string").repartition(5)
+    for corpus in ("cbt", "qed"):
+        text_lines.write_lines(df, ["line_no"], str(tmp_path / "clean_10M" / f"{corpus}.train"), files=files)
+    got = text_lines.read_corpora(spark, [str(tmp_path / "clean_10M" / f"{c}.train") for c in ("cbt", "qed")])
+    rows = [tuple(r) for r in got.orderBy("corpus", "line_no").collect()]
+    assert rows == [("10M", c, i, t) for c in ("cbt", "qed") for i, t in enumerate(lines)]
+    with pytest.raises(Exception, match="not a corpus path"):
+        text_lines.write_lines(df, ["line_no"], str(tmp_path / "plain"))
+        text_lines.read_corpora(spark, str(tmp_path / "plain")).collect()
+
+
+def test_odd_documents(spark):
+    deep = "<wtext>" + "<div>" * 1500 + "<p><s>low</s></p>" + "</div>" * 1500 + "</wtext>"
+    df = spark.createDataFrame([(1, "<wtext><p><s>a\x01b</s></p></wtext>"), (2, deep), (3, "<wtext><p>")], "doc_id long, xml string")
+    els = markup.elements(df)
+    got = dict(map(tuple, els.groupBy("doc_id").count().collect()))
+    assert got == {1: 3, 2: 1503}
+    assert els.where("tag = 's'").orderBy("doc_id").select("text").first()[0] == "a b"
+    assert [r.doc_id for r in markup.unparsed(df).collect()] == [3]
+
+
 def test_tables(spark, tmp_path):
     tsv = tmp_path / "p.tsv"
     tsv.write_text("word_a\tword_b\tlabel\na\tb\t1\nc\t\t0\nd\te\t\nf\tg\t0.0\n")

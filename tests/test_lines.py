@@ -119,3 +119,10 @@ def test_abbreviations_are_learned(spark):
     found = {r.type: r.score for r in scores.collect()}
     assert found["dr"] > 0.3
     assert "dr" in segment.abbreviations(scores)
+
+
+def test_sentences_of_scripts_without_case(spark):
+    rows = [("తెలుగు వాక్యం ఒకటి. రెండవ వాక్యం. మూడు", 3), ("पहला वाक्य। दूसरा वाक्य।", 2), ("一つ目。二つ目！「三つ目。」終わり", 4), ("one. two", 1)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i long, text string")
+    got = {r.i: r["count"] for r in segment.segment_lines(df).groupBy("i").count().collect()}
+    assert got == {i: n for i, (_, n) in enumerate(rows)}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from textloom.functions.words import UNK, hide_bytes
-from textloom.operators.vocab import bounded_rows
+from textloom.operators.vocab import model_rows
 
 _REMEMBERED = 1 << 18
 
@@ -56,12 +56,12 @@ class _MergeModel:
 
 
 class _LongestMatch:
-    def __init__(self, tokens: set, prefix: str, longest_word: int = 100):
+    def __init__(self, tokens: set, prefix: str, longest_word: int | None = None):
         self.tokens, self.prefix, self.longest_word = tokens, prefix, longest_word
         self.span = max(map(len, tokens), default=1)
 
     def __call__(self, word: str) -> list:
-        if len(word) > self.longest_word:
+        if self.longest_word is not None and len(word) > self.longest_word:
             return ["[UNK]"]
         out, i = [], 0
         while i < len(word):
@@ -130,18 +130,19 @@ def _split_words(build, data: tuple, spark):
 
 
 def bpe_splitter(vocab: DataFrame, merges: DataFrame):
-    tokens = {r["token"] for r in bounded_rows(vocab.select("token"))}
-    pairs = [(r["left"], r["right"]) for r in sorted(bounded_rows(merges), key=lambda r: r["rank"])]
+    tokens = {r["token"] for r in model_rows(vocab.select("token"))}
+    pairs = [(r["left"], r["right"]) for r in sorted(model_rows(merges), key=lambda r: r["rank"])]
     return _split_words(_MergeModel, (tokens, pairs), vocab.sparkSession)
 
 
-def wordpiece_splitter(vocab: DataFrame, prefix: str = ""):
-    tokens = {r["token"] for r in bounded_rows(vocab.where("kind <> 'special'").select("token"))}
-    return _split_words(_LongestMatch, (tokens, prefix), vocab.sparkSession)
+def wordpiece_splitter(vocab: DataFrame, prefix: str = "", longest_word: int | None = None):
+    """Longest match first. Words over ``longest_word`` characters become unknown where the caller sets it (some tools: 100)."""
+    tokens = {r["token"] for r in model_rows(vocab.where("kind <> 'special'").select("token"))}
+    return _split_words(_LongestMatch, (tokens, prefix, longest_word), vocab.sparkSession)
 
 
 def unigram_splitter(vocab: DataFrame):
-    scores = {r["token"]: r["score"] for r in bounded_rows(vocab.where("kind <> 'special'").select("token", "score"))}
+    scores = {r["token"]: r["score"] for r in model_rows(vocab.where("kind <> 'special'").select("token", "score"))}
     return _split_words(_BestPath, (scores,), vocab.sparkSession)
 
 

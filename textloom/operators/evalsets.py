@@ -117,12 +117,14 @@ def validation_splits(rows: DataFrame, task: str) -> DataFrame:
 
 
 def labelled_spans(sentences: DataFrame, n_classes: dict, low: int = 1, high: int = 126) -> DataFrame:
-    """One row per labelled span: multi-hot label and span masks over the sentence."""
+    """One row per labelled span: multi-hot label and span masks over the sentence.
+
+    A task without an entry in ``n_classes`` keeps its spans, with null labels.
+    """
     kept = sentences.where(tx.subword_count_between(F.col("subwords"), low, high))
     spans = kept.select(
         "sent_id", "subwords", F.explode(F.map_entries("tasks")).alias("t")
     ).select("sent_id", "subwords", F.col("t.key").alias("task"), F.posexplode("t.value").alias("span_no", "span"))
-    spans = spans.where(F.col("task").isin(*n_classes))
     hot = F.lit(None).cast("array<int>")
     for task, n in n_classes.items():
         hot = F.when(F.col("task") == task, ar.multi_hot(F.col("span.label"), n)).otherwise(hot)

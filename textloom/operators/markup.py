@@ -6,6 +6,7 @@ that (names, labels, prefixes from ancestors, runs of sentences, block order) is
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -18,6 +19,8 @@ from textloom.functions.hashing import uniform
 from textloom.functions.repair import clean
 from textloom.session import cut_lineage
 
+#: Characters that markup may not hold; they count as blanks.
+_CONTROLS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 _ELEMENT = T.ArrayType(T.StructType([
     T.StructField("idx", T.IntegerType()),
     T.StructField("parent", T.IntegerType()),
@@ -40,22 +43,27 @@ def _list_elements(xml: pd.Series) -> pd.Series:
     def one(doc):
         rows = []
 
-        def walk(node, parent, path, child_no):
-            idx = len(rows)
-            here = [*path, idx]
-            row = {"idx": idx, "parent": parent, "path": here, "child_no": child_no, "tag": node.tag, "attrs": dict(node.attrib)}
-            rows.append(row)
-            row["text"] = "".join(node.itertext()) if node.tag in ("s", "head", "speaker", "label", "p") else None
-            # Inside a sentence there are only words.
-            if node.tag not in ("s", "head", "speaker", "label"):
-                for k, child in enumerate(node):
-                    walk(child, idx, here, k)
-            row["last"] = len(rows) - 1
-
         try:
-            walk(ET.fromstring(doc), None, [], 0)
+            todo = [(ET.fromstring(_CONTROLS.sub(" ", doc)), None, [], 0)]
         except ET.ParseError:
             return None
+        while todo:
+            node, parent, path, child_no = todo.pop()
+            if node is None:  # all below ``parent`` is done
+                rows[parent]["last"] = len(rows) - 1
+                continue
+            idx = len(rows)
+            here = [*path, idx]
+            closed = node.tag in ("s", "head", "speaker", "label")
+            text = "".join(node.itertext()) if closed or node.tag == "p" else None
+            rows.append({
+                "idx": idx, "parent": parent, "path": here, "child_no": child_no, "tag": node.tag, "attrs": dict(node.attrib),
+                "text": text,
+            })
+            todo.append((None, idx, here, 0))
+            # Inside a sentence there are only words.
+            if not closed:
+                todo.extend((child, idx, here, k) for k, child in reversed(list(enumerate(node))))
         return rows
 
     return xml.map(one, na_action="ignore")
@@ -196,7 +204,7 @@ def written_blocks(els: DataFrame, key: str = "doc_id") -> DataFrame:
         texts.where("kind = 'title'").select(key, "idx", "pos", "text"), [key, "idx"]
     ).select(key, F.col("parent").alias("idx"), "pos", F.concat("text", F.lit(": ")).alias("text"), F.lit(0).alias("sub"))
     ends = els.where("tag in ('wtext', 'div')").select(
-        key, "idx", F.col("last").alias("pos"), F.lit("").alias("text"), (F.lit(1000) - F.size("path")).alias("sub")
+        key, "idx", F.col("last").alias("pos"), F.lit("").alias("text"), (F.lit(1_000_000_000) - F.size("path")).alias("sub")
     )
     cols = [key, "idx", "pos", "sub", "text"]
     blocks = paragraphs.select(*cols).unionByName(heads.select(*cols)).unionByName(titles.select(*cols)).unionByName(ends.select(*cols))
@@ -227,7 +235,7 @@ def spoken_blocks(els: DataFrame, names, key: str = "doc_id") -> DataFrame:
         key, F.col("idx").alias("pos"), F.lit(0).alias("sub"), F.concat(F.repeat(F.lit("#"), level + 1), F.lit(" "), "name").alias("text")
     )
     ends = els.where("tag in ('stext', 'div')").select(
-        key, F.col("last").alias("pos"), (F.lit(1000) - F.size("path")).alias("sub"), F.lit("").alias("text")
+        key, F.col("last").alias("pos"), (F.lit(1_000_000_000) - F.size("path")).alias("sub"), F.lit("").alias("text")
     )
     return turns.unionByName(heads).unionByName(ends)
 

@@ -12,8 +12,11 @@ from textloom.operators.ordered import LineOrder, scan
 
 PARAGRAPH_MARK = "[PAR]"
 _CUT = "\x01"
-_END = r"[.!?…][\"'’”)\]]{0,3}"
-_START = r"[\"'“‘(\[]?[\p{Lu}\p{N}]"
+# A sentence starts with a capital, a digit or a letter of a script without case.
+_END = r"[.!?…।॥؟۔][\"'’”)\]]{0,3}"
+_START = r"[\"'“‘(\[]?[\p{Lu}\p{Lo}\p{N}]"
+# Scripts written without blanks end a sentence by the mark alone.
+_WIDE_END = r"[。！？][’”」』）]{0,3}"
 MAX_ABBREVIATIONS = 4096
 
 
@@ -30,6 +33,7 @@ def _rejoin(t: Column, abbreviations) -> Column:
 
 def _mark(t: Column, abbreviations) -> Column:
     cut = F.regexp_replace(t, rf"({_END})(\s+)({_START})", f"$1{_CUT}$2$3")
+    cut = F.regexp_replace(cut, rf"({_WIDE_END})(\s*[^\s’”」』）])", f"$1{_CUT}$2")
     return _rejoin(cut, abbreviations)
 
 

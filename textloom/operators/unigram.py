@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.words import SPECIALS
-from textloom.operators.vocab import bounded_rows, tasks_for
+from textloom.operators.vocab import model_rows, tasks_for
 from textloom.session import cut_lineage
 
 
@@ -112,10 +112,9 @@ def _maximise(expected: DataFrame, least: float = 0.5) -> dict:
     kept = expected.where(F.col("weight") >= least)
     total = kept.agg(F.sum("weight").alias("total")).scalar()
     scored = kept.withColumn("total", total).select("piece", (_digamma(F.col("weight")) - _digamma(F.col("total"))).alias("s"))
-    return {r["piece"]: r["s"] for r in bounded_rows(scored, _BOUND)}
+    return {r["piece"]: r["s"] for r in model_rows(scored)}
 
 
-_BOUND = 1 << 22
 
 
 def _prune(words: DataFrame, scores: dict, keep: int) -> dict:
@@ -149,7 +148,7 @@ def _prune(words: DataFrame, scores: dict, keep: int) -> dict:
     loss = F.when(always | (F.size("alt") == 0), F.lit(float("inf"))).otherwise(f / t * (with_piece - without))
     useful = costed.where(always | (F.col("own") & (f > 0))).select("piece", "score", loss.alias("loss"))
     best = useful.orderBy(F.desc("loss"), "piece").limit(keep)
-    return {r["piece"]: r["score"] for r in bounded_rows(best, _BOUND)}
+    return {r["piece"]: r["score"] for r in model_rows(best)}
 
 
 def train_unigram(
@@ -161,7 +160,7 @@ def train_unigram(
     counted = counts.where(F.length("word") > 0).select("word", "freq").persist(StorageLevel.MEMORY_AND_DISK)
     words = cut_lineage(counted.repartition(tasks_for(counted.count(), 4_000), "word"))
     counted.unpersist()
-    seeds = bounded_rows(seed_pieces(words, seed_size, max_piece), _BOUND)
+    seeds = model_rows(seed_pieces(words, seed_size, max_piece))
     total = math.log(sum(r["freq"] for r in seeds))
     scores = {r["piece"]: math.log(r["freq"]) - total for r in seeds}
     chars = [p for p in scores if len(p) == 1]

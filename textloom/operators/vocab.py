@@ -14,9 +14,6 @@ from textloom.functions import text as tx
 from textloom.functions.words import SPECIALS, whitespace_words
 from textloom.session import cut_lineage
 
-MAX_VOCAB = 1 << 20
-
-
 def training_text(t):
     """Corpus text as the trainers see it: no tab marks, no outer blanks."""
     return tx.drop_tab_marks(t)
@@ -61,12 +58,9 @@ def wordlevel_vocab(counts: DataFrame, vocab_size: int = 50227, min_frequency: i
     return _special_rows(counts.sparkSession).unionByName(rows)
 
 
-def bounded_rows(df: DataFrame, bound: int = MAX_VOCAB) -> list:
-    """Rows of a vocabulary-sized table; refuses anything larger."""
-    rows = df.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"table exceeds {bound} rows")
-    return rows
+def model_rows(df: DataFrame) -> list:
+    """Rows of a model: a vocabulary, a merge table or an alphabet, whose size its caller chose when training it."""
+    return df.collect()
 
 
 def tasks_for(rows: int, per_task: int) -> int:
@@ -141,14 +135,14 @@ def train_bpe(
     spark = counts.sparkSession
     words = counts.where(F.length("word") > 0).select("word", "freq").persist(StorageLevel.MEMORY_AND_DISK)
     chars = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct()
-    alphabet = sorted(r["c"] for r in bounded_rows(chars))
+    alphabet = sorted(r["c"] for r in model_rows(chars))
     tokens = list(SPECIALS) + [c for c in alphabet if c not in SPECIALS]
     ids = {t: i for i, t in enumerate(tokens)}
     first = F.translate(F.substring("word", 1, 1), "".join(alphabet), "".join(_symbol(ids[c]) for c in alphabet))
     rest = F.substr("word", F.lit(2))
     if prefix:
         later = words.select(F.explode(F.array_distinct(F.split(rest, ""))).alias("c")).where("c <> ''").distinct()
-        inner = sorted(r["c"] for r in bounded_rows(later))
+        inner = sorted(r["c"] for r in model_rows(later))
         for c in inner:
             ids[prefix + c] = len(tokens)
             tokens.append(prefix + c)

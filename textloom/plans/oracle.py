@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
-from textloom.functions.text import CLITIC_FOLLOWERS, CLITICS
+_CLITICS = "n't N'T 'll 'LL 're 'RE 've 'VE 'm 'M 's 'S 'd 'D".split()
 
-CORPUS_LINES = """
+PLAIN_LINES = """
 corpus_lines AS (
   SELECT lang, source, doc_id, unnest(ls) AS text, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS pos
   FROM (SELECT lang, source, doc_id,
           string_split(text, chr(10)) || CASE WHEN doc_id % 3 = 0 THEN ['', ''] ELSE [''] END AS ls
         FROM documents))"""
 
+# (before, after) of the salted line classes.
+_SALTS = (
+    ("- ", ""), ('He said " yes , sir " and left . ', ""), ("I do n't say it 's you , they 've . ", ""),
+    ("-LRB- see -RRB- `` so '' ", " -LSB-x-RSB-"), ("( a ) and( b ). 5 % of $ 5 , 10:30 ;x ", " …"), ("so ﬁrst oﬃce ĳ ", ""),
+    ("ＡＢＣ１２ ", ""), ("cafÃ© donâ€™t ", ""), ("a\x07b ", ""), ("“curly” ‘single’ ", ""), ("nbsp\u00a0here\u2003em  ", ""),
+    ("e\u0301a ", ""), ("", " x :"), ("[TAB] ", ""), ("   ", "\t"), ("&lt;b&gt; 1 -> 2 ", " &amp;"),
+)
+
+
+def _salted():
+    def lit(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    arms = " ".join(f"WHEN {k} THEN {lit(a)} || text || {lit(b)}" for k, (a, b) in enumerate(_SALTS))
+    return f"""CASE WHEN text = '' THEN '' ELSE CASE (doc_id * 31 + pos * 7) % {len(_SALTS) + 17} {arms}
+      WHEN {len(_SALTS)} THEN '.' ELSE text END END"""
+
+
+CORPUS_LINES = PLAIN_LINES.replace("corpus_lines AS", "unsalted_lines AS") + f""",
+corpus_lines AS (SELECT lang, source, doc_id, pos, {_salted()} AS text FROM unsalted_lines)"""
+
 PAGE_LINES = """
 page_lines AS (
   SELECT page_id, unnest(ls) AS text, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS pos
@@ -36,7 +57,12 @@ def _strip(t):
 
 
 def _repair(t):
-    """Straight quotes, no controls, composed form."""
+    """The entities, misread characters, ligatures and wide letters of the salts; straight quotes, no controls, composed."""
+    for a, b in (("Ã©", "é"), ("â€™", "’"), ("ﬁ", "fi"), ("ﬃ", "ffi"), ("ĳ", "ij")):
+        t = f"replace({t}, '{a}', '{b}')"
+    t = f"translate({t}, 'ＡＢＣ１２', 'ABC12')"
+    t = f"CASE WHEN contains({t}, '<') THEN {t} ELSE replace(replace(replace({t}, '&amp;', chr(1) || 'amp'), '&lt;', '<'), '&gt;', '>') END"
+    t = f"replace({t}, chr(1) || 'amp', '&')"
     t = rf"regexp_replace({t}, '[ʼ‘-‛]', '''', 'g')"
     t = f"""regexp_replace({t}, '[“-‟]', '"', 'g')"""
     t = rf"regexp_replace({t}, '[\x00-\x08\x0b\x0e-\x1f\x7f]', '', 'g')"
@@ -114,8 +140,8 @@ def _space_punctuation(t):
 
 
 def _clitics(t):
-    for after in CLITIC_FOLLOWERS:
-        for c in CLITICS:
+    for after in (' ', ',', '.'):
+        for c in _CLITICS:
             s = (c + after).replace("'", "''")
             t = f"replace({t}, ' {s}', '{s}')"
     return t
@@ -275,13 +301,14 @@ def build() -> dict[str, str]:
              (SELECT page_id, pos, CASE WHEN t LIKE '= = = %' AND pos > 0 THEN ['', t] ELSE [t] END AS ls FROM k))
       SELECT page_id, pos, sub, regexp_replace(regexp_replace(regexp_replace(t, '\[\d+\]', '', 'g'),
         '\[\[([^|\]]*)\|*[^\]]*\]\]', '\1', 'g'), '= = = ([^=]*) = = =', '\1', 'g') AS text FROM x"""
-    q["corpus_union"] = f"""WITH {CORPUS_LINES} SELECT CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS BIGINT) AS corpus_rank,
+    q["corpus_union"] = f"""WITH {PLAIN_LINES} SELECT CASE lang WHEN 'de' THEN 0::BIGINT WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS corpus_rank,
       lang, source, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, max(doc_id) AS last_doc
-      FROM corpus_lines WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY lang, source"""
+      FROM corpus_lines GROUP BY lang, source"""
 
-    end, start = r"[.!?…][\"''’”)\]]{0,3}", r"[\"''“‘(\[]?[\p{Lu}\p{N}]"
+    end, start = r"[.!?…।॥؟۔][\"''’”)\]]{0,3}", r"[\"''“‘(\[]?[\p{Lu}\p{Lo}\p{N}]"
     def mark(t):
         m = rf"regexp_replace({t}, '({end})(\s+)({start})', '\1' || chr(1) || '\2\3', 'g')"
+        m = rf"regexp_replace({m}, '([。！？][’”」』）]{{0,3}})(\s*[^\s’”」』）])', '\1' || chr(1) || '\2', 'g')"
         return rf"regexp_replace({m}, '(^|[^\p{{L}}\p{{N}}])(\p{{Lu}}\.)' || chr(1), '\1\2', 'g')"
 
     q["sentences"] = f"""WITH {DOC_LINES}, s AS (SELECT doc_id, pos, string_split({mark(_strip("text"))}, chr(1)) AS p FROM doc_lines),
@@ -289,7 +316,7 @@ def build() -> dict[str, str]:
       SELECT doc_id, pos, CAST(sent AS BIGINT) AS sent,
         {_strip("t")} || CASE WHEN sent = n - 1 AND {_strip("t")} <> '' THEN '[PAR]' ELSE '' END AS text FROM u"""
     whole = f"string_agg(text, chr(10) ORDER BY doc_id, pos)"
-    q["sentences_across_lines"] = f"""WITH {CORPUS_LINES},
+    q["sentences_across_lines"] = f"""WITH {PLAIN_LINES},
       w AS (SELECT lang, source, {_strip(whole)} AS t FROM corpus_lines GROUP BY lang, source),
       p AS (SELECT lang, source, string_split({mark("t")}, chr(1)) AS p FROM w)
       SELECT lang, source, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS sentence_no, {_strip("x")} || '[PAR]' AS text
@@ -387,7 +414,7 @@ def build() -> dict[str, str]:
       l AS (SELECT *, len(a) + len(b) + 3 AS length, max(len(a) + len(b) + 3) OVER (PARTITION BY batch) AS width FROM c)
       SELECT batch, turn, length, width, md5({_csv("[1] || a || [2] || b || [2] || list_transform(range(width - length), lambda z: 3)")}) AS input_md5,
         width - length AS n_pad FROM l"""
-    q["span_masks"] = f"""WITH {CORPUS_LINES}, k AS (SELECT doc_id, pos, {_ids("text")} AS k FROM corpus_lines WHERE text <> '')
+    q["span_masks"] = f"""WITH {PLAIN_LINES}, k AS (SELECT doc_id, pos, {_ids("text")} AS k FROM corpus_lines WHERE text <> '')
       SELECT doc_id, pos, array_to_string(list_transform(range(len(k)), lambda i: CASE WHEN i BETWEEN len(k) // 4 AND len(k) // 2 THEN '0' ELSE '1' END), '') AS span_mask,
         {_csv("list_transform(range(8), lambda v: len(list_filter(k, lambda x: x % 8 = v)))")} AS labels
       FROM k WHERE len(k) BETWEEN 1 AND 126"""
@@ -427,15 +454,16 @@ def build() -> dict[str, str]:
       SELECT run_id, round(max(v), 6) AS max, round(min(v), 6) AS min, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) AS n
       FROM m WHERE a <= ceil(n / 2) GROUP BY run_id"""
     q["epoch_table"] = """SELECT 'all' AS run_id, strftime(ts, '%Y-%m-%d') AS epoch, max(value) FILTER (event_type = 'click') AS click,
-      max(value) FILTER (event_type = 'error') AS error, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY 2"""
+      max(value) FILTER (event_type = 'error') AS error, max(value) FILTER (event_type = 'purchase') AS purchase,
+      max(value) FILTER (event_type = 'signup') AS signup, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY 2"""
     q["topk_softmax"] = """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
       p AS (SELECT vec_id, i, exp(x - max(x) OVER (PARTITION BY vec_id)) AS z FROM e),
       s AS (SELECT vec_id, i, z / sum(z) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, i) - 1 AS rk FROM p)
       SELECT vec_id, rk AS rank, CAST(i AS BIGINT) AS index, round(p, 6) AS probability FROM s WHERE rk < 5"""
-    q["collapse_classes"] = """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
-      z AS (SELECT *, exp(a) + exp(b) + exp(c) AS s FROM e)
-      SELECT vec_id, round((exp(a) + exp(b)) / s, 6) AS p_first, round(exp(c) / s, 6) AS p_last, round((exp(a) + exp(c)) / s / 2, 6) AS mix_first,
-        CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS BIGINT) AS best FROM z"""
+    q["collapse_classes"] = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+      z AS (SELECT *, list_transform(x, lambda v: exp(v)) AS y FROM e), s AS (SELECT *, list_sum(y) AS t, y[len(y)] AS last FROM z)
+      SELECT vec_id, round((t - last) / t, 6) AS p_first, round(last / t, 6) AS p_last, round((y[1] + last) / t / 2, 6) AS mix_first,
+        CAST(list_position(x, list_max(x)) - 1 AS BIGINT) AS best FROM s"""
     q["vector_stats"] = """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm,
       round(list_stddev_samp(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS std FROM embeddings"""
     q["masked_token_scores"] = """WITH r AS (SELECT vec_id % 4 AS part, list_transform(embedding, lambda x: x::DOUBLE) AS e,

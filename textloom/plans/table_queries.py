@@ -32,11 +32,32 @@ def _joined(ids):
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
 
 
-def corpus_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as lines per (lang, source); one blank after each, two after every third."""
+#: What is put before and after a line so that every cleaning rule meets text that it changes. Fixed values; the SQL spells
+#: them out again.
+SALTS = (
+    ("- ", ""), ('He said " yes , sir " and left . ', ""), ("I do n't say it 's you , they 've . ", ""),
+    ("-LRB- see -RRB- `` so '' ", " -LSB-x-RSB-"), ("( a ) and( b ). 5 % of $ 5 , 10:30 ;x ", " …"), ("so ﬁrst oﬃce ĳ ", ""),
+    ("ＡＢＣ１２ ", ""), ("cafÃ© donâ€™t ", ""), ("a\x07b ", ""), ("“curly” ‘single’ ", ""), ("nbsp\u00a0here\u2003em  ", ""),
+    ("e\u0301a ", ""), ("", " x :"), ("[TAB] ", ""), ("   ", "\t"), ("&lt;b&gt; 1 -> 2 ", " &amp;"),
+)
+_UNSALTED = 16  # further line classes that stay as they are
+
+
+def salted(t, doc_id, pos):
+    """Every other line with a salt, chosen by document and line; one class becomes a lone mark; blank lines stay blank."""
+    k = F.pmod(doc_id * 31 + pos * 7, F.lit(len(SALTS) + 1 + _UNSALTED))
+    out = t
+    for i, (before, after) in enumerate(SALTS):
+        out = F.when(k == i, F.concat(F.lit(before), t, F.lit(after))).otherwise(out)
+    return F.when(t == "", t).when(k == len(SALTS), F.lit(".")).otherwise(out)
+
+
+def corpus_lines(spark: SparkSession, sf: str, salt: bool = True) -> DataFrame:
+    """Documents as lines per (lang, source), salted; one blank after each, two after every third."""
     gap = F.array_repeat(F.lit(""), F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1))
     lines = F.concat(F.split("text", "\n"), gap)
-    return _table(spark, sf, "documents").select("lang", "source", "doc_id", F.posexplode(lines).alias("pos", "text"))
+    rows = _table(spark, sf, "documents").select("lang", "source", "doc_id", F.posexplode(lines).alias("pos", "text"))
+    return rows.withColumn("text", salted(F.col("text"), F.col("doc_id"), F.col("pos"))) if salt else rows
 
 
 def page_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,11 +133,12 @@ def wiki_markup(spark, sf):
 
 
 def corpus_union(spark, sf):
-    """Documents of each language as one corpus, concatenated in a fixed order."""
+    """Documents of each language as one corpus, concatenated in a fixed order; other languages and null come last."""
     names = ["de", "en", "es", "fr"]
-    lines = corpus_lines(spark, sf)
+    lines = corpus_lines(spark, sf, salt=False)
     parts = [lines.where(F.col("lang") == n) for n in names]
-    out = corpora.union_corpora(parts, names, DOCUMENT_LINES)
+    parts.append(lines.where(~F.coalesce(F.col("lang").isin(names), F.lit(False))))
+    out = corpora.union_corpora(parts, [*names, "other"], DOCUMENT_LINES)
     return out.groupBy("corpus_rank", "lang", "source").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"),
         F.max("doc_id").alias("last_doc"),
@@ -135,7 +157,7 @@ def sentences(spark, sf):
 
 
 def sentences_across_lines(spark, sf):
-    return segment.segment_corpus(corpus_lines(spark, sf), DOCUMENT_LINES)
+    return segment.segment_corpus(corpus_lines(spark, sf, salt=False), DOCUMENT_LINES)
 
 
 def abbreviation_stats(spark, sf):
@@ -286,7 +308,7 @@ def _segments(spark, sf):
 
 
 def shard_steps(spark, sf):
-    rows = corpus_lines(spark, sf).select(examples.shard_of(F.col("doc_id") + F.col("pos"), 8).alias("shard"))
+    rows = corpus_lines(spark, sf, salt=False).select(examples.shard_of(F.col("doc_id") + F.col("pos"), 8).alias("shard"))
     out = examples.steps_per_epoch(rows, 16)
     return out.select("steps", "shards", examples.token_budget(F.col("steps"), F.col("shards"), 16, 128).alias("token_budget"))
 
@@ -367,7 +389,7 @@ def collated_sentences(spark, sf):
 
 def span_masks(spark, sf):
     """A span in the middle of each short line, as a mask and a multi-hot label."""
-    rows = corpus_lines(spark, sf).where("text <> ''").select("doc_id", _big("pos"), _stand_in_ids(F.col("text")).alias("ids"))
+    rows = corpus_lines(spark, sf, salt=False).where("text <> ''").select("doc_id", _big("pos"), _stand_in_ids(F.col("text")).alias("ids"))
     rows = rows.where(tx.subword_count_between(F.col("ids"), 1, 126))
     n = F.size("ids")
     mask = ar.span_mask(n, F.floor(n / 4), F.floor(n / 2))
@@ -468,12 +490,15 @@ def history_stats(spark, sf):
     return out.select("run_id", *[F.round(c, 6).alias(c) for c in ("max", "min", "mean", "std")], "n")
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 def epoch_table(spark, sf):
     log = _table(spark, sf, "events").select(
         F.lit("all").alias("run_id"), F.date_trunc("day", "ts").alias("epoch"), F.col("event_type").alias("metric"), "value"
     )
-    out = metrics.epoch_table(log, ["click", "error", "view"])
-    return out.select("run_id", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), "click", "error", "view")
+    out = metrics.epoch_table(log, list(EVENT_TYPES))
+    return out.select("run_id", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), *EVENT_TYPES)
 
 
 def topk_softmax(spark, sf):
@@ -483,8 +508,8 @@ def topk_softmax(spark, sf):
 
 
 def collapse_classes(spark, sf):
-    v = _table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("logits"))
-    two = ar.first_classes_against_last(F.col("logits"))
+    v = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("logits"))
+    two = ar.first_classes_against_last(F.col("logits"), F.size("logits") - 1)
     mixed = ar.mixture(F.col("logits"), F.reverse("logits"))
     return v.select(
         "vec_id", F.round(two[0], 6).alias("p_first"), F.round(two[1], 6).alias("p_last"),
