@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from textloom.llm.store import parts, written
+from textloom.llm.store import parts, release, written
 
 LENGTH, GRAM = 50, 20
 RUN_ANCHORS = 1 << 20  # hashes in a run of step 1
 RUN_SUFFIXES = 1 << 18  # suffixes in a run of step 2
 RANGE_BYTES = 1 << 23  # text for each bucket and range
-_SAMPLE = 64  # one in so many anchors, by hash, helps to place the ranges
+_SAMPLE = 64  # one in so many documents, by hash, helps to place the ranges
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -70,8 +70,8 @@ def window_minima(h: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(part[:n], part[span - width : span - width + n])
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+def _packed(x: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(x).tobytes())
 
 
 def _unpacked(x: bytes, kind) -> np.ndarray:
@@ -102,16 +102,16 @@ _HASHES = _schema(bucket=LongType, hashes=BinaryType, docs=BinaryType, owner=Bin
 
 
 def _hash_runs(buckets: int, length: int, gram: int):
-    """Step 1: rows (doc_id, data) to sorted runs of (hash, document) by bucket; bucket -1 has sampled prefixes."""
+    """Step 1: rows (doc_id, data) to sorted runs of (hash, document) by bucket."""
 
-    def flush(hashes: list[np.ndarray], docs: list[int], prefixes: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(hashes: list[np.ndarray], docs: list[int]) -> pa.RecordBatch:
         owner = np.repeat(np.arange(len(docs), dtype=np.uint32), [len(h) for h in hashes])
         h = np.concatenate(hashes)
         order = np.argsort(h)
         h, owner, ids = h[order], owner[order], np.array(docs, np.int64)
         edges = [b * (1 << 64) // buckets for b in range(1, buckets)]
         cut = [0, *np.searchsorted(h, np.array(edges, np.uint64)).tolist(), len(h)]
-        rows = [(-1, _packed(np.concatenate(prefixes)), None, None)]
+        rows = []
         for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)):
             if e > s:
                 own, at = np.unique(owner[s:e], return_inverse=True)
@@ -119,25 +119,39 @@ def _hash_runs(buckets: int, length: int, gram: int):
         return _batch(_HASHES, rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs, prefixes, total = [], [], [], 0
+        hashes, docs, total = [], [], 0
         for b in batches:
             for doc, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = np.frombuffer(data.as_buffer(), np.uint8)
-                if len(text) < length:
-                    continue
-                h = gram_hashes(text, gram)
-                low = window_minima(h, length - gram + 1)
-                low = np.unique(low[np.flatnonzero(np.diff(low, prepend=~low[:1]))])
-                some = np.flatnonzero(np.isin(h, low[low % np.uint64(_SAMPLE) == 0]))
+                low = _minima(np.frombuffer(data.as_buffer(), np.uint8), length, gram)[1]
                 hashes.append(low)
                 docs.append(doc)
-                prefixes.append(_prefix(text[some[:, None] + np.arange(8)]))
                 total += len(low)
                 if total >= RUN_ANCHORS:
-                    yield flush(hashes, docs, prefixes)
-                    hashes, docs, prefixes, total = [], [], [], 0
+                    yield flush(hashes, docs)
+                    hashes, docs, total = [], [], 0
         if docs:
-            yield flush(hashes, docs, prefixes)
+            yield flush(hashes, docs)
+
+    return run
+
+
+def _minima(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every gram, and the different hashes that are smallest in a window."""
+    h = gram_hashes(text, gram)
+    low = window_minima(h, length - gram + 1)
+    return h, np.unique(low[np.flatnonzero(np.diff(low, prepend=~low[:1]))])
+
+
+def _prefixes(length: int, gram: int):
+    """The first eight bytes after the anchors of rows (data), as longs in the bytes' order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                text = np.frombuffer(data.as_buffer(), np.uint8)
+                h, low = _minima(text, length, gram)
+                top = _prefix(text[np.flatnonzero(np.isin(h, low))[:, None] + np.arange(8)]) ^ np.uint64(1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(top.view(np.int64))], names=["p"])
 
     return run
 
@@ -170,6 +184,8 @@ def anchors(text: np.ndarray, shared: np.ndarray, length: int, gram: int) -> tup
     low = window_minima(h, length - gram + 1)
     shared = np.unique(shared)
     window = np.flatnonzero(np.isin(low, shared))
+    if not len(window):  # another row of the document has them
+        return window, window, window
     place = np.flatnonzero(np.isin(h, shared))
     n = len(h) + 1
     key = np.searchsorted(shared, h[place]) * n + place
@@ -223,7 +239,8 @@ def _suffix_runs(splits: list[int], length: int, gram: int):
                 part = lcp[s:e].copy()
                 part[0] = 0
                 tails = own[s:e][np.arange(own.shape[1]) >= part[:, None]]
-                rows.append((b, run, s, *map(_packed, (part, tails, least[s:e], most[s:e])), *[None] * 4))
+                least_most = map(_packed, (least[s:e], most[s:e]))
+                rows.append((b, run, s, _packed(part), _packed(tails, 6), *least_most, *[None] * 4))
         return _batch(_RUNS, rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,21 +459,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     )
     size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = parts(spark, size, RANGE_BYTES)
-    hashes = written(rows.mapInArrow(_hash_runs(buckets, length, gram), _HASHES))
-
-    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                top = (_unpacked(x, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(top)], names=["p"])
-
-    sample = hashes.where("bucket < 0").select("hashes").mapInArrow(prefixes, "p long")
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLE)) == 0).select("data").mapInArrow(_prefixes(length, gram), "p long")
     cuts = sample.agg(F.percentile_approx("p", [k / buckets for k in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
     splits = [(x + (1 << 63)) % (1 << 64) for x in sorted(set(cuts))]
-    shared = hashes.where("bucket >= 0").groupBy("bucket").applyInPandas(_shared, "doc_id long, hashes binary")
+    hashes = rows.mapInArrow(_hash_runs(buckets, length, gram), _HASHES)
+    shared = hashes.groupBy("bucket").applyInPandas(_shared, "doc_id long, hashes binary")
     shared = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("shared"))
     found = rows.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", F.xxhash64("data").alias("hash"), "data", "shared")
     runs = written(found.mapInArrow(_suffix_runs(splits, length, gram), _RUNS))
+    release(spark)
     ranges = runs.where("bucket >= 0").select("bucket", "run", "n", "lcp", "tails", "least", "most")
     removed = ranges.groupBy("bucket").applyInPandas(_merged(length, gram), _FOUND)
     occurrences = runs.where("bucket < 0").select("run", "doc", "hash", "key", "place")
