@@ -315,7 +315,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            texts = [None if x is None else vocab.decode(x.as_py()) for x in batch.column(at)]
+            texts = [vocab.decode(x.as_py()) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, schema)
