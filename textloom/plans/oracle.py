@@ -471,4 +471,38 @@ def build() -> dict[str, str]:
       l AS (SELECT part, ln(list_sum(list_transform(e, lambda x: exp(x)))) - e[t] AS loss, list_position(e, list_max(e)) = t AS hit FROM r)
       SELECT part, round(avg(loss), 6) AS loss, round(avg(hit::INT), 6) AS accuracy, round(exp(avg(loss)), 6) AS perplexity, count(*) AS n
       FROM l GROUP BY part"""
+    q["framed_pairs"] = f"""WITH {TURN_PAIRS}, p AS (SELECT conv_id, turn, {_ids("text_a")} AS a, {_ids("text_b")} AS b FROM tp),
+      l AS (SELECT *, CASE WHEN len(a) + len(b) <= 61 THEN len(a)
+              WHEN len(b) <= 30 THEN 61 - len(b) WHEN len(a) <= 30 THEN len(a)
+              WHEN len(a) >= len(b) THEN 31 ELSE 30 END AS na FROM p),
+      m AS (SELECT *, least(len(b), 61 - na) AS nb FROM l)
+      SELECT conv_id, turn, {_csv("[1] || a[1:na] || [2] || b[1:nb] || [2] || list_transform(range(61 - na - nb), lambda z: 3)")} AS input_ids,
+        {_csv("list_transform(range(3 + na + nb), lambda z: 1) || list_transform(range(61 - na - nb), lambda z: 0)")} AS is_real FROM m"""
+    q["lower_lines"] = f"WITH {DOC_LINES} SELECT doc_id, pos, lower(text) AS text FROM doc_lines"
+    q["accuracy_plain"] = f"""WITH {PREDICTIONS} SELECT lang, round(avg(CAST(pred = label AS INT)), 9) AS accuracy, count(*) AS n
+      FROM pr WHERE label >= 0 GROUP BY lang"""
+    q["resume_batches"] = """WITH b AS (SELECT doc_id, doc_id % 3 AS epoch, doc_id // 16 AS batch FROM documents)
+      SELECT epoch, batch, epoch * 40 + batch AS step, count(*) AS n, max(doc_id) AS last_doc FROM b
+      WHERE epoch * 40 + batch BETWEEN 25 AND 98 GROUP BY epoch, batch"""
+    q["random_document"] = """SELECT doc_id AS seg_id, lang FROM documents ORDER BY md5('11:show:' || doc_id), doc_id LIMIT 1"""
+    q["ordered_batches"] = """SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 16 AS batch FROM documents"""
+    q["attached_predictions"] = """SELECT l.doc_id AS row_id, CAST(quality AS BIGINT) AS quality,
+      CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS predicted FROM labels l LEFT JOIN embeddings e ON e.vec_id = l.doc_id"""
+    even = "array_to_string(list_transform({}, lambda v: CASE WHEN v % 2 = 0 THEN '1' ELSE '0' END), '')"
+    q["joined_span_masks"] = f"""WITH {TURN_PAIRS} SELECT conv_id, turn,
+      '1' || {even.format(_ids("text_a"))} || '1' || {even.format(_ids("text_b"))} || '1' AS span_mask FROM tp"""
+    q["validation_rows"] = """WITH s AS (SELECT doc_id, (['train', 'validation', 'validation_matched', 'validation_mismatched',
+        'validation_hans'])[doc_id % 5 + 1] AS split FROM documents)
+      SELECT 'mnli' AS task, split, doc_id FROM s WHERE split LIKE 'validation\\_%' ESCAPE '\\'
+      UNION ALL SELECT 'rte', split, doc_id FROM s WHERE split = 'validation'"""
+    q["probing_f1"] = f"""WITH k AS (SELECT item_id, {_ids("text")} AS k FROM benchmark),
+      h AS (SELECT item_id % 3 AS task, unnest(range(32)) AS c, list_transform(k, lambda x: x % 32) AS y,
+        list_transform(k, lambda x: (x + x % 5) % 32) AS p FROM k),
+      t AS (SELECT task, list_contains(y, c) AS y, list_contains(p, c) AS p FROM h)
+      SELECT CAST(task AS VARCHAR) AS task, 'test' AS split, round(2 * count(*) FILTER (y AND p) / (count(*) FILTER (y) + count(*) FILTER (p)), 9) AS f1
+      FROM t GROUP BY task"""
+    q["decoded_wordlevel"] = f"""WITH {WORD_COUNTS}, {VOCAB},
+      t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {_words("text")} AS ws FROM documents))
+      SELECT doc_id, md5(string_agg(coalesce(v.word, '[UNK]'), ' ' ORDER BY i)) AS text_md5
+      FROM t LEFT JOIN vocab v ON v.word = t.word GROUP BY doc_id"""
     return q

@@ -533,6 +533,84 @@ def masked_token_scores(spark, sf):
     return out.select("part", *[F.round(c, 6).alias(c) for c in ("loss", "accuracy", "perplexity")], "n")
 
 
+# --- further operators over the tables ----------------------------------------------------
+
+
+def framed_pairs(spark, sf):
+    rows = _turn_pairs(spark, sf)
+    ids, real = evalsets.encode_framed_pair(_stand_in_ids(F.col("text_a")), _stand_in_ids(F.col("text_b")), 64)
+    return rows.select("conv_id", "turn", _joined(ids).alias("input_ids"), _joined(real).alias("is_real"))
+
+
+def lower_lines(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return docs.select("doc_id", _big("pos"), tx.lower_case(F.col("text")).alias("text"))
+
+
+def accuracy_plain(spark, sf):
+    rows = _predictions(spark, sf).where(tx.labelled(F.col("label")))
+    return metrics.accuracy(rows, ["lang"]).select("lang", F.round("accuracy", 9).alias("accuracy"), "n")
+
+
+def resume_batches(spark, sf):
+    """What is left of three epochs of document batches after a stop in the first one."""
+    rows = _table(spark, sf, "documents").select(
+        (F.col("doc_id") % 3).cast("bigint").alias("epoch"), F.floor(F.col("doc_id") / 16).cast("bigint").alias("batch"), "doc_id"
+    )
+    out = examples.resume_window(rows, 40, 25, 110, 0.9)
+    return out.groupBy("epoch", "batch", "step").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_doc"))
+
+
+def random_document(spark, sf):
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("seg_id"), "lang")
+    return examples.random_example(docs, 11)
+
+
+def ordered_batches(spark, sf):
+    rows = _table(spark, sf, "documents").select("lang", "doc_id")
+    return examples.ordered_batches(rows, LineOrder(("lang",), "doc_id", (), (12, 26, 44)), 16).select("lang", "doc_id", _big("batch"))
+
+
+def attached_predictions(spark, sf):
+    rows = _table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), "quality")
+    scores = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("logits"))
+    return evalsets.attach_predictions(rows, scores).select("row_id", _big("quality"), _big("predicted"))
+
+
+def joined_span_masks(spark, sf):
+    a, b = _stand_in_ids(F.col("text_a")), _stand_in_ids(F.col("text_b"))
+    masks = F.array(*[F.transform(x, lambda v: v % 2 == 0) for x in (a, b)])
+    joined = F.transform(evalsets.join_span_masks(masks), lambda m: F.when(m, "1").otherwise("0"))
+    return _turn_pairs(spark, sf).select("conv_id", "turn", F.array_join(joined, "").alias("span_mask"))
+
+
+def validation_rows(spark, sf):
+    names = F.array(*[F.lit(n) for n in ("train", "validation", "validation_matched", "validation_mismatched", "validation_hans")])
+    rows = _table(spark, sf, "documents").withColumn("split", F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")))
+    found = [evalsets.validation_splits(rows, t).select(F.lit(t).alias("task"), "split", "doc_id") for t in ("mnli", "rte")]
+    return found[0].unionByName(found[1])
+
+
+def probing_f1(spark, sf):
+    ids = _stand_in_ids(F.col("text"))
+    rows = _table(spark, sf, "benchmark").select(
+        (F.col("item_id") % 3).cast("string").alias("task"), F.lit("test").alias("split"),
+        ar.multi_hot(F.transform(ids, lambda x: x % 32), 32).alias("labels"),
+        ar.multi_hot(F.transform(ids, lambda x: (x + x % 5) % 32), 32).alias("predicted"),
+    )
+    return metrics.probing_f1(rows).select("task", "split", F.round("f1", 9).alias("f1"))
+
+
+def decoded_wordlevel(spark, sf):
+    """Words of each document after encoding and decoding."""
+    docs = _table(spark, sf, "documents")
+    v = vocab.wordlevel_vocab(vocab.word_counts(docs), 5000)
+    toks = docs.select("doc_id", F.posexplode(wd.whitespace_words(F.col("text"))).alias("pos", "word"))
+    ids = encode.encode_by_lookup(toks, v, ["doc_id"])
+    words = encode.ids_to_tokens(ids, v, ["doc_id"])
+    return words.select("doc_id", F.md5(encode.join_tokens(F.col("tokens"))).alias("text_md5"))
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
@@ -545,6 +623,7 @@ QUERIES = {
         pair_encode, longest_pair, truncate_pairs, collated_sentences, span_masks, pseudo_likelihood_rows,
         label_balance, confusion, accuracy_batch_mean, mcc, f1, f1_macro, pearson_spearman, pairwise_choice,
         minimal_pairs_macro, history_stats, epoch_table, topk_softmax, collapse_classes, vector_stats,
-        masked_token_scores,
+        masked_token_scores, framed_pairs, lower_lines, accuracy_plain, resume_batches, random_document, ordered_batches,
+        attached_predictions, joined_span_masks, validation_rows, probing_f1, decoded_wordlevel,
     )
 }
