@@ -3,8 +3,9 @@
 A document of a source with factor f = target / source size goes in floor(f) times, and once more with probability
 f - floor(f). The extra copies are rounded dependently: two documents with fractional probabilities meet, and word mass moves
 at random from one to the other until one of them is 0 or 1. The mean of every probability and the source's sum of words
-stay as they are, so the words taken miss the target by less than one document. Documents meet inside hash groups of bounded
-size; each group leaves at most one fractional document, and these meet in the groups of the next level of the tree.
+stay as they are, so the words taken miss the target by less than one document; large documents meet first, so that it is
+mostly a small one. Documents meet inside hash groups of bounded size; each group leaves at most one fractional document, and
+these meet in the groups of the next level of the tree.
 All draws come from the keys, so reruns agree whatever the partitioning.
 """
 
@@ -86,7 +87,8 @@ def pivotal(size: np.ndarray, chance: np.ndarray, draws: np.ndarray) -> tuple[np
 
 
 def _round_group(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["draw", "row"], kind="stable")
+    # large documents first: what is still fractional at the end is then a small one
+    rows = rows.sort_values(["size", "draw", "row"], ascending=[False, True, True], kind="stable")
     p, left = pivotal(rows["size"].to_numpy(float), rows["chance"].to_numpy(), rows["draw"].to_numpy())
     rows["chance"] = p
     rows["open"] = np.arange(len(rows)) == left

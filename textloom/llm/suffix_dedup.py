@@ -471,7 +471,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     ranges = runs.where("bucket >= 0").select("bucket", "run", "n", "lcp", "tails", "least", "most")
     removed = ranges.groupBy("bucket").applyInPandas(_merged(length, gram), _FOUND)
     occurrences = runs.where("bucket < 0").select("run", "doc", "hash", "key", "place")
-    return removed.groupBy("run").cogroup(occurrences.groupBy("run")).applyInPandas(_spans(length), _SPANS)
+    spans = written(removed.groupBy("run").cogroup(occurrences.groupBy("run")).applyInPandas(_spans(length), _SPANS))
+    release(spark)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: str | None = "bytes") -> DataFrame:
