@@ -505,4 +505,14 @@ def build() -> dict[str, str]:
       t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {_words("text")} AS ws FROM documents))
       SELECT doc_id, md5(string_agg(coalesce(v.word, '[UNK]'), ' ' ORDER BY i)) AS text_md5
       FROM t LEFT JOIN vocab v ON v.word = t.word GROUP BY doc_id"""
+    byte = "(CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 THEN b WHEN b < 33 THEN 256 + b WHEN b = 173 THEN 323 ELSE 162 + b END)"
+    shown = "list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INT)"
+    shown = f"array_to_string(list_transform({shown}, lambda b: chr({byte})), '')"
+    split = r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+    q["byte_level_counts"] = rf"""WITH d AS (SELECT {_strip("replace(" + _strip("text") + ", '[TAB] ', '')")} AS t FROM documents),
+      s AS (SELECT CASE WHEN t = '' OR regexp_matches(t, '^{BLANK}') THEN t ELSE ' ' || t END AS t FROM d),
+      w AS (SELECT unnest(regexp_extract_all(t, '{split}')) AS w FROM s),
+      c AS (SELECT hex(encode(w)) AS h, count(*) AS n FROM w GROUP BY w), b AS (SELECT {shown} AS x, n FROM c),
+      p AS (SELECT unnest(regexp_extract_all(x, '\p{{N}}|[^\p{{N}}]+')) AS word, n FROM b)
+      SELECT word, CAST(sum(n) AS BIGINT) AS freq FROM p GROUP BY word"""
     return q

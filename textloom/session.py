@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ def local_session(cpus: int | str = "*", app: str = "textloom", memory: str = "8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config(TABLE_PARTITIONS, str(os.cpu_count() if cpus == "*" else cpus))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,10 +46,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Session setting: how many partitions ``spread`` deals a table to. Unset: tables stay as they are read.
+TABLE_PARTITIONS = "spark.textloom.tablePartitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the input came in fewer pieces than there are cores.
+    """Deal rows out to as many partitions as the session asks for, whatever the size.
 
-    Small or unsplittable files would leave cores idle; large inputs pass unchanged.
+    For local runs over few unsplittable files, which would leave cores idle; a cluster leaves the setting out.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.sparkSession.conf.get(TABLE_PARTITIONS, "")
+    return df.repartition(int(n)) if n else df
