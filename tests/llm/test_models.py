@@ -90,6 +90,8 @@ def test_blocks():
     assert text("a < b &lt;p&gt; <a title='>'>c</a> <p") == ["a < b <p> c"]
     assert text("<ul><li>a<ul><li>b</ul><li>c</ul>") == ["a", "b", "c"] and text("") == [] and text("<p></p>") == []
     assert text("<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"]
+    deep = "<div>" * 30_000 + "deep" + "</div></p>" * 30_000 + "after"
+    assert text(deep) == ["deep", "after"]
     assert text("<p>unclosed <!-- comment") == ["unclosed"] and text("</div></p>a") == ["a"]
 
 
@@ -112,7 +114,7 @@ def test_extract(spark):
 def test_article_pages(spark):
     """On the given pages the article's blocks are the main text."""
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
-        want = "\n".join(b.text for b in ht.blocks(r.html) if "article" in b.path)
+        want = "\n".join(b.text for b in ht.blocks(r.html) if "article" in b.tags)
         assert ht.main_text(r.html, ht.default_field()) == want
 
 

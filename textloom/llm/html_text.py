@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,9 +28,8 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select button xmp".split())
-#: An open element of the key is closed by the start of an element of the value.
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
-         "option": {"option"}}
+#: The start of an element of the key closes the nearest open element of the value.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|</?[a-zA-Z][^>]*\Z",
@@ -40,10 +40,25 @@ _SPLIT = re.compile(r"[a-z]+")
 _END_MARK = re.compile(r"[.!?…。！？]['\")\]»”’]*$")
 
 
+#: Words of class, id and role that tell of furniture or of the article (fixed values).
+_FURNITURE = (
+    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright"
+    " credits disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification"
+    " pager pagination popup privacy promo promoted promotion related reply replies respond share sharing sidebar signup skip"
+    " social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget"
+).split()
+_ARTICLE = "article blog body content entry main post prose story text".split()
+_LANDMARKS = "nav header footer aside form article main section figure figcaption table ul ol dl li p h1 h2 h3 h4 blockquote pre".split()
+_FURNITURE_SET, _ARTICLE_SET, _LANDMARK_SET = frozenset(_FURNITURE), frozenset(_ARTICLE), frozenset(_LANDMARKS)
+_KNOWN = _FURNITURE_SET | _ARTICLE_SET
+
+
 @dataclass(frozen=True)
 class Block:
     text: str
-    path: tuple[str, ...]  # tags and words of class, id and role of the ancestors
+    own: str  # tag of the innermost ancestor
+    tags: frozenset[str]  # of all ancestors
+    words: frozenset[str]  # known words in the ancestors' class, id and role
     link: float  # share of the characters inside links
 
 
@@ -54,19 +69,24 @@ def blocks(page: str) -> list[Block]:
     tags that aren't closed are closed where their parent ends.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    nothing: frozenset[str] = frozenset()
+    stack = [("none", nothing, nothing)]  # open elements: tag, tags and known words down to it
+    is_open: Counter[str] = Counter()
     held: list[tuple[str, bool]] = []
     links = 0
 
-    def flush(path: tuple[str, ...]) -> None:
+    def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(t for t, _ in held)).split())
             if text:
                 inside = sum(len(t) for t, a in held if a)
-                out.append(Block(text, path, inside / max(sum(len(t) for t, _ in held), 1)))
+                out.append(Block(text, *stack[-1], inside / max(sum(len(t) for t, _ in held), 1)))
             held.clear()
 
-    block_path: tuple[str, ...] = ()
+    def close(to: int) -> None:
+        is_open.subtract(s[0] for s in stack[to:])
+        del stack[to:]
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -83,67 +103,56 @@ def blocks(page: str) -> list[Block]:
             if name == "a":
                 links = max(0, links - 1)
             elif name in _BLOCK:
-                flush(block_path)
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                block_path = stack[-1][1]
+                flush()
+                if is_open[name] > 0:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
             continue
         if name in _RAW:
-            close = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at) if not m[3].endswith("/") else None
-            at = close.end() if close else (n if name in ("script", "style") else at)
+            end = None if m[3].endswith("/") else re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else (n if name in ("script", "style") else at)
             if name in _BLOCK:
-                flush(block_path)
+                flush()
             continue
         if name == "br":
             held.append((" ", links > 0))
         elif name == "a":
             links += 1
+        elif name == "hr":
+            flush()
         if name not in _BLOCK or name in _VOID:
-            if name == "hr":
-                flush(block_path)
             continue
-        flush(block_path)
+        flush()
         links = 0
-        if name in _ENDS:
+        if name in _ENDS and any(is_open[x] > 0 for x in _ENDS[name]):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in _ENDS and name in _ENDS[stack[k][0]]:
-                    del stack[k:]
+                if stack[k][0] in _ENDS[name]:
+                    close(k)
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        if any(s[0] == "p" for s in stack[-1:]):  # a paragraph holds no blocks
-            stack.pop()
-        words = {w for g in _NAMES.findall(m[3]) for w in _SPLIT.findall("".join(g).lower())} if m[3] else ()
-        stack.append((name, (*stack[-1][1], name, *(f".{w}" for w in sorted(words)))))
-        block_path = stack[-1][1]
-    flush(block_path)
+        if stack[-1][0] == "p":  # a paragraph holds no blocks
+            close(len(stack) - 1)
+        _, tags, words = stack[-1]
+        if name not in tags:
+            tags = tags | {name}
+        if m[3]:
+            found = {w for g in _NAMES.findall(m[3]) for w in _SPLIT.findall("".join(g).lower())} & _KNOWN
+            words = words | found if found - words else words
+        stack.append((name, tags, words))
+        is_open[name] += 1
+    flush()
     return out
 
 
-#: Words of class, id and role that tell of furniture or of the article (fixed values).
-_FURNITURE = (
-    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright"
-    " credits disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification"
-    " pager pagination popup privacy promo promoted promotion related reply replies respond share sharing sidebar signup skip"
-    " social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget"
-).split()
-_ARTICLE = "article blog body content entry main post prose story text".split()
-_LANDMARKS = "nav header footer aside form article main section figure figcaption table ul ol dl li p h1 h2 h3 h4 blockquote pre".split()
-
-
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the binary features that hold for each block."""
     out = []
     for k, b in enumerate(page):
-        tags = {t for t in b.path if t[0] != "."}
-        words = {t[1:] for t in b.path if t[0] == "."}
-        own = b.path[-1] if b.path and b.path[-1][0] != "." else next((t for t in reversed(b.path) if t[0] != "."), "none")
-        bad = [w for w in words if w in _FURNITURE_SET]
-        f = ["bias", "own=" + own, *(f"in={t}" for t in tags if t in _LANDMARK_SET)]
+        tags, words = b.tags, b.words
+        bad = words & _FURNITURE_SET
+        f = ["bias", "own=" + b.own, *(f"in={t}" for t in tags & _LANDMARK_SET)]
         f += [f"word={w}" for w in bad] + (["furniture"] if bad else [])
-        if any(w in _ARTICLE_SET for w in words):
+        if words & _ARTICLE_SET:
             f.append("article word")
         if not tags & {"nav", "header", "footer", "aside", "form"} and not bad:
             f.append("plain path")
@@ -161,9 +170,6 @@ def features(page: list[Block]) -> list[list[str]]:
     return out
 
 
-_FURNITURE_SET, _ARTICLE_SET, _LANDMARK_SET = frozenset(_FURNITURE), frozenset(_ARTICLE), frozenset(_LANDMARKS)
-
-
 @dataclass(frozen=True)
 class Field:
     """Weights by feature and label, by pair of neighbouring labels, and by the first label."""
