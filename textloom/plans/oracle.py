@@ -336,16 +336,15 @@ def build() -> dict[str, str]:
 
     who_key = "'' || conv_id || ':' || role"
     who = f"['Ada', 'Ben', 'Cleo', 'Dan', 'Eve'][1 + CAST(floor({_u(who_key)} * 5) AS BIGINT)]"
-    ends = """SELECT conv_id AS doc_id, '## Talk ' || conv_id AS text FROM conversations GROUP BY conv_id
-      UNION ALL SELECT conv_id, '' FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id, '' FROM conversations GROUP BY conv_id"""
+    ends = """SELECT conv_id AS doc_id, -1 AS place, '## Talk ' || conv_id AS text FROM conversations GROUP BY conv_id
+      UNION ALL SELECT conv_id, unnest([1000000000, 1000000001]), '' FROM conversations GROUP BY conv_id"""
     sentence_lines = "array_to_string(list_filter(string_split(text, chr(10)), lambda v: v <> ''), chr(10))"
-    turns = f"c0 AS (SELECT conv_id, role, {sentence_lines} AS x FROM conversations), {_clean_cte('c0', 'conv_id, role')}"
-    q["spoken_documents"] = rf"""WITH {turns}, b AS (SELECT conv_id AS doc_id, {who} || ': ''' || x || '''' AS text FROM c5
-        WHERE regexp_matches(x, '[\p{{L}}\p{{N}}]') UNION ALL {ends})
-      SELECT doc_id, text, count(*) AS n FROM b GROUP BY doc_id, text"""
-    q["written_documents"] = f"""WITH {turns}, b AS (SELECT conv_id AS doc_id, role || ': ''' || x || '''' AS text FROM c5
-        WHERE x <> '' UNION ALL {ends})
-      SELECT doc_id, text, count(*) AS n FROM b GROUP BY doc_id, text"""
+    turns = f"c0 AS (SELECT conv_id, turn, role, {sentence_lines} AS x FROM conversations), {_clean_cte('c0', 'conv_id, turn, role')}"
+    ordered = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS block, text FROM b"
+    q["spoken_documents"] = rf"""WITH {turns}, b AS (SELECT conv_id AS doc_id, turn AS place, {who} || ': ''' || x || '''' AS text FROM c5
+        WHERE regexp_matches(x, '[\p{{L}}\p{{N}}]') UNION ALL {ends}) {ordered}"""
+    q["written_documents"] = f"""WITH {turns}, b AS (SELECT conv_id AS doc_id, turn AS place, role || ': ''' || x || '''' AS text FROM c5
+        WHERE x <> '' UNION ALL {ends}) {ordered}"""
 
     q["word_counts"] = f"WITH {WORD_COUNTS} SELECT word, freq FROM wc"
     q["vocab_wordlevel"] = f"WITH {WORD_COUNTS}, {VOCAB} SELECT word AS token, id, freq FROM vocab"

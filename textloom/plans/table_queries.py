@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import arrays as ar
@@ -195,6 +195,12 @@ def _turns_as_xml(spark, sf, root: str, turn) -> DataFrame:
     )
 
 
+def _numbered_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks by their place in the document; a document is small."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub"))
+    return blocks.select("doc_id", place.cast("bigint").alias("block"), "text")
+
+
 SPEAKER_NAMES = ("Ada", "Ben", "Cleo", "Dan", "Eve")
 
 
@@ -202,7 +208,7 @@ def spoken_documents(spark, sf):
     turn = F.concat(F.lit('<u who="'), F.col("role"), F.lit('"><pause/>'), F.col("lines"), F.lit("</u>"))
     els = markup.elements(_turns_as_xml(spark, sf, "stext", turn))
     blocks = markup.spoken_blocks(els, SPEAKER_NAMES)
-    return blocks.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    return _numbered_blocks(blocks)
 
 
 def written_documents(spark, sf):
@@ -211,7 +217,7 @@ def written_documents(spark, sf):
     )
     els = markup.elements(_turns_as_xml(spark, sf, "wtext", turn))
     blocks = markup.written_blocks(els)
-    return blocks.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    return _numbered_blocks(blocks)
 
 
 # --- vocabularies ------------------------------------------------------------------------
