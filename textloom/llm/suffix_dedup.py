@@ -36,7 +36,8 @@ from textloom.llm.store import parts, release, written
 LENGTH, GRAM = 50, 20
 RUN_ANCHORS = 1 << 20  # hashes in a run of step 1
 RUN_SUFFIXES = 1 << 18  # suffixes in a run of step 2
-RANGE_BYTES = 1 << 23  # text for each bucket and range
+SLICE = 1 << 16  # suffixes whose windows step 3 looks at together
+RANGE_BYTES = 1 << 23  # text for each bucket of hashes and each range of suffixes
 _SAMPLE = 64  # one in so many documents, by hash, helps to place the ranges
 
 
@@ -161,21 +162,48 @@ def _prefix(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Step 1, one bucket: the hashes that occur in two documents or more, by document."""
-    h = [_from_deltas(x) for x in rows["hashes"]]
-    doc = [_unpacked(d, np.int64)[_unpacked(o, np.uint32)] for d, o in zip(rows["docs"], rows["owner"], strict=True)]
-    h, doc = np.concatenate(h), np.concatenate(doc)
-    order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    new = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-    many = np.repeat(np.diff(new, append=len(h)) > 1, np.diff(new, append=len(h)))
-    h, doc = h[many], doc[many]
+_BLOCKS = _schema(block=LongType, docs=BinaryType, sizes=BinaryType, hashes=BinaryType)
+_SHARED = _schema(doc_id=LongType, shared=BinaryType)
+
+
+def _by_document(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, their numbers of hashes, and the hashes one document after another."""
     order = np.argsort(doc, kind="stable")
-    h, doc = h[order], doc[order]
-    ids, at = np.unique(doc, return_index=True)
-    cut = [*at.tolist(), len(doc)]
-    return pd.DataFrame({"doc_id": ids, "hashes": [h[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)]})
+    ids, sizes = np.unique(doc, return_counts=True)
+    return ids, sizes, h[order]
+
+
+def _shared(blocks: int):
+    """Step 1, one bucket: the hashes that occur in two documents or more, in blocks of documents."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        doc = np.concatenate([_unpacked(d, np.int64)[_unpacked(o, np.uint32)] for d, o in zip(rows["docs"], rows["owner"], strict=True)])
+        h = np.concatenate([_from_deltas(x) for x in rows["hashes"]])
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        again = h[1:] == h[:-1]
+        many = np.append(again, False) | np.append(False, again)
+        h, doc = h[many], doc[many]
+        block = mixed_block(doc, blocks)
+        out = []
+        for k in np.unique(block).tolist():
+            own = block == k
+            out.append((k, *map(_packed, _by_document(doc[own], h[own]))))
+        return pd.DataFrame(out, columns=_BLOCKS.names)
+
+    return run
+
+
+def mixed_block(doc: np.ndarray, blocks: int) -> np.ndarray:
+    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(blocks)
+
+
+def _shared_of_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Step 1, one block of documents: each one's shared hashes from all buckets."""
+    doc = np.concatenate([np.repeat(_unpacked(d, np.int64), _unpacked(n, np.int64)) for d, n in zip(rows["docs"], rows["sizes"], strict=True)])
+    ids, sizes, h = _by_document(doc, np.concatenate([_unpacked(x, np.uint64) for x in rows["hashes"]]))
+    cut = [0, *np.cumsum(sizes).tolist()]
+    return pd.DataFrame({"doc_id": ids, "shared": [h[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)]})
 
 
 def anchors(text: np.ndarray, shared: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +278,7 @@ def _suffix_runs(splits: list[int], length: int, gram: int):
                 b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True
             ):
                 data = np.frombuffer(data.as_buffer(), np.uint8)
-                at, first, last = anchors(data, np.frombuffer(b"".join(shared), np.uint64), length, gram)
+                at, first, last = anchors(data, np.frombuffer(shared, np.uint64), length, gram)
                 for s in range(0, len(at), RUN_SUFFIXES):
                     part = slice(s, s + RUN_SUFFIXES)
                     keys = _keys(data, at[part], first[part], last[part], length, gram)
@@ -361,6 +389,25 @@ def _smallest(keys: np.ndarray, lcp: np.ndarray, least: np.ndarray, length: int,
     return out
 
 
+def _classes(lcp: np.ndarray, gram: int) -> list[slice]:
+    """Slices of about ``SLICE`` suffixes that part no two with the same anchor string."""
+    starts = np.flatnonzero(lcp < gram)
+    cut = starts[np.searchsorted(starts, np.arange(SLICE, len(lcp), SLICE), "right") - 1]
+    bounds = [*np.unique(np.concatenate([[0], cut])).tolist(), len(lcp)]
+    return [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _covered(keys, lcp, least, most, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix, first and last offset, and smallest doc_id, where that is below the suffix's largest one."""
+    low = _smallest(keys, lcp, least, length, gram)
+    hit = (low > -(1 << 63)) & (low < most[:, None])
+    same = hit[:, 1:] & hit[:, :-1] & (low[:, 1:] == low[:, :-1])
+    edge = np.zeros((len(hit), 1), bool)
+    who, lo = np.nonzero(hit & ~np.concatenate([edge, same], 1))
+    hi = np.nonzero(hit & ~np.concatenate([same, edge], 1))[1]
+    return who, lo, hi, low[who, lo]
+
+
 _FOUND = _schema(run=LongType, key=BinaryType, lo=BinaryType, hi=BinaryType, least=BinaryType)
 
 
@@ -384,13 +431,9 @@ def _merged(length: int, gram: int):
         keys = np.concatenate(tables)[place]
         least = np.concatenate([_unpacked(x, np.int64) for x in rows["least"]])[place]
         most = np.concatenate([_unpacked(x, np.int64) for x in rows["most"]])[place]
-        low = _smallest(keys, lcp, least, length, gram)
-        hit = (low > -(1 << 63)) & (low < most[:, None])
-        new = hit & ~np.concatenate([np.zeros((len(hit), 1), bool), hit[:, :-1] & (low[:, 1:] == low[:, :-1])], 1)
-        who, lo = np.nonzero(new)
-        last = hit & ~np.concatenate([hit[:, 1:] & (low[:, 1:] == low[:, :-1]), np.zeros((len(hit), 1), bool)], 1)
-        hi = np.nonzero(last)[1]
-        doc = low[who, lo]
+        found = [_covered(keys[x], lcp[x], least[x], most[x], length, gram) for x in _classes(lcp, gram)]
+        who, lo, hi, doc = (np.concatenate(c) for c in zip(*found, strict=True))
+        who += np.repeat([x.start for x in _classes(lcp, gram)], [len(f[0]) for f in found])
         source = order[who]
         number = place[who] - base[source] + rows["n"].to_numpy()[source]
         out = []
@@ -458,18 +501,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data")
     )
     size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = parts(spark, size, RANGE_BYTES)
+    ranges = parts(spark, size, RANGE_BYTES)
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLE)) == 0).select("data").mapInArrow(_prefixes(length, gram), "p long")
-    cuts = sample.agg(F.percentile_approx("p", [k / buckets for k in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
+    cuts = sample.agg(F.percentile_approx("p", [k / ranges for k in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
     splits = [(x + (1 << 63)) % (1 << 64) for x in sorted(set(cuts))]
-    hashes = rows.mapInArrow(_hash_runs(buckets, length, gram), _HASHES)
-    shared = hashes.groupBy("bucket").applyInPandas(_shared, "doc_id long, hashes binary")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("shared"))
+    hashes = rows.mapInArrow(_hash_runs(ranges, length, gram), _HASHES)
+    shared = hashes.groupBy("bucket").applyInPandas(_shared(ranges), _BLOCKS)
+    shared = shared.groupBy("block").applyInPandas(_shared_of_block, _SHARED)
     found = rows.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", F.xxhash64("data").alias("hash"), "data", "shared")
     runs = written(found.mapInArrow(_suffix_runs(splits, length, gram), _RUNS))
     release(spark)
-    ranges = runs.where("bucket >= 0").select("bucket", "run", "n", "lcp", "tails", "least", "most")
-    removed = ranges.groupBy("bucket").applyInPandas(_merged(length, gram), _FOUND)
+    sorted_runs = runs.where("bucket >= 0").select("bucket", "run", "n", "lcp", "tails", "least", "most")
+    removed = sorted_runs.groupBy("bucket").applyInPandas(_merged(length, gram), _FOUND)
     occurrences = runs.where("bucket < 0").select("run", "doc", "hash", "key", "place")
     spans = written(removed.groupBy("run").cogroup(occurrences.groupBy("run")).applyInPandas(_spans(length), _SPANS))
     release(spark)
