@@ -20,18 +20,14 @@ from pyspark.sql import functions as F
 
 from textloom.llm.store import written
 
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4_096
 _EPS = 1e-9
 
 
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in the text; null: 0."""
-    space = r"[\x20\x09-\x0D]+"
-    parts = F.split(text, space)
-    ends = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when(
-        (F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1
-    ).otherwise(0)
-    return F.when(text.isNull(), 0).otherwise(F.size(parts) - ends).cast("long")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]"), lambda w: w != "")
+    return F.when(text.isNull(), 0).otherwise(F.size(words)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
