@@ -34,7 +34,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from textloom.llm.store import parts, release, written
 
 LENGTH, GRAM = 50, 20
-RUN_ANCHORS = 1 << 20  # hashes in a run of step 1
+RUN_ANCHORS = 1 << 19  # hashes in a run of step 1
 RUN_SUFFIXES = 1 << 18  # suffixes in a run of step 2
 SLICE = 1 << 16  # suffixes whose windows step 3 looks at together
 RANGE_BYTES = 1 << 23  # text for each bucket of hashes and each range of suffixes
