@@ -117,3 +117,30 @@ def test_frequencies(spark):
     morphs = spark.createDataFrame([("walked", ["walk", "ed"])], "word string, morphs array<string>")
     counts = spark.createDataFrame([("walked", 2), ("ed", 1)], "word string, freq long")
     assert {r.word: r.freq for r in vocab.segment_words(counts, morphs).collect()} == {"walk": 2, "ed": 3}
+
+
+def test_registered_trainers_learn_the_reference_sizes(monkeypatch):
+    """The queries pass the whole vocabulary size on."""
+    from textloom.plans import table_queries as tq
+
+    class Stop(Exception):
+        pass
+
+    asked = []
+
+    def bpe(counts, vocab_size, *more, **kw):
+        asked.append(vocab_size)
+        raise Stop
+
+    def unigram(counts, vocab_size=0, seed_size=1_000_000, **kw):
+        asked.append((vocab_size, seed_size))
+        raise Stop
+
+    for name in ("_word_counts", "byte_level_counts"):
+        monkeypatch.setattr(tq, name, lambda *_: None)
+    monkeypatch.setattr(tq.vocab, "train_bpe", bpe)
+    monkeypatch.setattr(tq.unigram, "train_unigram", unigram)
+    for query in (tq.bpe_merges, tq.bpe_token_frequencies, tq.wordpiece_tokens, tq.unigram_pieces):
+        with pytest.raises(Stop):
+            query(None, "")
+    assert asked == [2**14, 2**14, 2**14, (2**14, 1_000_000)]

@@ -249,36 +249,36 @@ def encode_wordlevel(spark, sf):
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n"), _joined(F.col("ids")).alias("ids"))
 
 
-def _small_bpe(spark, sf):
+def _trained_bpe(spark, sf):
     counts = _word_counts(spark, sf)
     return counts, *vocab.train_bpe(counts, vocab_size=BPE_SIZE)
 
 
-BPE_SIZE = 160
+BPE_SIZE = 2**14
 
 
 def bpe_merges(spark, sf):
-    """Merges up to a small vocabulary, learned from all words."""
-    _, _, merges = _small_bpe(spark, sf)
+    """Merges up to the vocabulary size, learned from all words."""
+    _, _, merges = _trained_bpe(spark, sf)
     return merges.select(_big("rank"), "left", "right")
 
 
 def bpe_token_frequencies(spark, sf):
     """Subword frequencies from word counts and the encodings of distinct words."""
-    counts, v, merges = _small_bpe(spark, sf)
+    counts, v, merges = _trained_bpe(spark, sf)
     split = encode.bpe_splitter(v, merges)
     return vocab.token_frequencies(counts.select(split(F.array("word")).alias("tokens"), "freq"))
 
 
 def wordpiece_tokens(spark, sf):
-    """Byte-level words with single digits, a small WordPiece vocabulary, and its subword frequencies."""
+    """Byte-level words with single digits, a WordPiece vocabulary, and its subword frequencies."""
     counts = byte_level_counts(spark, sf)
-    split = encode.wordpiece_splitter(vocab.train_wordpiece(counts, 180))
+    split = encode.wordpiece_splitter(vocab.train_wordpiece(counts))
     return vocab.token_frequencies(counts.select(split(F.array("word")).alias("tokens"), "freq"))
 
 
 def unigram_pieces(spark, sf):
-    out = unigram.train_unigram(_word_counts(spark, sf), vocab_size=1500, seed_size=2500)
+    out = unigram.train_unigram(_word_counts(spark, sf), vocab_size=2**14)
     return out.select("token", _big("id"), F.round("score", 6).alias("score"))
 
 
