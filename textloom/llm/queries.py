@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import (
-    chat_format, embedding_dedup, html_text, mixing, pieces, quality, simhash, suffix_dedup, topk, url_filters,
+    attention_lm, chat_format, embedding_dedup, html_text, lexical_search, mixing, pieces, prefix_trie, quality, simhash,
+    suffix_dedup, topk, url_filters,
 )
 from textloom.llm.store import table
 
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
+LM_HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1"
 RULES = (
     url_filters.Rule("allow", "org", "/"),
     url_filters.Rule("block", "example.org", "/es/"),
@@ -88,11 +90,23 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filters.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf, "documents"), LM_HELD_OUT)
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_simhash, op3_quality, op4_suffix_dedup, op5_html_text, op6_chat_format, op7_sampled_pieces,
-        op8_topk, op9_mixing, op10_url_filter,
+        op8_topk, op9_mixing, op10_url_filter, op11_lm_score, op12_prefix_trie, op13_lexical_search,
     )
 }
 
@@ -178,4 +192,61 @@ SELECT p.page_id, p.host, p.path, arg_max(r.rule, length(r.rule)) AS rule,
   coalesce(arg_max(r.verdict, length(r.rule)), 'allow') AS verdict
 FROM p LEFT JOIN r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND prefix(p.path, r.path)
 GROUP BY p.page_id, p.host, p.path""",
+    "op12_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, n, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+  FROM (SELECT conv_id, conv_id::VARCHAR AS s, count(*) AS n FROM t GROUP BY conv_id)
+), m AS (
+  SELECT c.*, least(c.h, coalesce(b.n, 0)) AS m FROM c LEFT JOIN c b ON b.conv_id = c.base
+), r AS (
+  SELECT m.conv_id, t.pos AS depth, t.role, t.text FROM m JOIN t ON t.conv_id = m.base AND t.pos <= m.m
+  UNION ALL
+  SELECT m.conv_id, m.m + t.pos - m.h, t.role, t.text FROM m JOIN t ON t.conv_id = m.conv_id AND t.pos > m.h
+), p AS (
+  SELECT conv_id, depth, length(text) AS chars, count(*) OVER (PARTITION BY conv_id) AS size,
+    string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path
+  FROM r
+  UNION ALL SELECT m.conv_id, 0, 0, m.m + greatest(m.n - m.h, 0), '' FROM m
+), node AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM p GROUP BY path, depth
+), kid AS (
+  SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1
+), whole AS (
+  SELECT node.*, coalesce(kid.n, 0) AS n_children FROM node LEFT JOIN kid USING (path)
+), below AS (
+  SELECT v.path, sum((u.n_convs - 1) * u.chars) AS saved, count(*) FILTER (u.n_children = 0) AS leaves
+  FROM whole v JOIN whole u ON starts_with(u.path, v.path) GROUP BY v.path
+)
+SELECT w.conv_id, w.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, below.leaves AS n_leaves,
+  below.saved::BIGINT AS saved_tokens, w.ends_sha256
+FROM whole w JOIN below USING (path) LEFT JOIN whole up ON w.depth > 0 AND up.path = left(w.path, length(w.path) - 32)""",
+    "op13_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), i AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark
+), s AS (SELECT count(*) AS big_n, sum(len(words))::BIGINT AS big_l FROM d WHERE len(words) > 0),
+t AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, s GROUP BY term, big_n
+), m AS (
+  SELECT r, doc_id, 10 + (90 * len(words)::BIGINT * big_n) // big_l AS m FROM d, s WHERE len(words) > 0
+), x AS (
+  SELECT i.item_id, m.doc_id, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * m.m)))::BIGINT AS score
+  FROM i JOIN t USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i.item_id, m.r, m.doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM x WHERE score > 0
+) WHERE rank <= 10""",
 }
