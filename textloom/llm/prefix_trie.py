@@ -188,7 +188,7 @@ class Shard:
 _KEY = "depth long, k1 long, k2 long"
 
 
-def _open_nodes(key, table: pa.Table) -> pa.Table:
+def _open_nodes(key: tuple, table: pa.Table) -> pa.Table:
     s = Shard(table)
     out = []
     for j in range(WIDTH + 1):
@@ -229,7 +229,7 @@ class Known:
         self.own_chars = (s.chars * (self.least[:, 1:] == s.conv_id[:, None])).sum(1)
 
 
-def _owned(key, table: pa.Table, back: pa.Table) -> pa.Table:
+def _owned(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
     """What conversations of several bands own in one; the others' are known where they are needed."""
     names = ["shard", "conv_id", "own", "leaf"]
     if not len(table):
@@ -259,7 +259,7 @@ def _joined(ids: np.ndarray) -> str:
     return ",".join(map(str, ids.tolist()))
 
 
-def _nodes(key, table: pa.Table, back: pa.Table) -> pa.Table:
+def _nodes(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
     """Kind 0: whole nodes; 1: partial numbers of open ones; 2: pieces of open nodes' ends."""
     if not len(table):
         return _rows(kind=np.zeros(0, np.int32))
