@@ -1,11 +1,13 @@
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import words as wd
-from textloom.operators import encode, unigram, vocab
+from textloom.operators import encode, merges, unigram, vocab
 
 tokenizers = pytest.importorskip("tokenizers")
 from tokenizers import models, pre_tokenizers, trainers  # noqa: E402
@@ -32,7 +34,7 @@ def _library(model, trainer, texts, pre=None):
 def test_bpe_equals_library(spark, corpus):
     tok = _library(models.BPE(unk_token="[UNK]"), trainers.BpeTrainer(
         special_tokens=list(wd.SPECIALS), vocab_size=70, min_frequency=2, show_progress=False), _texts())
-    v, merges = vocab.train_bpe(vocab.word_counts(corpus), 70, 2, candidates=16, rewrites_per_checkpoint=8)
+    v, merges = vocab.train_bpe(vocab.word_counts(corpus), 70, 2, words_per_task=20, held=40, most=8, keep=10)
     assert {r.token: r.id for r in v.collect()} == tok.get_vocab()
     split = encode.bpe_splitter(v, merges)
     for r in corpus.select("text", split(wd.whitespace_words(F.col("text"))).alias("t")).collect():
@@ -40,7 +42,7 @@ def test_bpe_equals_library(spark, corpus):
 
 
 def test_wordpiece_longest_match_equals_library(spark, corpus):
-    v = vocab.train_wordpiece(vocab.word_counts(corpus), 60, 2, prefix="##", candidates=64)
+    v = vocab.train_wordpiece(vocab.word_counts(corpus), 60, 2, prefix="##", words_per_task=15, held=30)
     mine = {r.token: r.id for r in v.collect()}
     tok = tokenizers.Tokenizer(models.WordPiece(mine, unk_token="[UNK]"))
     tok.pre_tokenizer = pre_tokenizers.Whitespace()
@@ -72,12 +74,40 @@ def test_byte_level_words_and_back(spark):
         assert r.back in (r.t, " " + r.t)
 
 
-def test_safe_prefix_stops_at_shared_symbols_and_ties():
-    row = lambda p, f: {"pair": p, "freq": f}
-    assert vocab._safe_prefix([row("ab", 9), row("cd", 8), row("bc", 7), row("ef", 6)], True) == ["ab", "cd"]
-    assert vocab._safe_prefix([row("ab", 9), row("cd", 9), row("xa", 9)], True) == ["ab"]
-    assert vocab._safe_prefix([row("ab", 9), row("cd", 5)], False) == ["ab"]
-    assert vocab._safe_prefix([], True) == []
+def test_merging_words_reports_the_changes():
+    """Runs of equal symbols and repeated pairs, against a recount."""
+    rng = np.random.default_rng(1)
+    symbols = [rng.integers(0, 3, int(rng.integers(2, 12))).astype(np.int32) for _ in range(60)]
+    freq = rng.integers(1, 9, 60)
+    w = merges.Words(symbols, freq)
+
+    def recount():
+        out = Counter()
+        for x, f in zip(w.words(), freq, strict=True):
+            for a, b in zip(x, x[1:], strict=False):
+                out[int(a) << 32 | int(b)] += int(f)
+        return out
+
+    for made, (left, right) in enumerate([(0, 0), (1, 2), (3, 1), (4, 4), (3, 3), (0, 4)], 3):
+        before = recount()
+        codes, change = w.merge(left, right, made)
+        after = recount()
+        assert {p: n for p in before | after if (n := after[p] - before[p])} == dict(zip(codes.tolist(), change.tolist(), strict=True))
+        assert left << 32 | right not in after
+
+
+def test_replay_stops_at_the_first_pair_that_is_not_best():
+    pair = lambda a, b: a << 32 | b
+    start = {pair(0, 1): 9, pair(2, 3): 8, pair(1, 2): 7}
+    of = merges.Learner(2)
+    of.hold(list(start), list(start.values()), True)
+    proposed = of.best(3)
+    falls = {0: ([pair(0, 1), pair(1, 2), pair(4, 2)], [-9, -3, 3])}
+    assert of.replay(proposed, falls | {1: ([pair(2, 3)], [-8])}, [True] * 3) == (3, True)
+    of.hold(list(start), list(start.values()), True)
+    assert of.replay(proposed, {0: ([pair(0, 1), pair(4, 2)], [-9, 9])}, [True] * 3) == (1, True)
+    of.hold(list(start), list(start.values()), True)
+    assert of.replay(proposed, falls, [False, True, True]) == (1, False)
 
 
 def test_unigram(spark, corpus):
@@ -119,28 +149,15 @@ def test_frequencies(spark):
     assert {r.word: r.freq for r in vocab.segment_words(counts, morphs).collect()} == {"walk": 2, "ed": 3}
 
 
-def test_registered_trainers_learn_the_reference_sizes(monkeypatch):
-    """The queries pass the whole vocabulary size on."""
-    from textloom.plans import table_queries as tq
-
-    class Stop(Exception):
-        pass
-
-    asked = []
-
-    def bpe(counts, vocab_size, *more, **kw):
-        asked.append(vocab_size)
-        raise Stop
-
-    def unigram(counts, vocab_size=0, seed_size=1_000_000, **kw):
-        asked.append((vocab_size, seed_size))
-        raise Stop
-
-    for name in ("_word_counts", "byte_level_counts"):
-        monkeypatch.setattr(tq, name, lambda *_: None)
-    monkeypatch.setattr(tq.vocab, "train_bpe", bpe)
-    monkeypatch.setattr(tq.unigram, "train_unigram", unigram)
-    for query in (tq.bpe_merges, tq.bpe_token_frequencies, tq.wordpiece_tokens, tq.unigram_pieces):
-        with pytest.raises(Stop):
-            query(None, "")
-    assert asked == [2**14, 2**14, 2**14, (2**14, 1_000_000)]
+@pytest.mark.parametrize("words_per_task,held", [(10_000, 50_000), (700, 300)])
+def test_thousands_of_merges_equal_library(spark, words_per_task, held):
+    """4,000 entries from made words of several tasks, with pairs counted anew when the held ones are used up."""
+    rng = np.random.default_rng(5)
+    units = ["th", "e", "on", "re", "a", "nd", "ing", "st", "o", "le", "ou", "r", "aa", "é", "s", "i", "tt"]
+    texts = [" ".join("".join(rng.choice(units, rng.integers(1, 6))) for _ in range(60)) for _ in range(120)]
+    tok = _library(models.BPE(unk_token="[UNK]"), trainers.BpeTrainer(
+        special_tokens=list(wd.SPECIALS), vocab_size=4000, min_frequency=1, show_progress=False), texts)
+    lines = spark.createDataFrame([(t,) for t in texts], "text string")
+    v, _ = vocab.train_bpe(vocab.word_counts(lines), 4000, 1, words_per_task=words_per_task, held=held)
+    mine = {r.token: r.id for r in v.collect()}
+    assert len(mine) == 4000 and mine == tok.get_vocab()

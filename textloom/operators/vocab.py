@@ -6,12 +6,17 @@ reaches the driver is bounded by the vocabulary size or by one round's candidate
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.functions.words import SPECIALS, whitespace_words
+from textloom.operators import merges
 from textloom.session import cut_lineage
 
 def training_text(t):
@@ -71,128 +76,72 @@ def tasks_for(rows: int, per_task: int) -> int:
 # --- byte pair merges --------------------------------------------------------------------
 
 
-def _symbol(i: int) -> str:
-    """Symbol i as one code point, in id order; the surrogate range is skipped."""
-    cp = 0x100 + i
-    return chr(cp if cp < 0xD800 else cp + 0x800)
+class _Names:
+    """Tokens by symbol; gives merges their symbols, and takes the last new ones back."""
 
+    def __init__(self, tokens: list[str], prefix: str):
+        self.tokens, self.prefix = tokens, prefix
+        self.ids = {t: i for i, t in enumerate(tokens)}
 
-def _symbol_id(c: str) -> int:
-    cp = ord(c)
-    return (cp if cp < 0xD800 else cp - 0x800) - 0x100
+    def __call__(self, left: int, right: int) -> tuple[int, bool]:
+        a, b = self.tokens[left], self.tokens[right]
+        made = a + (b[len(self.prefix) :] if self.prefix and b.startswith(self.prefix) else b)
+        new = made not in self.ids
+        if new:
+            self.ids[made] = len(self.tokens)
+            self.tokens.append(made)
+        return self.ids[made], new
 
+    def undo(self, n: int) -> None:
+        for _ in range(n):
+            del self.ids[self.tokens.pop()]
 
-def _safe_prefix(ranked: list, complete: bool) -> list:
-    """Leading pairs that may be merged together with the same result as one by one.
 
-    Pairs that share no symbol do not change each other's counts. A merge can create a new pair
-    at most as frequent as a pair it touches, and all such pairs rank below the prefix; on an
-    equal count the order is not certain, so the prefix stops there.
-    """
-    if not ranked:
-        return []
-    floor = None if complete else ranked[-1]["freq"]
-    taken, used = [], set()
-    for row in ranked:
-        pair, freq = row["pair"], row["freq"]
-        if set(pair) & used:
-            break
-        if taken:
-            if freq == floor:
-                break
-            touched = any(
-                r["freq"] == freq and r["pair"] not in taken
-                and any(r["pair"][1] == p[0] or r["pair"][0] == p[1] for p in taken)
-                for r in ranked
-            )
-            if touched:
-                break
-        taken.append(pair)
-        used |= set(pair)
-    return taken
-
-
-def _rewrite(word: str, swaps: list[tuple[str, str]]):
-    """Replace pairs one after another; the list is one literal, so the compiled plan is reused."""
-    table = F.split(F.lit(" ".join(a + b for a, b in swaps)), " ")
-    return F.aggregate(
-        table, F.col(word), lambda w, s: F.replace(w, F.substring(s, 1, 2), F.substring(s, 3, 1))
-    )
+def _symbols(ids: dict[str, int], prefix: str):
+    """Words as arrays of symbols; the symbols after the first carry the prefix."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inner = {t[len(prefix) :]: i for t, i in ids.items() if t.startswith(prefix)}
+        for b in batches:
+            made = [np.array([ids[w[0]], *map(inner.__getitem__, w[1:])], np.int32).tobytes() for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column(1)], names=["w", "freq"])
+
+    return run
 
 
 def train_bpe(
-    counts: DataFrame, vocab_size: int, min_frequency: int = 2, prefix: str = "",
-    candidates: int = 512, rewrites_per_checkpoint: int = 48,
+    counts: DataFrame, vocab_size: int, min_frequency: int = 2, prefix: str = "", words_per_task: int = 100_000, **kw
 ) -> tuple[DataFrame, DataFrame]:
     """Byte pair merges over distinct words; returns the (vocab, merges) tables.
 
-    A word is a string with one code point per symbol, so a merge is a plain ``replace`` and a
-    pair sorts by its symbol ids. The best pair wins by count, then by symbol ids. ``prefix``
-    marks symbols that continue a word. Each round counts pairs, takes every leading pair that
-    is independent of the others and rewrites the words; the rewritten words are checkpointed
-    from time to time, which also bounds the expression.
+    The best pair wins by count, then by symbol ids. ``prefix`` marks symbols that continue a word. See ``merges.learn``.
     """
     spark = counts.sparkSession
     words = counts.where(F.length("word") > 0).select("word", "freq").persist(StorageLevel.MEMORY_AND_DISK)
     chars = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct()
     alphabet = sorted(r["c"] for r in model_rows(chars))
     tokens = list(SPECIALS) + [c for c in alphabet if c not in SPECIALS]
-    ids = {t: i for i, t in enumerate(tokens)}
-    first = F.translate(F.substring("word", 1, 1), "".join(alphabet), "".join(_symbol(ids[c]) for c in alphabet))
-    rest = F.substr("word", F.lit(2))
+    letters = {c: i for i, c in enumerate(tokens) if i >= len(SPECIALS) or c in set(alphabet)}
     if prefix:
+        rest = F.substr("word", F.lit(2))
         later = words.select(F.explode(F.array_distinct(F.split(rest, ""))).alias("c")).where("c <> ''").distinct()
-        inner = sorted(r["c"] for r in model_rows(later))
-        for c in inner:
-            ids[prefix + c] = len(tokens)
+        for c in sorted(r["c"] for r in model_rows(later)):
+            letters[prefix + c] = len(tokens)
             tokens.append(prefix + c)
-    else:
-        inner = alphabet
-    rest = F.translate(rest, "".join(inner), "".join(_symbol(ids[prefix + c]) for c in inner))
-    state = words.select(F.concat(first, rest).alias("w"), "freq").where(F.length("w") > 1)
-    base = state = cut_lineage(state.repartition(tasks_for(words.count(), 10_000), "w"))
+    long = words.where(F.length("word") > 1).select("word", F.col("freq").cast("long"))
+    state = long.repartition(tasks_for(words.count(), words_per_task), "word").mapInArrow(_symbols(letters, prefix), "w binary, freq long")
+    state = cut_lineage(state)
     words.unpersist()
-
-    merges: list[tuple[str, str]] = []
-    pending: list[tuple[str, str]] = []
-    steps = F.sequence(F.lit(1), F.length("w") - 1)
-    while len(tokens) < vocab_size:
-        pairs = state.select(
-            F.explode(F.when(F.length("w") > 1, F.transform(steps, lambda i: F.substr("w", i, F.lit(2))))).alias("pair"),
-            "freq",
-        )
-        ranked = (
-            pairs.groupBy("pair").agg(F.sum("freq").alias("freq"))
-            .where(F.col("freq") >= max(min_frequency, 1))
-            .orderBy(F.desc("freq"), "pair").limit(candidates).collect()
-        )
-        batch = _safe_prefix(ranked, complete=len(ranked) < candidates)
-        if not batch:
-            break
-        swaps = []
-        for pair in batch:
-            if len(tokens) >= vocab_size:
-                break
-            left, right = tokens[_symbol_id(pair[0])], tokens[_symbol_id(pair[1])]
-            made = left + (right[len(prefix):] if prefix and right.startswith(prefix) else right)
-            if made not in ids:
-                ids[made] = len(tokens)
-                tokens.append(made)
-            merges.append((left, right))
-            swaps.append((pair, _symbol(ids[made])))
-        pending += swaps
-        state = base.select(_rewrite("w", pending).alias("w"), "freq")
-        if len(pending) >= rewrites_per_checkpoint:
-            base = state = cut_lineage(state.where(F.length("w") > 1))
-            pending = []
-
+    names = _Names(tokens, prefix)
+    found = merges.learn(state, vocab_size - len(tokens), min_frequency, names, **kw)
+    tokens = names.tokens
     kinds = ["special"] * len(SPECIALS) + ["piece"] * (len(tokens) - len(SPECIALS))
     vocab = spark.createDataFrame(
         [(t, i, 0.0, k) for i, (t, k) in enumerate(zip(tokens, kinds))],
         "token string, id int, score double, kind string",
     )
     table = spark.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string"
+        [(i, tokens[a], tokens[b]) for i, (a, b) in enumerate(found)], "rank int, left string, right string"
     )
     return vocab, table
 
