@@ -12,7 +12,7 @@ import corpus_pipeline as cp
 from textloom.llm import mixing, pieces, quality, queries
 from textloom.llm.store import written
 
-from .test_dedup import plain_components, plain_print, plain_removed
+from .test_dedup import plain_components, plain_removed
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +28,12 @@ def small_docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), rows
 
 
+def plain_shingles(text):
+    """Five-word shingles of the lower-cased words; fewer words are one shingle."""
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
 def test_stages(spark):
     docs, rows = small_docs(spark)
     docs = docs.repartition(3)
@@ -37,8 +43,11 @@ def test_stages(spark):
 
     kept = sorted(map(tuple, cp.simhash_dedup(spark, docs, SF).collect()), key=repr)
     named = sorted({r[0]: r for r in rows if r[0] is not None}.values())
-    codes = [plain_print(r[1]) for r in named]
-    links = [(a, b) for a, b in itertools.combinations(range(len(named)), 2) if (codes[a] ^ codes[b]).bit_count() <= 4]
+    sets = [plain_shingles(r[1]) for r in named]
+    links = [
+        (a, b) for a, b in itertools.combinations(range(len(named)), 2)
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
     root = plain_components(len(named), links)
     assert kept == sorted([r for i, r in enumerate(named) if root[i] == i] + [r for r in rows if r[0] is None], key=repr)
 
