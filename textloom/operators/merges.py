@@ -1,11 +1,14 @@
 """Byte pair merges learned in rounds of many, with the result of one merge at a time.
 
-The distinct words are dealt to tasks as symbol arrays. The driver holds the most frequent pairs. In a round it proposes the
-next merges in order of what it knows; every task applies them one after another to its words, finding a pair's places by an
-index, and reports by how much each merge changes the counts of pairs. The driver replays the round with these changes and
-keeps the merges up to the first that was not the best pair at its turn. Counts of pairs of old symbols only fall, and those
-of new symbols are all reported, so a pair that is not held can't be best while there are held ones. When they are used up,
-all pairs are counted again.
+The distinct words are dealt to tasks as symbol arrays. The driver holds the most frequent pairs and a bounded number of the
+most frequent words. In a round it guesses the next merges by trying them on those words; every task applies them one after
+another to its own words, finding a pair's places by an index, and reports by how much each merge changes the counts of
+pairs. The driver replays the round with these changes, which are of all words, and keeps the merges up to the first that
+was not the best pair at its turn. So the words held decide only how many merges a round gives, not which.
+
+Counts of pairs of old symbols only fall, and those of new symbols are all reported, so a pair that is not held can't be
+best while there are held ones. A merge that makes an old symbol again can raise pairs that are not held; an upper bound of
+their counts is kept, and all pairs are counted again when it reaches the best held pair, or when the held ones are used up.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 
 from textloom.session import cut_lineage
 
-HELD, BATCH, KEEP = 50_000, 2048, 512
+#: Pairs held at the driver, merges proposed in a round, merges before the words are written anew, words held for guesses.
+HELD, BATCH, KEEP, HEAD = 200_000, 2048, 512, 100_000
 _END = 1 << 62
 
 
@@ -87,6 +91,14 @@ class Words:
         np.add.at(change, place, np.concatenate([-old_freq, self.freq[self.word[links]]]))
         return names[change != 0], change[change != 0]
 
+    def copy(self) -> Words:
+        """The same words, to try merges on."""
+        other = Words.__new__(Words)
+        other.__dict__ |= self.__dict__
+        other.sym, other.next, other.alive = self.sym.copy(), self.next.copy(), self.alive.copy()
+        other.later = {code: list(parts) for code, parts in self.later.items()}
+        return other
+
     def words(self) -> list[np.ndarray]:
         return [self.sym[s:e][self.alive[s:e]] for s, e in zip(self.start, self.end, strict=True)]
 
@@ -99,18 +111,31 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Words:
     return Words(symbols, np.concatenate(freq))
 
 
+_ROWS = 1 << 16
+
+
 def _changes(shared):
+    def batch(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        steps = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
+        columns = [steps, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["step", "pair", "change"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, proposed = shared.value
         w = _read(batches)
         for m in known:
             w.merge(*m)
+        parts, rows = [], 0
         for step, m in enumerate(proposed):
             codes, change = w.merge(*m)
             if len(codes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(codes), step, np.int32)), pa.array(codes), pa.array(change)], names=["step", "pair", "change"]
-                )
+                parts.append((step, codes, change))
+                rows += len(codes)
+            if rows >= _ROWS:
+                yield batch(parts)
+                parts, rows = [], 0
+        if parts:
+            yield batch(parts)
 
     return run
 
@@ -142,88 +167,148 @@ class Learner:
     """The pairs held at the driver: those that rank up to ``last``, which come before all others.
 
     The count of a pair is set by the merge that makes the newer of its symbols and only falls later, so a pair beyond
-    ``last`` can be forgotten. Ranks are (-count, pair): ties go to the smaller symbols.
+    ``last`` can be forgotten, unless a merge makes an old symbol: then ``loose`` bounds the counts of such pairs from above.
+    Ranks are (-count, pair): ties go to the smaller symbols.
     """
 
     def __init__(self, least: int):
         self.least = max(least, 1)
         self.counts: dict[int, int] = {}
+        self.loose: dict[int, int] = {}
         self.last = (-self.least, _END)
 
     def hold(self, pairs: list[int], counts: list[int], all_of_them: bool) -> None:
         """Start anew from the first pairs in rank."""
-        self.counts = dict(zip(pairs, counts, strict=True))
+        self.counts, self.loose = dict(zip(pairs, counts, strict=True)), {}
         self.last = (-self.least, _END) if all_of_them else (-counts[-1], pairs[-1])
 
-    def best(self, number: int) -> list[int]:
-        return heapq.nsmallest(number, self.counts, key=lambda p: (-self.counts[p], p))
+    def heap(self) -> list[tuple[int, int]]:
+        heap = [(-n, p) for p, n in self.counts.items()]
+        heapq.heapify(heap)
+        return heap
+
+    def guess(self, words: Words, number: int, name) -> tuple[list[tuple[int, int, int]], list[bool]]:
+        """Up to ``number`` merges (left, right, symbol) that are likely next, and whether each symbol is new.
+
+        They are applied to ``words``, a part of all words; a pair's changes there stand for all in proportion.
+        """
+        counts, heap = dict(self.counts), self.heap()
+        steps, new = [], []
+        while heap and len(steps) < number:
+            n, pair = heapq.heappop(heap)
+            if counts.get(pair, 0) != -n:
+                continue
+            made, is_new = name(pair >> 32, pair & 0xFFFFFFFF)
+            steps.append((pair >> 32, pair & 0xFFFFFFFF, made))
+            new.append(is_new)
+            codes, change = words.merge(*steps[-1])
+            here = -dict(zip(codes.tolist(), change.tolist(), strict=True)).get(pair, 0)
+            del counts[pair]
+            if here <= 0:
+                continue
+            for p, c in zip(codes.tolist(), np.rint(change * (-n / here)).astype(np.int64).tolist(), strict=True):
+                if p == pair or (c < 0 and p not in counts):
+                    continue
+                n_p = counts.get(p, 0) + c
+                if (-n_p, p) <= self.last:
+                    counts[p] = n_p
+                    heapq.heappush(heap, (-n_p, p))
+                else:
+                    counts.pop(p, None)
+        return steps, new
 
     def replay(self, proposed: list[int], changes: dict[int, tuple], new: list[bool]) -> tuple[int, bool]:
-        """How many of the proposed merges were each the first at their turn, and whether the pairs are still known then.
+        """How many of the proposed merges were each the first at their turn, and whether the next is known then.
 
-        ``changes`` gives each step's (pairs, changes). They are not known any more after a merge that makes an old symbol.
+        ``changes`` gives each step's (pairs, changes): all of them where the step makes an old symbol. The next is not known
+        when pairs that are not held may have a count as high as the best.
         """
-        heap = [(-n, p) for p, n in self.counts.items()]
-        heapq.heapify(heap)
+        heap = self.heap()
+        loose = max(self.loose.values(), default=0)
         for step, pair in enumerate(proposed):
             while heap and self.counts.get(heap[0][1], 0) != -heap[0][0]:
                 heapq.heappop(heap)
+            if heap and loose >= -heap[0][0]:
+                return step, False
             if not heap or heap[0][1] != pair:
                 return step, True
             for p, change in zip(*changes.get(step, ((), ())), strict=True):
+                if p not in self.counts:
+                    if change < 0:
+                        continue
+                    if not new[step]:
+                        self.loose[p] = self.loose.get(p, -self.last[0]) + change
+                        loose = max(loose, self.loose[p])
+                        continue
                 n = self.counts.get(p, 0) + change
-                if p not in self.counts and change < 0:
-                    continue
                 if (-n, p) <= self.last:
                     self.counts[p] = n
                     heapq.heappush(heap, (-n, p))
                 else:
                     self.counts.pop(p, None)
-            if not new[step]:
-                return step + 1, False
         return len(proposed), True
 
 
-def learn(state: DataFrame, wanted: int, least: int, name, held: int = HELD, most: int = BATCH, keep: int = KEEP) -> list[tuple[int, int]]:
+def learn(
+    state: DataFrame, wanted: int, least: int, name, held: int = HELD, most: int = BATCH, keep: int = KEEP, head: int = HEAD
+) -> list[tuple[int, int]]:
     """The merges (left, right) in order, at most until ``name`` has given ``wanted`` new symbols.
 
     ``state`` has a row for each word: w (its symbols as 32-bit integers) and freq. ``name(left, right)`` gives the symbol
-    that a merge makes and whether it is new; ``name.undo(n)`` takes back the last n new ones.
+    that a merge makes and whether it is new; ``name.undo(n)`` takes back the last n new ones. The driver holds ``held``
+    pairs and the ``head`` most frequent words.
     """
-    sc = state.sparkSession.sparkContext
-    learner, merges, known, batch, counted = Learner(least), [], [], 32, False
+    words = _read(state.orderBy(F.desc("freq"), "w").limit(head).toArrow().to_batches())
+    learner, merges, known, batch, counted = Learner(least), [], [], min(256, most), False
     while wanted > 0:
         if not counted:
-            now = cut_lineage(state.mapInArrow(_merged(sc.broadcast(known)), "w binary, freq long")) if known else state
-            state, known = now, []
+            state, known = _applied(state, known), []
             pairs = state.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
             top = pairs.where(F.col("n") >= learner.least).orderBy(F.desc("n"), "pair").limit(held).toArrow()
             learner.hold(top["pair"].to_pylist(), top["n"].to_pylist(), len(top) < held)
             counted = True
             if not len(top):
                 break
-        proposed = learner.best(min(batch, wanted))
-        if not proposed:
+        tried = words.copy()
+        steps, new = learner.guess(tried, min(batch, wanted), name)
+        if not steps:
             counted = False
-            if learner.last[1] == _END:
+            if learner.last[1] == _END and not learner.loose:
                 break
             continue
-        named = [name(p >> 32, p & 0xFFFFFFFF) for p in proposed]
-        steps = [(p >> 32, p & 0xFFFFFFFF, made) for p, (made, _) in zip(proposed, named, strict=True)]
-        found = state.mapInArrow(_changes(sc.broadcast((known, steps))), "step int, pair long, change long")
+        shared = state.sparkSession.sparkContext.broadcast((known, steps))
+        found = state.mapInArrow(_changes(shared), "step int, pair long, change long")
         found = found.groupBy("step", "pair").agg(F.sum("change").alias("change"))
-        found = found.where((F.col("change") < 0) | (F.col("change") >= learner.least)).toArrow()
+        old = [i for i, is_new in enumerate(new) if not is_new]
+        told = (F.col("change") < 0) | (F.col("change") >= learner.least) | F.col("step").isin(old)
+        found = found.where(told & (F.col("change") != 0)).toArrow()
+        shared.destroy()
         step, pair, change = (found[c].to_numpy() for c in ("step", "pair", "change"))
         order = np.argsort(step, kind="stable")
         step, pair, change = step[order], pair[order], change[order]
         cuts = np.searchsorted(step, np.arange(len(steps) + 1))
         changes = {i: (pair[a:b].tolist(), change[a:b].tolist()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
-        taken, counted = learner.replay(proposed, changes, [new for _, new in named])
-        name.undo(sum(new for _, new in named[taken:]))
-        wanted -= sum(new for _, new in named[:taken])
+        taken, counted = learner.replay([a << 32 | b for a, b, _ in steps], changes, new)
+        name.undo(sum(new[taken:]))
+        wanted -= sum(new[:taken])
         merges += [s[:2] for s in steps[:taken]]
         known += steps[:taken]
-        batch = max(16, min(most, 2 * taken))
-        if len(known) > keep:
-            state, known = cut_lineage(state.mapInArrow(_merged(sc.broadcast(known)), "w binary, freq long")), []
+        if taken == len(steps):
+            words = tried
+        else:
+            for s in steps[:taken]:
+                words.merge(*s)
+        batch = min(most, max(64, 2 * taken))
+        if len(known) > keep and counted:
+            state, known = _applied(state, known), []
     return merges
+
+
+def _applied(state: DataFrame, known: list[tuple[int, int, int]]) -> DataFrame:
+    """The words after the merges, written."""
+    if not known:
+        return state
+    shared = state.sparkSession.sparkContext.broadcast(known)
+    now = cut_lineage(state.mapInArrow(_merged(shared), "w binary, freq long"))
+    shared.destroy()
+    return now
