@@ -3,9 +3,16 @@
 A document of a source with factor f = target / source size goes in floor(f) times, and once more with probability
 f - floor(f). The extra copies are rounded dependently: two documents with fractional probabilities meet, and word mass moves
 at random from one to the other until one of them is 0 or 1. The mean of every probability and the source's sum of words
-stay as they are, so the words taken miss the target by less than one document; large documents meet first, so that it is
-mostly a small one. Documents meet inside hash groups of bounded size; each group leaves at most one fractional document, and
+stay as they are. Documents meet inside hash groups of bounded size; each group leaves at most one fractional document, and
 these meet in the groups of the next level of the tree.
+
+In a pair of a large and a small document it is the small one that becomes integral, so the tree leaves a large one open.
+Therefore some documents of each size class (powers of two; all in small sources) wait for the end of the tree and meet there
+with the open one, class by class from the largest. Each class gets the factor that the words still missing ask for (between
+0 and ``most``), is rounded in pairs, and its last open document goes the way that the smaller classes can make up for, at
+random if they can for both. So a source misses its target by less than a document of its smallest class, unless no choice
+for the large ones leaves an amount that the small ones can fill. The price: the mean of a waiting document's copies is no
+longer exactly f, but follows how the larger ones were rounded, and a document too large for the target is left out.
 All draws come from the keys, so reruns agree whatever the partitioning.
 """
 
@@ -20,7 +27,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.store import written
 
-GROUP_ROWS = 4_096
+#: Documents of a group of the tree; documents of each size class that wait for its end, in sources beyond one group.
+GROUP_ROWS, WAITING = 4_096, 64
 _EPS = 1e-9
 
 
@@ -83,7 +91,6 @@ def pivotal(size: np.ndarray, chance: np.ndarray, draws: np.ndarray) -> tuple[np
 
 
 def _round_group(rows: pd.DataFrame) -> pd.DataFrame:
-    # large documents first: what is still fractional at the end is then a small one
     rows = rows.sort_values(["size", "draw", "row"], ascending=[False, True, True], kind="stable")
     p, left = pivotal(rows["size"].to_numpy(float), rows["chance"].to_numpy(), rows["draw"].to_numpy())
     rows["chance"] = p
@@ -91,27 +98,75 @@ def _round_group(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def extra_copies(rows: DataFrame, seed: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(row, extra) of a table (row, source, size, chance): 1 for the rows rounded up, by the tree described above.
-
-    ``row`` is a unique string; sizes are positive. The number of groups of a level follows the source's rows.
+def settle(size: np.ndarray, missing: float, most: float, draws: np.ndarray, coins: np.ndarray) -> np.ndarray:
+    """Copies of documents, size classes from large to small, that come to ``missing`` words, as described above."""
+    copies = np.zeros(len(size), np.int64)
+    kind = np.frexp(size)[1]
+    ends = np.append(np.flatnonzero(np.diff(kind)) + 1, len(size))
+    rest = np.append(np.cumsum(size[::-1])[::-1], 0)  # words from each document on
+    start = 0
+    for end in ends:
+        part = slice(start, end)
+        factor = min(max(missing / rest[start], 0.0), most)
+        whole = np.floor(factor + _EPS)
+        p, left = pivotal(size[part], np.full(end - start, max(factor - whole, 0.0)), draws[part])
+        if left >= 0:
+            chance, p[left] = p[left], 0
+            down = missing - ((whole + p) * size[part]).sum()  # what is then left for the smaller ones
+            miss = [max(0.0, -x, x - most * rest[end]) for x in (down, down - size[start + left])]
+            p[left] = coins[start + left] < chance if abs(miss[0] - miss[1]) < _EPS else miss[1] < miss[0]
+        copies[part] = whole + p
+        missing -= (copies[part] * size[part]).sum()
+        start = end
+    return copies
+
+
+def _settle_group(most: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kind = np.frexp(rows["size"].to_numpy(float))[1]
+        rows = rows.iloc[np.lexsort((rows["row"].to_numpy(str), rows["draw"].to_numpy(), -kind))]
+        size = rows["size"].to_numpy(float)
+        missing = float(((rows["whole"] + rows["chance"]) * size).sum())
+        copies = settle(size, missing, most, rows["draw"].to_numpy(), rows["coin"].to_numpy())
+        return pd.DataFrame({"row": rows["row"].to_numpy(), "copies": copies})
+
+    return run
+
+
+def rounded_copies(rows: DataFrame, seed: int, most: float, group_rows: int = GROUP_ROWS, waiting: int = WAITING) -> DataFrame:
+    """(row, copies) of a table (row, source, size, whole, chance), by the tree described above.
+
+    ``row`` is a unique string; sizes are positive; whole + chance is at most ``most``. The number of groups of a level follows
+    the source's rows. The end of the tree has about ``waiting`` rows of each size class, chosen by hash.
     """
-    kind = "row string, source string, size long, chance double, draw double, open boolean"
+    columns = ("row", "source", "size", "whole", "chance")
+    kind = "row string, source string, size long, whole long, chance double, draw double, open boolean"
     unit = lambda level: F.pmod(F.xxhash64("row", F.lit(seed), F.lit(level)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    level, todo, done = 0, rows.select("row", "source", "size", "chance"), None
+    classed = rows.withColumn("_class", F.length(F.bin("size")))
+    classes = classed.groupBy("source", "_class").agg(F.count("*").alias("_n"))
+    share = F.when(F.sum("_n").over(Window.partitionBy("source")) <= group_rows, 1.0).otherwise(F.lit(float(waiting)) / F.col("_n"))
+    classes = classes.select(F.col("source").alias("_source"), F.col("_class").alias("_kind"), share.alias("_share"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_kind"))
+    tagged = classed.join(classes, same).withColumn("_waits", unit(-2) < F.col("_share"))
+    waits = tagged.where("_waits").select(*columns)
+    level, todo, done = 0, tagged.where("not _waits").select(*columns), None
     while True:
-        most = todo.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-        groups = -(-most // group_rows)
+        rows_of_largest = todo.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        if not rows_of_largest:
+            break
+        groups = -(-rows_of_largest // group_rows)
         here = todo.withColumn("draw", unit(level))
-        here = here.withColumn("_g", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(max(groups, 1))))
+        here = here.withColumn("_g", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)))
         here = written(here.groupBy("source", "_g").applyInPandas(lambda _, g: _round_group(g.drop(columns="_g")), kind))
-        part = here.where("not open")
+        part = here.where("not open").select("row", (F.col("whole") + F.col("chance").cast("long")).alias("copies"))
         done = part if done is None else done.unionByName(part)
+        todo, level = here.where("open").select(*columns), level + 1
         if groups <= 1:
-            # the last fractional document of a source is rounded by its own draw
-            last = here.where("open").withColumn("chance", F.when(unit(-1) < F.col("chance"), 1.0).otherwise(0.0))
-            return done.unionByName(last).select("row", F.col("chance").cast("int").alias("extra"))
-        todo, level = here.where("open").select("row", "source", "size", "chance"), level + 1
+            waits = waits.unionByName(todo)
+            break
+    last = waits.withColumn("draw", unit(level)).withColumn("coin", unit(-1))
+    last = last.groupBy("source").applyInPandas(_settle_group(most), "row string, copies long")
+    return last if done is None else done.unionByName(last)
 
 
 def mix(
@@ -135,10 +190,9 @@ def mix(
     rows = rows.select("doc_id", "s.source", "size", "copy_no", "source_size", "target", factor.alias("factor"))
     rows = written(rows.withColumn("row", key).withColumn("whole", F.floor(F.col("factor") + 1e-12)))
     chance = F.greatest(F.col("factor") - F.col("whole"), F.lit(0.0))
-    split = rows.where("size > 0").select("row", "source", "size", chance.alias("chance"))
-    extra = extra_copies(split, seed, group_rows)
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
-    return rows.join(extra, "row", "left").withColumn("copies", copies).select(
+    split = rows.where("size > 0").select("row", "source", "size", "whole", chance.alias("chance"))
+    found = rounded_copies(split, seed, float(most), group_rows)
+    return rows.join(found, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0).cast("long"))).select(
         "doc_id", "source", "size", "copy_no", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
