@@ -126,3 +126,19 @@ def test_sentences_of_scripts_without_case(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i long, text string")
     got = {r.i: r["count"] for r in segment.segment_lines(df).groupBy("i").count().collect()}
     assert got == {i: n for i, (_, n) in enumerate(rows)}
+
+
+def test_cuts_after_learned_abbreviations_are_taken_back(spark):
+    """Abbreviations as a table longer than any list the patterns take; equal to the list form where both apply."""
+    texts = [
+        "We met Dr. Low. He left.", 'So "Dr. Low" and (prof. Ann) came. "Etc." Then 3 more. ', "No dr.", "", "  Dr. Dr. Dr. X. Y z.", "Ok. Dr.) Low",
+    ]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "d long, i int, text string")
+    many = [(f"w{'abcdefghij'[k % 10]}{k}", 1.0) for k in range(6000)] + [("dr", 0.4), ("prof", 0.31), ("low", 0.1)]
+    scores = spark.createDataFrame(many, "type string, score double")
+    got = {(r.i, r.sent): r.text for r in segment.segment_lines_learned(df, scores, ["d", "i"]).collect()}
+    want = {(r.i, r.sent): r.text for r in segment.segment_lines(df, ["dr", "prof"]).collect()}
+    assert got == want
+    assert got[0, 0] == "We met Dr. Low." and got[0, 1] == "He left.[PAR]" and got[3, 0] == ""
+    plain = segment.segment_lines_learned(df, scores.limit(0), ["d", "i"]).collect()
+    assert {(r.i, r.sent): r.text for r in plain} == {(r.i, r.sent): r.text for r in segment.segment_lines(df).collect()}

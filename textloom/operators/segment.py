@@ -17,6 +17,7 @@ _END = r"[.!?…।॥؟۔][\"'’”)\]]{0,3}"
 _START = r"[\"'“‘(\[]?[\p{Lu}\p{Lo}\p{N}]"
 # Scripts written without blanks end a sentence by the mark alone.
 _WIDE_END = r"[。！？][’”」』）]{0,3}"
+_OPENERS = r"^[\"'“‘(\[]+"
 MAX_ABBREVIATIONS = 4096
 
 
@@ -44,7 +45,10 @@ def sentences(t: Column, abbreviations=()) -> Column:
 
 def segment_lines(df: DataFrame, abbreviations=(), position: str = "sent") -> DataFrame:
     """One sentence per row; a paragraph mark ends the last sentence of a line; blanks stay."""
-    parts = sentences(tx.strip(F.col("text")), abbreviations)
+    return _rows(df, sentences(tx.strip(F.col("text")), abbreviations), position)
+
+
+def _rows(df: DataFrame, parts: Column, position: str) -> DataFrame:
     rows = df.withColumn("_parts", parts).select(
         *[c for c in df.columns if c != "text"], F.size("_parts").alias("_n"), F.posexplode("_parts").alias(position, "text")
     )
@@ -52,6 +56,26 @@ def segment_lines(df: DataFrame, abbreviations=(), position: str = "sent") -> Da
     return rows.withColumn("text", F.when(last, F.concat("text", F.lit(PARAGRAPH_MARK))).otherwise(F.col("text"))).drop("_n")
 
 
+def segment_lines_learned(df: DataFrame, scores: DataFrame, keys: list[str], threshold: float = 0.3, position: str = "sent") -> DataFrame:
+    """``segment_lines`` with abbreviations from a table (type, score) of any size, see ``abbreviation_scores``.
+
+    The words before cuts are rows that meet the table in a join; a cut after a word of at least ``threshold`` is taken back.
+    ``keys`` tell lines apart and are not null. Only words before cuts and the places of the cuts taken back are exchanged.
+    """
+    cut = df.withColumn("_pieces", F.split(_mark(tx.strip(F.col("text")), ()), _CUT))
+    before = F.posexplode(F.slice("_pieces", F.lit(1), F.size("_pieces") - 1)).alias("_at", "_piece")
+    word = F.regexp_extract("_piece", r"([^\s]+)\.$", 1)
+    kind = F.lower(F.regexp_replace(word, _OPENERS, "")).alias("type")
+    places = cut.where(F.size("_pieces") > 1).select(*keys, before).select(*keys, "_at", kind).where("type <> ''")
+    known = scores.where(F.col("score") >= threshold).select("type")
+    undone = places.join(known, "type", "left_semi").groupBy(*keys).agg(F.collect_set("_at").alias("_undone"))
+    taken_back = lambda i: F.coalesce(F.array_contains("_undone", i - 1), F.lit(False))
+    marked = F.transform("_pieces", lambda x, i: F.concat(F.when((i == 0) | taken_back(i), "").otherwise(_CUT), x))
+    joined = cut.join(undone, keys, "left").withColumn("_joined", F.array_join(marked, ""))
+    parts = F.transform(F.split("_joined", _CUT), tx.strip)
+    return _rows(joined.withColumn("_found", parts).select(*df.columns, "_found"), F.col("_found"), position).drop("_found")
+
+
 def segment_corpus(df: DataFrame, order: LineOrder, abbreviations=()) -> DataFrame:
     """Sentences of the whole line stream, which may run over line ends; each ends with a mark.
 

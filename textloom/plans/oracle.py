@@ -330,6 +330,25 @@ def build() -> dict[str, str]:
       l AS (SELECT type, k, n, dotted / words AS p, length(type) - length(replace(type, '.', '')) AS inner_n FROM g, a WHERE k > 0)
       SELECT type, k AS with_period, n, round(-2.0 * ((k * ln(p) + (n - k) * ln(1.0 - p)) - (k * ln(0.99) + (n - k) * ln(1.0 - 0.99)))
         * exp(-(length(type) - inner_n)) * (inner_n + 1) * pow(length(type) - inner_n, -(n - k)), 6) AS score FROM l"""
+    learned = rf"""{DOC_LINES}, known AS (SELECT type FROM ({q["abbreviation_stats"]}) WHERE score >= 0.3),
+      s AS (SELECT doc_id, pos, string_split({mark(_strip("text"))}, chr(1)) AS p FROM doc_lines),
+      piece AS (SELECT doc_id, pos, len(p) AS n, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM s),
+      word AS (SELECT *, lower(regexp_replace(regexp_extract(t, '([^\s]+)\.$', 1), '^["''“‘(\[]+', '')) AS w FROM piece),
+      ends AS (SELECT doc_id, pos, i, t, CASE WHEN i < n AND w <> '' AND w IN (SELECT type FROM known) THEN 0 ELSE 1 END AS e FROM word),
+      place AS (SELECT doc_id, pos, i, t, coalesce(sum(e) OVER (PARTITION BY doc_id, pos ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM ends),
+      whole AS (SELECT doc_id, pos, sent, string_agg(t, '' ORDER BY i) AS t FROM place GROUP BY doc_id, pos, sent),
+      learned AS (SELECT doc_id, pos, CAST(sent AS BIGINT) AS sent, {_strip("t")} ||
+        CASE WHEN sent = max(sent) OVER (PARTITION BY doc_id, pos) AND {_strip("t")} <> '' THEN '[PAR]' ELSE '' END AS text FROM whole)"""
+    q["sentences_learned"] = f"WITH {learned} SELECT doc_id, pos, sent, text FROM learned"
+    q["sentence_examples"] = f"""WITH {learned}, {WORD_COUNTS}, {VOCAB.replace("4993", "50220")},
+      ws AS (SELECT doc_id, pos, sent, {_words("replace(text, '[PAR]', '')")} AS ws FROM learned),
+      t AS (SELECT doc_id, pos, sent, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM ws),
+      seg AS (SELECT doc_id, pos, sent, list(CAST(coalesce(v.id, 0) AS BIGINT) ORDER BY i)[1:62] AS k
+        FROM t LEFT JOIN vocab v ON v.word = t.word GROUP BY doc_id, pos, sent)
+      SELECT doc_id, pos, sent, {_csv(_framed("k", 64))} AS input_ids, 62 - len(k) AS n_pad FROM seg"""
+    whole = "CASE WHEN starts_with(text, ' ') THEN text ELSE ' ' || text END"
+    q["subword_decoded"] = f"SELECT doc_id, md5({whole}) AS text_md5, length({whole}) AS chars FROM documents WHERE text <> ''"
     q["speaker_turns"] = rf"""WITH t AS (SELECT conv_id, turn, role, {_n1("text")} AS t FROM conversations)
       SELECT conv_id, turn, {_cap("role")} || ' ' || substr(md5(conv_id || ':' || role), 1, 4) || ': ''' || t || '''' AS text
       FROM t WHERE regexp_matches(t, '[\p{{L}}\p{{N}}]')"""

@@ -165,6 +165,15 @@ def abbreviation_stats(spark, sf):
     return out.select("type", "with_period", "n", F.round("score", 6).alias("score"))
 
 
+def sentences_learned(spark, sf):
+    """Sentences of all lines; cuts after abbreviations learned from the same documents are taken back."""
+    docs = _table(spark, sf, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    scores = segment.abbreviation_scores(docs).withColumn("score", F.round("score", 6))
+    out = segment.segment_lines_learned(lines, scores, ["doc_id", "pos"])
+    return out.select("doc_id", _big("pos"), _big("sent"), "text")
+
+
 def speaker_turns(spark, sf):
     """Conversations as ``Speaker: 'text'`` blocks; wordless turns go."""
     t = tx.collapse_blanks(F.col("text"))
@@ -270,6 +279,15 @@ def bpe_token_frequencies(spark, sf):
     return vocab.token_frequencies(counts.select(split(F.array("word")).alias("tokens"), "freq"))
 
 
+def subword_decoded(spark, sf):
+    """Texts after encoding into ids of byte-level merges learned from the same documents, and decoding."""
+    v, merges = vocab.train_bpe(byte_level_counts(spark, sf), BPE_SIZE)
+    tokens = encode.bpe_splitter(v, merges)(wd.byte_level_words(F.col("text")))
+    ids = encode.tokens_to_ids(_table(spark, sf, "documents").select("doc_id", tokens.alias("tokens")), v, ["doc_id"])
+    back = encode.ids_to_tokens(ids, v, ["doc_id"]).select("doc_id", encode.join_tokens(F.col("tokens"), byte_level=True).alias("text"))
+    return back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
+
+
 def wordpiece_tokens(spark, sf):
     """Byte-level words with single digits, a WordPiece vocabulary, and its subword frequencies."""
     counts = byte_level_counts(spark, sf)
@@ -327,6 +345,16 @@ def train_examples(spark, sf):
     )
 
 
+def sentence_examples(spark, sf):
+    """Examples of whole documents, one for each sentence, in ids of the full word vocabulary."""
+    v = vocab.wordlevel_vocab(_word_counts(spark, sf))
+    keys = ["doc_id", "pos", "sent"]
+    words = F.posexplode(wd.whitespace_words(F.replace("text", F.lit(segment.PARAGRAPH_MARK), F.lit("")))).alias("at", "word")
+    ids = encode.encode_by_lookup(sentences_learned(spark, sf).select(*keys, words), v, keys, pos="at")
+    out = examples.build_examples(ids, 64)
+    return out.select(*keys, _joined(F.col("input_ids")).alias("input_ids"), F.size(F.filter("is_pad", lambda p: p)).cast("bigint").alias("n_pad"))
+
+
 def short_examples(spark, sf):
     out = examples.build_examples(_segments(spark, sf), 64, short_p=0.5, seed=3, epoch=1)
     return out.select("seg_id", F.size(F.filter("is_pad", lambda p: ~p)).cast("bigint").alias("n_real"))
@@ -631,5 +659,6 @@ QUERIES = {
         minimal_pairs_macro, history_stats, epoch_table, topk_softmax, collapse_classes, vector_stats,
         masked_token_scores, framed_pairs, lower_lines, accuracy_plain, resume_batches, random_document, ordered_batches,
         attached_predictions, joined_span_masks, validation_rows, probing_f1, decoded_wordlevel,
+        sentences_learned, sentence_examples, subword_decoded,
     )
 }
