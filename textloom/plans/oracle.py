@@ -366,6 +366,8 @@ def build() -> dict[str, str]:
         WHERE x <> '' UNION ALL {ends}) {ordered}"""
 
     q["word_counts"] = f"WITH {WORD_COUNTS} SELECT word, freq FROM wc"
+    marks = "(SELECT '[TAB] ' || replace(text, chr(10), chr(10) || '[TAB] ') AS text FROM documents)"
+    q["word_counts_without_marks"] = f"WITH {WORD_COUNTS.replace('FROM documents)', f'FROM {marks})')} SELECT word, freq FROM wc"
     q["vocab_wordlevel"] = f"WITH {WORD_COUNTS}, {VOCAB} SELECT word AS token, id, freq FROM vocab"
     q["encode_wordlevel"] = f"""WITH {WORD_COUNTS}, {VOCAB},
       t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {_words("text")} AS ws FROM documents))
@@ -432,6 +434,7 @@ def build() -> dict[str, str]:
       l AS (SELECT *, len(a) + len(b) + 3 AS length, max(len(a) + len(b) + 3) OVER (PARTITION BY batch) AS width FROM c)
       SELECT batch, turn, length, width, md5({_csv("[1] || a || [2] || b || [2] || list_transform(range(width - length), lambda z: 3)")}) AS input_md5,
         width - length AS n_pad FROM l"""
+    q["collated_late_cuts"] = q["collated_sentences"].replace("3 - 512", "3 - 128")
     q["span_masks"] = f"""WITH {PLAIN_LINES}, k AS (SELECT doc_id, pos, {_ids("text")} AS k FROM corpus_lines WHERE text <> '')
       SELECT doc_id, pos, array_to_string(list_transform(range(len(k)), lambda i: CASE WHEN i BETWEEN len(k) // 4 AND len(k) // 2 THEN '0' ELSE '1' END), '') AS span_mask,
         {_csv("list_transform(range(8), lambda v: len(list_filter(k, lambda x: x % 8 = v)))")} AS labels

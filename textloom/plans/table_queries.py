@@ -240,6 +240,12 @@ def word_counts(spark, sf):
     return _word_counts(spark, sf)
 
 
+def word_counts_without_marks(spark, sf):
+    """Word counts of documents whose lines start with layout marks, which are no words."""
+    marked = F.concat(F.lit(tx.TAB_MARK), F.replace("text", F.lit("\n"), F.lit("\n" + tx.TAB_MARK)))
+    return vocab.word_counts(_table(spark, sf, "documents").select(marked.alias("text")))
+
+
 def byte_level_counts(spark, sf):
     return vocab.word_counts(_table(spark, sf, "documents"), words=wd.byte_level_words)
 
@@ -409,18 +415,27 @@ def truncate_pairs(spark, sf):
     )
 
 
-def collated_sentences(spark, sf):
-    """Turn pairs in batches of one conversation, padded to the longest pair of the batch."""
+def _collated(spark, sf, max_length):
     rows = _turn_pairs(spark, sf).select(
         F.col("conv_id").alias("batch"), "turn", F.array(_stand_in_ids(F.col("text_a")), _stand_in_ids(F.col("text_b"))).alias("sentences")
     )
-    out = evalsets.collate_sentences(rows, max_length=512)
+    out = evalsets.collate_sentences(rows, max_length=max_length)
     return out.select(
         "batch", "turn", _big("length"), _big("width"), F.md5(_joined(F.col("input_ids"))).alias("input_md5"),
         F.size(F.filter("is_pad", lambda p: p)).cast("bigint").alias("n_pad"),
     )
 
 
+def collated_sentences(spark, sf):
+    """Turn pairs in batches of one conversation, padded to the longest pair of the batch."""
+    return _collated(spark, sf, 512)
+
+
+def collated_late_cuts(spark, sf):
+    """The same with a length that many pairs exceed, so that their first text is cut."""
+    return _collated(spark, sf, 128)
+
+
 def span_masks(spark, sf):
     """A span in the middle of each short line, as a mask and a multi-hot label."""
     rows = corpus_lines(spark, sf, salt=False).where("text <> ''").select("doc_id", _big("pos"), _stand_in_ids(F.col("text")).alias("ids"))
@@ -659,6 +674,6 @@ QUERIES = {
         minimal_pairs_macro, history_stats, epoch_table, topk_softmax, collapse_classes, vector_stats,
         masked_token_scores, framed_pairs, lower_lines, accuracy_plain, resume_batches, random_document, ordered_batches,
         attached_predictions, joined_span_masks, validation_rows, probing_f1, decoded_wordlevel,
-        sentences_learned, sentence_examples, subword_decoded,
+        sentences_learned, sentence_examples, subword_decoded, collated_late_cuts, word_counts_without_marks,
     )
 }
