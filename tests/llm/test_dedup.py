@@ -229,3 +229,21 @@ def test_front_coding():
     rows = np.unique(rng.integers(0, 3, (200, 7)).astype(np.uint8), axis=0)
     lcp = np.array([0] + [int((a != b).argmax()) for a, b in zip(rows, rows[1:], strict=False)])
     assert (sd.front_decoded(lcp, rows[np.arange(7) >= lcp[:, None]], 7) == rows).all()
+
+
+def test_chain_through_a_row_without_doc_id(spark):
+    """Two documents whose only link is a text between them that no doc_id names."""
+    base = " ".join(f"w{i}" for i in range(300)).split()
+    texts = [" ".join(base)]
+    for k in range(1, 40):  # texts that drift away from the first one
+        texts.append(" ".join(f"v{i}" if i < 3 * k else w for i, w in enumerate(base)))
+    codes = {r.doc_id: int(r.code) & (1 << 64) - 1 for r in sh.fingerprints(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    apart = lambda x, y: (codes[x] ^ codes[y]).bit_count()
+    a, m, b, reach = max(
+        ((x, y, z, max(apart(x, y), apart(y, z))) for x in range(40) for y in range(x + 1, 40) for z in range(y + 1, 40)
+         if apart(x, z) > max(apart(x, y), apart(y, z))), key=lambda t: (-t[3], t[0]))
+    rows = spark.createDataFrame([(1, texts[a]), (None, texts[m]), (2, texts[b])], "doc_id long, text string")
+    assert {r.component_id for r in sh.near_duplicates(rows, reach).collect()} == {1}
+    alone = sh.near_duplicates(rows.where("doc_id is null"), reach).collect()
+    assert [r.component_id for r in alone] == [None]

@@ -247,11 +247,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, tile: int = TILE) -> Dat
     """
     marks = written(fingerprints(docs))
     codes = written(marks.groupBy("code").agg(F.min(F.col("doc_id").cast("long")).alias("id")))
-    named = codes.where("id is not null")
-    groups = components(near_codes(named, distance, tile))
-    codes = codes.join(groups, codes["id"] == groups["node"], "left").select(
-        "code", F.coalesce("component", "id").alias("component_id")
+    # a code is its own id in the links, so codes that only rows without doc_id hold take part too
+    groups = components(near_codes(codes.select("code", F.col("code").alias("id")), distance, tile))
+    classes = codes.join(groups, codes["code"] == groups["node"], "left").select(
+        "code", "id", F.coalesce("component", "code").alias("_class")
     )
+    names = classes.groupBy("_class").agg(F.min("id").alias("component_id"))
+    codes = classes.join(names, "_class").select("code", "component_id")
     kind = dict(docs.dtypes)["doc_id"]
     return marks.join(codes, "code").select(
         "doc_id", "code", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"),
