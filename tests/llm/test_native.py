@@ -115,18 +115,42 @@ def test_layouts_by_fingerprint(spark):
         {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}, {"from": "tool", "value": "t"}]},
         {"other": 1}, [1, 2],
     ]
-    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(9, None), (10, "not json")], "id int, js string")
+    more = {
+        11: {"id": 5, "source": {"name": "x"}, "prompt": "p", "completion": "c"}, 12: {"messages": []}, 13: {"id": 1, "conversations": [ ]},
+        14: {"messages": [{"name": "n", "role": "user", "content": "m"}]}, 15: {"messages": ["a"]}, 16: {},
+        17: {"prompt": "p", "instruction": "i", "output": "o", "messages": []},
+    }
+    texts = [(i, json.dumps(r)) for i, r in [*enumerate(records), *more.items()]]
+    df = spark.createDataFrame(texts + [(9, None), (10, "not json")], "id int, js string")
     got = {r.id: (r.layout, r.turns and [(t.role, t.text) for t in r.turns]) for r in cf.turns_of_json(df, "js").collect()}
     pair = [("user", "p"), ("assistant", "c")]
     assert got[0] == got[1] == ("prompt", pair)
     assert got[2][1] == [("user", "i\n\nx"), ("assistant", "o")] and got[3][1] == got[4][1] == [("user", "i"), ("assistant", "o")]
     assert got[5] == ("messages", [("user", "m"), ("assistant", "n")])
     assert got[6][1] == [("user", "h"), ("assistant", "g"), ("tool", "t")]
-    assert all(got[k] == (None, None) for k in (7, 8, 9, 10))
+    assert all(got[k] == (None, None) for k in (7, 8, 9, 10, 15, 16))
+    assert got[11] == ("prompt", pair) and got[12] == ("no messages", []) and got[13] == ("no conversations", [])
+    assert got[14] == ("messages", [("user", "m")]) and got[17][0] == "instruction without input"
     with pytest.raises(ValueError):
         cf.turns_of_rows(df)
 
 
+def test_fingerprint_selects_the_mapping(spark, monkeypatch):
+    paths = [["b", "a"], ["a", "b", "a"], ["messages[].role", "ü"], ["\U0001f600", "\uffee"], []]
+    df = spark.createDataFrame([(p,) for p in paths], "p array<string>")
+    assert [r[0] for r in df.select(cf.fingerprint(F.col("p"))).collect()] == [cf.schema_fingerprint(p) for p in paths]
+    two = (cf.TURN_ROWS, cf.Layout("texts", ("conv_id", "text"), "array(named_struct('pos', 0L, 'role', 'user', 'text', text))"))
+    rows = turns_df(spark)
+    assert len(cf.turns_of_rows(rows.drop("role"), two).collect()) == len(ROWS)
+    assert len(cf.turns_of_rows(rows, two).collect()) == 5
+    # Without its fingerprint no mapping is found.
+    monkeypatch.setattr(cf.Layout, "key", property(lambda x: 1))
+    with pytest.raises(ValueError):
+        cf.turns_of_rows(rows)
+    js = spark.createDataFrame([('{"prompt": "p", "completion": "c"}',)], "js string")
+    assert cf.turns_of_json(js, "js").first().layout is None
+
+
 def test_digest_of_query_form(spark):
     text = "".join(f"{r}\n{t}\n" for r, t in [("user", "hi"), ("assistant", "x")])
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "x")], "conv_id long, turn long, role string, text string")

@@ -1,7 +1,9 @@
 """Chat formatting: heterogeneous records to canonical turns, and turns to one marked-up text with a loss mask.
 
 Records are told apart by the fingerprint of their schema: a hash of the nested field paths. A fingerprint selects a
-declarative mapping, a set of SQL expressions, that gives the record's turns. Everything is DataFrame expressions.
+declarative mapping, a set of SQL expressions, that gives the record's turns. A mapping's own fingerprint is the hash of the
+paths that it names; of a record or table those paths are hashed that the mapping names too, so further fields do no harm.
+Everything is DataFrame expressions; the schema of a table of rows is hashed once, while the plan is made.
 
 Control strings inside texts are escaped reversibly: a backslash goes between ``<`` and ``|`` (one more, if there already
 are some), so that ``<|`` in the output is always markup. In roles a backslash is doubled and a line feed is ``\\n``.
@@ -9,9 +11,10 @@ are some), so that ``<|`` in the output is always markup. In roles a backslash i
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
@@ -36,10 +39,17 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\x01"))
 
 
+def schema_fingerprint(paths: Iterable[str]) -> int:
+    """What ``fingerprint`` gives for the same paths, for schemas known without reading a row."""
+    code = xxhash.xxh64_intdigest("\x01".join(sorted(set(paths), key=str.encode)).encode(), 42)
+    return code - (1 << 64) if code >> 63 else code
+
+
 def json_paths(record: Column) -> Column:
     """Field paths of a JSON record, two levels deep; null for what isn't a JSON object.
 
-    Arrays are told by their first element. Null values count as leaves, so an optional field keeps its path.
+    Arrays are told by their first element, ``a[]:none`` is an empty one. Null values count as leaves, so an optional field
+    keeps its path.
     """
     top = F.from_json(record, "map<string,string>")
 
@@ -49,10 +59,11 @@ def json_paths(record: Column) -> Column:
 
     def below(e: Column) -> Column:
         k, v = e["key"], F.ltrim(e["value"])
-        first = F.element_at(F.from_json(v, "array<string>"), 1)
+        first = F.try_element_at(F.from_json(v, "array<string>"), F.lit(1))
         return (
             F.when(v.startswith("{"), inner(v, k, "."))
             .when(v.startswith("[") & F.ltrim(first).startswith("{"), inner(first, k, "[]."))
+            .when(v.rlike(r"^\[\s*\]"), F.array(F.concat(k, F.lit("[]:none"))))
             .when(v.startswith("["), F.array(F.concat(k, F.lit("[]"))))
             .otherwise(F.array(k))
         )
@@ -64,7 +75,7 @@ def json_paths(record: Column) -> Column:
 class Layout:
     """A record layout: its field paths, and the turns as an SQL expression over the columns.
 
-    ``turns`` gives an array of struct(pos, role, text). ``id`` and ``group`` say which column names the conversation and
+    Its fingerprint is that of its paths. ``turns`` gives an array of struct(pos, role, text). ``id`` and ``group`` say which column names the conversation and
     whether its turns come in several rows. For JSON records the expression sees the string as column ``record``.
     """
 
@@ -74,6 +85,10 @@ class Layout:
     id: str = "conv_id"
     group: bool = False
 
+    @property
+    def key(self) -> int:
+        return schema_fingerprint(self.paths)
+
 
 def _pair(user: str, assistant: str) -> str:
     return (
@@ -111,25 +126,29 @@ JSON_LAYOUTS = (
         "conversations", ("conversations[].from", "conversations[].value"),
         _messages("conversations", "from", "value", _SHORT_ROLES),
     ),
+    Layout("no messages", ("messages[]:none",), "array()"),
+    Layout("no conversations", ("conversations[]:none",), "array()"),
 )
 
 
-def _key(layout: Layout) -> Column:
-    return fingerprint(F.array(*[F.lit(p) for p in layout.paths]))
+def _narrowest_first(layouts: Sequence[Layout]) -> list[Layout]:
+    """By number of paths; of layouts with equally many the earlier one comes last, where it wins."""
+    return sorted(reversed(layouts), key=lambda x: len(x.paths))
 
 
 def turns_of_rows(df: DataFrame, layouts: Sequence[Layout] = (TURN_ROWS,)) -> DataFrame:
     """(conv_id, turns) of a table whose columns have one of the layouts; its schema's fingerprint selects it.
 
-    Further columns are ignored: a layout fits if its paths are among the table's; of several the one with most paths.
-    Turns are in order of (pos, role, text), so ties and repeated rows have a fixed order; rows with a null
-    conversation form one conversation with a null id. No layout fits: an error.
+    Further columns are ignored: of several mappings whose fingerprint the schema has, that with most paths is taken, then
+    the first. Turns are in order of (pos, role, text), so ties and repeated rows have a fixed order; rows with a null
+    conversation form one conversation with a null id. No fingerprint fits: an error.
     """
     have = {p.lower() for p in field_paths(df.schema)}
-    fits = [x for x in layouts if set(x.paths) <= have]
+    prints = {schema_fingerprint(have.intersection(x.paths)) for x in layouts}
+    fits = [x for x in _narrowest_first(layouts) if x.key in prints]
     if not fits:
         raise ValueError(f"no layout for the fields {sorted(have)}")
-    layout = max(fits, key=lambda x: len(x.paths))
+    layout = fits[-1]
     used = df.select(*sorted({p.partition(".")[0].partition("[")[0] for p in layout.paths} | {layout.id}))
     rows = used.select(F.col(layout.id).alias("conv_id"), F.expr(layout.turns).cast(f"array<{TURN}>").alias("turns"))
     if layout.group:
@@ -140,15 +159,19 @@ def turns_of_rows(df: DataFrame, layouts: Sequence[Layout] = (TURN_ROWS,)) -> Da
 def turns_of_json(df: DataFrame, record: str, layouts: Sequence[Layout] = JSON_LAYOUTS) -> DataFrame:
     """The rows with fingerprint, layout and turns; each record's own fingerprint selects its mapping.
 
+    ``fingerprint`` is that of the mapping, or of all paths of the record where no mapping fits. Fields that no mapping names
+    are ignored; of several mappings that with most paths is taken, then the first. An empty array of messages gives no turns.
     A record without a known fingerprint, null and what isn't JSON have null layout and turns; no row is lost.
     """
-    rows = df.withColumn("fingerprint", fingerprint(json_paths(F.col(record)))).withColumn("record", F.col(record))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
-    for x in layouts:
-        hit = F.col("fingerprint") == _key(x)
+    rows = df.withColumns({"_paths": json_paths(F.col(record)), "record": F.col(record)})
+    code, name, turns = fingerprint(F.col("_paths")), F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
+    for x in _narrowest_first(layouts):
+        named = F.array_intersect("_paths", F.array(*[F.lit(p) for p in x.paths]))
+        hit = fingerprint(named) == F.lit(x.key)
+        code = F.when(hit, F.lit(x.key)).otherwise(code)
         name = F.when(hit, x.name).otherwise(name)
         turns = F.when(hit, F.expr(x.turns).cast(f"array<{TURN}>")).otherwise(turns)
-    rows = rows.withColumns({"layout": name, "turns": turns})
+    rows = rows.withColumns({"fingerprint": code, "layout": name, "turns": turns}).drop("_paths")
     return rows if record == "record" else rows.drop("record")
 
 

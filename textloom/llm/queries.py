@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +48,11 @@ def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and one more, which comes as a JSON record; each layout's fingerprint selects its mapping."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame(
-        [(-1, 0, "user", _MARKUP_TURN), (-1, 1, "assistant", _MARKUP_TURN)], "conv_id long, turn long, role string, text string"
-    )
+    record = F.lit(json.dumps({"messages": [{"role": r, "content": _MARKUP_TURN} for r in ("user", "assistant")]}))
+    more = chat_format.turns_of_json(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), record.alias("record")), "record")
+    more = more.select("conv_id", F.inline("turns").alias("turn", "role", "text"))
     made = chat_format.format_turns(chat_format.turns_of_rows(rows.unionByName(more))).drop("turns")
     read = made.withColumns({
         "_turns": chat_format.parse_turns(F.col("formatted")),
