@@ -1,13 +1,18 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import spec
+from textloom.functions import text as tx
 from textloom.operators import lines as ln
 from textloom.operators import segment
-from textloom.operators.ordered import LineOrder, dense_index, scan
+from textloom.operators.ordered import DOCUMENT_LINES, LineOrder, dense_index, scan
 from textloom.plans import corpora
+from textloom.plans import table_queries as tq
+
+SMALL = "/root/testdata/sf0.001"
 
 LAYOUTS = [(), (1, 3), (14, 38)]
 
@@ -142,3 +147,22 @@ def test_cuts_after_learned_abbreviations_are_taken_back(spark):
     assert got[0, 0] == "We met Dr. Low." and got[0, 1] == "He left.[PAR]" and got[3, 0] == ""
     plain = segment.segment_lines_learned(df, scores.limit(0), ["d", "i"]).collect()
     assert {(r.i, r.sent): r.text for r in plain} == {(r.i, r.sent): r.text for r in segment.segment_lines(df).collect()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
+def test_marked_queries_fire_their_rules(spark):
+    """Each rule drops rows of the query that is registered for it."""
+    t = F.col("text")
+    arms = (F.concat(F.lit("&lt;i&gt; "), t), F.concat(t, F.lit(" -> x")), F.lit("12 :"))
+    marked = tq._marked_page_lines(spark, SMALL, arms)
+    dropped = {n: marked.where(~keep(t)).count() for n, keep in (("F2", tx.no_angle_entity_pair), ("F3", tx.no_arrow), ("F4", tx.not_bare_label))}
+    left = tq.lines_captions_marked(spark, SMALL)
+    assert left.where(~tx.no_arrow(t) | ~tx.not_bare_label(t) | F.contains(t, F.lit("<i>"))).count() == 0
+
+    places = lambda df: df.select("page_id", "pos").distinct().count()
+    dropped["F6"] = places(tq.wiki_markup(spark, SMALL)) - places(tq.wiki_markup_furnished(spark, SMALL))
+    dropped["F10"] = tq.speaker_turns(spark, SMALL).count() - tq.speaker_turns_wordless(spark, SMALL).count()
+    with_stubs = tq.stub_filter_phrases(spark, SMALL)
+    dropped["F5"] = corpora.simple_encyclopedia(tq.corpus_lines(spark, SMALL), DOCUMENT_LINES).count() - with_stubs.count()
+    assert with_stubs.where(tx.is_stub(t)).count() == 0
+    assert min(dropped.values()) > 0, dropped

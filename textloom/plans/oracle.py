@@ -536,4 +536,81 @@ def build() -> dict[str, str]:
       c AS (SELECT hex(encode(w)) AS h, count(*) AS n FROM w GROUP BY w), b AS (SELECT {shown} AS x, n FROM c),
       p AS (SELECT unnest(regexp_extract_all(x, '\p{{N}}|[^\p{{N}}]+')) AS word, n FROM b)
       SELECT word, CAST(sum(n) AS BIGINT) AS freq FROM p GROUP BY word"""
+
+    def page_arms(*arms):
+        made = " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(arms))
+        return PAGE_LINES.replace("page_lines AS", "plain_page_lines AS") + f""",
+page_lines AS (SELECT page_id, pos, CASE WHEN text = '' THEN '' ELSE CASE (page_id * 7 + pos * 3) % 23 {made} ELSE text END END AS text
+  FROM plain_page_lines)"""
+
+    q["lines_captions_marked"] = q["lines_captions"].replace(
+        PAGE_LINES, page_arms("'&lt;i&gt; ' || text", "text || ' -> x'", "'12 :'", "'- ' || text", "'Ab :'")
+    )
+    q["wiki_markup_furnished"] = q["wiki_markup"].replace(
+        PAGE_LINES, page_arms("'[[Category:' || pos || ']]'", "'[[File:a.png|x]]'", "'[[Aa|Bb]] [[Cc]] [12] ' || text")
+    )
+    # The default phrases of boilerplate entries.
+    phrases = (
+        "is a commune. It is", "is a commune found", "is a city in",
+        "is a village in", "is a municipality in", "is a town in",
+    )
+    arms = " ".join(f"WHEN {k} THEN 'Ab {p} Cd.'" for k, p in enumerate(phrases))
+    q["stub_filter_phrases"] = q["stub_filter"].replace(
+        CORPUS_LINES,
+        CORPUS_LINES.replace("corpus_lines AS (SELECT lang", "salted_lines AS (SELECT lang") + f""",
+corpus_lines AS (SELECT lang, source, doc_id, pos, CASE WHEN text = '' THEN '' ELSE CASE (doc_id * 5 + pos * 3) % 29 {arms} ELSE text END END AS text
+  FROM salted_lines)""",
+    ).replace(
+        "(contains(t, ' the ') OR contains(t, ' la ') OR contains(t, ' der '))", "(" + " OR ".join(f"contains(t, '{p}')" for p in phrases) + ")"
+    )
+    q["speaker_turns_wordless"] = q["speaker_turns"].replace(
+        "FROM conversations",
+        "FROM (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 9 = 0 THEN ' ?! ... ' ELSE text END AS text FROM conversations)",
+    )
+    q["morph_word_counts"] = f"""WITH {WORD_COUNTS},
+      m AS (SELECT unnest(CASE WHEN length(word) > 6 THEN [word[:4], word[5:]] ELSE [word] END) AS word, freq FROM wc)
+      SELECT word, CAST(sum(freq) AS BIGINT) AS freq FROM m GROUP BY word"""
+    q["sample_report"] = f"""SELECT item_id, text, array_to_string(flatten(list_transform({_words("text")},
+      lambda w: CASE WHEN length(w) > 4 THEN [w[:4], w[5:]] ELSE [w] END)), ' ') AS tokens FROM benchmark"""
+    probes = f"""
+      s AS (SELECT conv_id * 100000 + turn AS sent_id, conv_id AS batch, {_ids("text")} AS ids FROM conversations),
+      k AS (SELECT *, CAST(len(ids) AS BIGINT) AS n FROM s WHERE len(ids) BETWEEN 1 AND 126),
+      p AS (SELECT *, max(n) OVER (PARTITION BY batch) + 2 AS width,
+              row_number() OVER (PARTITION BY batch ORDER BY sent_id) - 1 AS sentence_index FROM k)"""
+    q["probing_inputs"] = f"""WITH {probes}
+      SELECT sent_id, batch, sentence_index, width, width - n - 2 AS n_pad,
+        md5({_csv("[1] || ids || [2] || list_transform(range(width - n - 2), lambda i: 3)")}) AS input_md5 FROM p"""
+
+    def probe(task, no, classes, hot, first, second):
+        labels = f"{_csv(f'list_transform(range({classes}), lambda c: CASE WHEN c = {hot} THEN 1 ELSE 0 END)')}" if classes else "NULL"
+
+        def mask(span):
+            if span is None:
+                return "NULL"
+            inside = f"lambda i: CASE WHEN i BETWEEN {span[0]} AND {span[1]} THEN '0' ELSE '1' END"
+            return f"'1' || array_to_string(list_transform(range(n), {inside}), '') || repeat('1', width - n - 1)"
+
+        return f"""SELECT sent_id, '{task}' AS task, CAST({no} AS BIGINT) AS span_no, sentence_index, {labels} AS labels,
+          {mask(first)} AS span_mask_1, {mask(second)} AS span_mask_2 FROM p"""
+
+    q["probing_spans"] = f"WITH {probes} " + " UNION ALL ".join([
+        probe("ner", 0, 8, "n % 8", ("0", "n // 4"), None),
+        probe("coref", 0, 2, "n % 2", ("0", "0"), ("n // 2", "n - 1")),
+        probe("coref", 1, 2, "(n + 1) % 2", ("n // 2", "n // 2"), ("0", "n // 4")),
+        probe("ud", 0, 0, "", ("n // 4", "n // 2"), ("n // 2", "n // 2")),
+    ])
+    q["run_leaderboard"] = r"""WITH r AS (
+        SELECT CASE WHEN event_id % 13 = 0 THEN 'run ' || event_id ELSE concat_ws('_', ['WaW', 'WaM', 'WaD'][user_id % 3 + 1], event_type,
+                 'small', ['BPE', 'M-WP'][event_id % 2 + 1], '16384', CASE WHEN event_id % 3 = 0 THEN 'more' END) END AS Name,
+          props AS Notes, value + event_id / 1e9 AS val_accuracy, 1.0::DOUBLE / (abs(value) + 1) AS val_loss FROM events),
+      n AS (SELECT *, regexp_extract(Name, '^(Wa[WMD])_', 1) AS task, regexp_extract(Name, '^Wa[WMD]_([a-z]+)_', 1) AS lang,
+              regexp_extract(Name, '^Wa[WMD]_[a-z]+_small_([A-Z-]+)_', 1) AS tokenizer FROM r),
+      o AS (SELECT *, row_number() OVER (PARTITION BY task, lang, tokenizer ORDER BY val_accuracy DESC) AS place,
+              count(*) OVER (PARTITION BY task, lang, tokenizer) AS runs FROM n)
+      SELECT task, lang, tokenizer, runs, Name, Notes, round(val_accuracy, 6) AS val_accuracy, round(val_loss, 6) AS val_loss
+      FROM o WHERE place = 1"""
+    q["run_durations"] = """WITH d AS (SELECT user_id, event_type,
+        CAST(round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0) AS BIGINT) AS s FROM events GROUP BY ALL)
+      SELECT user_id, event_type, CASE WHEN s < 86400 THEN '' WHEN s < 172800 THEN '1 day, ' ELSE (s // 86400) || ' days, ' END
+        || printf('%d:%02d:%02d', s % 86400 // 3600, s % 3600 // 60, s % 60) AS elapsed FROM d"""
     return q

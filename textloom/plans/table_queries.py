@@ -109,9 +109,27 @@ def lines_subtitle(spark, sf):
     return _lines_out(corpora.subtitles(corpus_lines(spark, sf), DOCUMENT_LINES))
 
 
+def _marked_page_lines(spark: SparkSession, sf: str, arms) -> DataFrame:
+    """Page lines, some of which (by page and line) are changed by ``arms``; empty lines stay empty."""
+    out = F.col("text")
+    for k, changed in enumerate(arms):
+        out = F.when((F.col("page_id") * 7 + F.col("pos") * 3) % 23 == k, changed).otherwise(out)
+    return page_lines(spark, sf).withColumn("text", F.when(F.col("text") == "", "").otherwise(out))
+
+
+def _captions(rows):
+    return corpora.talk_captions(rows, _PAGE_LINES).select("page_id", _big("pos"), "text")
+
+
 def lines_captions(spark, sf):
-    out = corpora.talk_captions(page_lines(spark, sf), _PAGE_LINES)
-    return out.select("page_id", _big("pos"), "text")
+    return _captions(page_lines(spark, sf))
+
+
+def lines_captions_marked(spark, sf):
+    """Captions of pages with escaped tags, arrows, bare labels and dashes."""
+    t = F.col("text")
+    arms = (F.concat(F.lit("&lt;i&gt; "), t), F.concat(t, F.lit(" -> x")), F.lit("12 :"), F.concat(F.lit("- "), t), F.lit("Ab :"))
+    return _captions(_marked_page_lines(spark, sf, arms))
 
 
 STUB_WORDS = (" the ", " la ", " der ")
@@ -125,10 +143,30 @@ def lines_phone(spark, sf):
     return _lines_out(corpora.phone_dialogue(corpus_lines(spark, sf), DOCUMENT_LINES))
 
 
+def stub_filter_phrases(spark, sf):
+    """Boilerplate entries by the default phrases, which stand in some of the lines."""
+    out = F.col("text")
+    for k, phrase in enumerate(tx.STUB_PHRASES):
+        out = F.when((F.col("doc_id") * 5 + F.col("pos") * 3) % 29 == k, f"Ab {phrase} Cd.").otherwise(out)
+    rows = corpus_lines(spark, sf).withColumn("text", F.when(F.col("text") == "", "").otherwise(out))
+    return _lines_out(corpora.simple_encyclopedia(rows, DOCUMENT_LINES))
+
+
 def wiki_markup(spark, sf):
+    return _wiki(page_lines(spark, sf))
+
+
+def wiki_markup_furnished(spark, sf):
+    """Encyclopedia lines of pages with category and file lines."""
+    t = F.col("text")
+    arms = (F.concat(F.lit("[[Category:"), "pos", F.lit("]]")), F.lit("[[File:a.png|x]]"), F.concat(F.lit("[[Aa|Bb]] [[Cc]] [12] "), t))
+    return _wiki(_marked_page_lines(spark, sf, arms))
+
+
+def _wiki(rows):
     t = F.regexp_replace("text", r"^<h1>(.*)\z", "= = = $1 = = =")
     t = F.regexp_replace(t, r"^<a href=\"([^\"]*)\">(.*)\z", "[[$1|$2]] [1]")
-    out = corpora.encyclopedia(page_lines(spark, sf).withColumn("text", t), _PAGE_LINES)
+    out = corpora.encyclopedia(rows.withColumn("text", t), _PAGE_LINES)
     return out.select("page_id", _big("pos"), _big("sub"), "text")
 
 
@@ -176,8 +214,18 @@ def sentences_learned(spark, sf):
 
 def speaker_turns(spark, sf):
     """Conversations as ``Speaker: 'text'`` blocks; wordless turns go."""
+    return _speaker_turns(_table(spark, sf, "conversations"))
+
+
+def speaker_turns_wordless(spark, sf):
+    """The same with turns that hold no word."""
+    text = F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, " ?! ... ").otherwise(F.col("text"))
+    return _speaker_turns(_table(spark, sf, "conversations").withColumn("text", text))
+
+
+def _speaker_turns(turns):
     t = tx.collapse_blanks(F.col("text"))
-    rows = _table(spark, sf, "conversations").withColumn("text", t).where(tx.has_alphanumeric(F.col("text")))
+    rows = turns.withColumn("text", t).where(tx.has_alphanumeric(F.col("text")))
     name = F.concat(tx.capitalise_first(F.col("role")), F.lit(" "), F.substring(digest(F.col("conv_id"), F.col("role")), 1, 4))
     return rows.select("conv_id", "turn", F.concat(name, F.lit(": '"), "text", F.lit("'")).alias("text"))
 
@@ -246,6 +294,24 @@ def word_counts_without_marks(spark, sf):
     return vocab.word_counts(_table(spark, sf, "documents").select(marked.alias("text")))
 
 
+def _cut(word):
+    """A word's first four characters and what follows."""
+    return F.filter(F.array(F.substring(word, 1, 4), F.substring(word, 5, 1 << 30)), lambda x: x != "")
+
+
+def morph_word_counts(spark, sf):
+    """Counts after words of more than six characters are replaced by their two parts, read from a table."""
+    counts = _word_counts(spark, sf)
+    morphs = counts.where(F.length("word") > 6).select("word", _cut(F.col("word")).alias("morphs"))
+    return vocab.segment_words(counts, morphs)
+
+
+def sample_report(spark, sf):
+    """Benchmark texts next to their tokens, words being cut after four characters."""
+    out = encode.sample_report(_table(spark, sf, "benchmark"), wd.whitespace_words, lambda ws: F.flatten(F.transform(ws, _cut)))
+    return out.select("item_id", "text", "tokens")
+
+
 def byte_level_counts(spark, sf):
     return vocab.word_counts(_table(spark, sf, "documents"), words=wd.byte_level_words)
 
@@ -449,6 +515,46 @@ def span_masks(spark, sf):
     )
 
 
+PROBE_CLASSES = {"ner": 8, "coref": 2}
+
+
+def _probes(spark, sf):
+    """Turns as sentences with spans of three tasks, made from their lengths; batches are conversations."""
+    n = F.size("subwords")
+    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    one = lambda label, a, b: F.struct(F.array(label.cast("int")).alias("label"), a.alias("span_1"), b.alias("span_2"))
+    zero, quarter, half = F.lit(0), F.floor(n / 4), F.floor(n / 2)
+    tasks = F.create_map(
+        F.lit("ner"), F.array(one(n % 8, span(zero, quarter), span(zero, zero))),
+        F.lit("coref"), F.array(one(n % 2, span(zero, zero), span(half, n - 1)), one((n + 1) % 2, span(half, half), span(zero, quarter))),
+        F.lit("ud"), F.array(one(zero, span(quarter, half), span(half, half))),
+    )
+    rows = _table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("sent_id"), F.col("conv_id").alias("batch"), _stand_in_ids(F.col("text")).alias("subwords")
+    )
+    rows = rows.where(tx.subword_count_between(F.col("subwords"), 1, 126)).withColumn("tasks", tasks)
+    return evalsets.collate_probes(rows, evalsets.labelled_spans(rows, PROBE_CLASSES))
+
+
+def probing_inputs(spark, sf):
+    """Padded sentences of probing batches."""
+    inputs, _ = _probes(spark, sf)
+    return inputs.select(
+        "sent_id", "batch", _big("sentence_index"), _big("width"), F.md5(_joined(F.col("input_ids"))).alias("input_md5"),
+        F.size(F.filter("is_pad", lambda p: p)).cast("bigint").alias("n_pad"),
+    )
+
+
+def probing_spans(spark, sf):
+    """Labels and masks of the spans of probing batches, padded as their sentences are."""
+    _, spans = _probes(spark, sf)
+    mask = lambda c: F.array_join(F.transform(c, lambda m: F.when(m, "1").otherwise("0")), "").alias(c)
+    return spans.select(
+        "sent_id", "task", _big("span_no"), _big("sentence_index"), _joined(F.col("labels")).alias("labels"),
+        mask("span_mask_1"), mask("span_mask_2"),
+    )
+
+
 def pseudo_likelihood_rows(spark, sf):
     rows = _table(spark, sf, "benchmark").select("item_id", _stand_in_ids(F.col("text")).alias("token_ids"))
     rows = rows.withColumn("width", F.size("token_ids"))
@@ -550,6 +656,28 @@ def epoch_table(spark, sf):
     return out.select("run_id", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), *EVENT_TYPES)
 
 
+def run_leaderboard(spark, sf):
+    """Events as training runs; the best one of each task, language and tokenizer, other names on their own."""
+    kinds, marks = (F.array(*[F.lit(x) for x in xs]) for xs in (("WaW", "WaM", "WaD"), ("BPE", "M-WP")))
+    made = F.concat_ws(
+        "_", kinds[(F.col("user_id") % 3).cast("int")], F.col("event_type"), F.lit("small"), marks[(F.col("event_id") % 2).cast("int")],
+        F.lit("16384"), F.when(F.col("event_id") % 3 == 0, F.lit("more")),
+    )
+    runs = _table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("run "), "event_id")).otherwise(made).alias("Name"), F.col("props").alias("Notes"),
+        (F.col("value") + F.col("event_id") / 1e9).alias("val_accuracy"), (F.lit(1.0) / (F.abs("value") + 1)).alias("val_loss"),
+    )
+    out = metrics.leaderboard(runs)
+    return out.select("task", "lang", "tokenizer", "runs", "Name", "Notes", *[F.round(c, 6).alias(c) for c in ("val_accuracy", "val_loss")])
+
+
+def run_durations(spark, sf):
+    """Time from the first to the last event of each user and type."""
+    seconds = (F.max("ts") - F.min("ts")).cast("interval second").cast("decimal(18,6)").cast("double")
+    spans = _table(spark, sf, "events").groupBy("user_id", "event_type").agg(seconds.alias("seconds"))
+    return spans.select("user_id", "event_type", metrics.elapsed(F.col("seconds")).alias("elapsed"))
+
+
 def topk_softmax(spark, sf):
     v = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("logits"))
     best = v.select("vec_id", F.posexplode(ar.top_k(ar.softmax(F.col("logits")), 5)).alias("rank", "b"))
@@ -675,5 +803,7 @@ QUERIES = {
         masked_token_scores, framed_pairs, lower_lines, accuracy_plain, resume_batches, random_document, ordered_batches,
         attached_predictions, joined_span_masks, validation_rows, probing_f1, decoded_wordlevel,
         sentences_learned, sentence_examples, subword_decoded, collated_late_cuts, word_counts_without_marks,
+        lines_captions_marked, stub_filter_phrases, wiki_markup_furnished, speaker_turns_wordless, morph_word_counts, sample_report,
+        probing_inputs, probing_spans, run_leaderboard, run_durations,
     )
 }
