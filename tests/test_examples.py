@@ -143,3 +143,13 @@ def test_metrics(spark):
     tops = spark.createDataFrame([(0, [0.0, 2.0, 1.0])], "id int, logits array<double>")
     v = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id int, token string")
     assert [r.token for r in metrics.top_tokens_per_position(tops.withColumnRenamed("id", "at"), v, ["at"], 2).orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_framed_pairs_name_their_texts_once(spark):
+    """The ids of a text are made once for each output, however many lengths are tried."""
+    rows = spark.createDataFrame([("a b c", "d e f g"), ("a", None), ("", "b")], "a string, b string")
+    ids = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\w+"), 0), F.length)
+    out = rows.select(*(c.alias(n) for c, n in zip(evalsets.encode_framed_pair(ids("a"), ids("b"), 8), ("ids", "real"), strict=True)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 4
+    assert [list(r.ids) if r.ids else None for r in out.collect()] == [[1, 1, 1, 2, 1, 1, 1, 2], None, [1, 2, 1, 2, 3, 3, 3, 3]]

@@ -114,26 +114,29 @@ def fair_lengths(lengths: Column, budget: Column) -> Column:
     All lengths are cut to the highest common ceiling that fits; tokens left over go one each
     to the originally longest entries, earlier ones first on a tie.
     """
-    def used(c):
-        return F.aggregate(lengths, F.lit(0), lambda acc, n: acc + F.least(n, c))
+    def with_lengths(lengths):
+        def used(c):
+            return F.aggregate(lengths, F.lit(0), lambda acc, n: acc + F.least(n, c))
 
-    def with_budget(room):
-        ceilings = indices(F.least(F.array_max(lengths), room) + 1)
-        cap = F.array_max(F.filter(ceilings, lambda c: used(c) <= room))
-        return let(cap, lambda c: let(room - used(c), lambda spare: deal(c, spare)))
+        def with_budget(room):
+            ceilings = indices(F.least(F.array_max(lengths), room) + 1)
+            cap = F.array_max(F.filter(ceilings, lambda c: used(c) <= room))
+            return let(cap, lambda c: let(room - used(c), lambda spare: deal(c, spare)))
 
-    def deal(cap, spare):
-        ranked = F.transform(lengths, lambda m, j: F.struct(m.alias("m"), j.alias("j")))
+        def deal(cap, spare):
+            ranked = F.transform(lengths, lambda m, j: F.struct(m.alias("m"), j.alias("j")))
 
-        def one(n, i):
-            ahead = F.size(F.filter(ranked, lambda s: (s["m"] > n) | ((s["m"] == n) & (s["j"] < i))))
-            return F.when(n <= cap, n).otherwise(cap + F.when(ahead < spare, 1).otherwise(0))
+            def one(n, i):
+                ahead = F.size(F.filter(ranked, lambda s: (s["m"] > n) | ((s["m"] == n) & (s["j"] < i))))
+                return F.when(n <= cap, n).otherwise(cap + F.when(ahead < spare, 1).otherwise(0))
 
-        return F.transform(lengths, one)
+            return F.transform(lengths, one)
 
-    room = F.greatest(budget.cast("int"), F.lit(0))
-    fits = F.aggregate(lengths, F.lit(0), lambda acc, n: acc + n) <= room
-    return F.when(fits, lengths).otherwise(let(room, with_budget))
+        room = F.greatest(budget.cast("int"), F.lit(0))
+        fits = F.aggregate(lengths, F.lit(0), lambda acc, n: acc + n) <= room
+        return F.when(fits, lengths).otherwise(let(room, with_budget))
+
+    return let(lengths, with_lengths)
 
 
 def cut_to(sentences: Column, lengths: Column) -> Column:

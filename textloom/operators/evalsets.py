@@ -26,12 +26,15 @@ def encode_pair(a: Column, b: Column, max_length: int, pad_id: int = 0) -> tuple
 
 def encode_framed_pair(a: Column, b: Column, max_length: int, cls: int = CLS, sep: int = SEP, pad_id: int = PAD) -> tuple[Column, Column]:
     """[CLS] a [SEP] b [SEP], padded; over-long pairs lose their longer side first."""
-    both = F.array(a, b)
-    fit = ar.fair_lengths(F.array(F.size(a), F.size(b)), F.lit(max_length - 3))
-    cut = ar.cut_to(both, fit)
     end = F.array(F.lit(sep))
-    ids = F.concat(F.array(F.lit(cls)), cut[0], end, cut[1], end)
-    return ar.pad(ids, max_length, pad_id), ar.pad(ar.repeat(1, F.size(ids)), max_length, 0)
+
+    def framed(both):
+        cut = ar.cut_to(both, ar.fair_lengths(F.transform(both, F.size), F.lit(max_length - 3)))
+        return ar.let(cut, lambda c: F.concat(F.array(F.lit(cls)), c[0], end, c[1], end))
+
+    ids = ar.let(F.array(a, b), framed)
+    padded = ar.let(ids, lambda x: ar.pad(x, max_length, pad_id))
+    return padded, ar.let(F.size(ids), lambda n: ar.pad(ar.repeat(1, n), max_length, 0))
 
 
 def longest_pair(rows: DataFrame, a: str, b: str, specials: int = 0) -> DataFrame:
