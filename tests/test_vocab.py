@@ -172,3 +172,29 @@ def test_thousands_of_merges_equal_library(spark, words_per_task, held, head):
     v, _ = vocab.train_bpe(vocab.word_counts(lines), 4000, 1, words_per_task=words_per_task, held=held, head=head)
     mine = {r.token: r.id for r in v.collect()}
     assert len(mine) == 4000 and mine == tok.get_vocab()
+
+
+def test_merges_guessed_in_the_wrong_order_change_places():
+    """Side by side in a word they are taken in the right order, with the counts that order gives; overlapping they are not."""
+    pair = lambda a, b: a << 32 | b
+    rng = np.random.default_rng(4)
+    units = [[0, 1], [2, 3], [4]]
+    symbols = [np.concatenate([units[u] for u in rng.integers(0, 3, rng.integers(1, 7))]).astype(np.int32) for _ in range(300)]
+    freq = rng.integers(1, 9, 300)
+    start = merges._pairs([merges.pa.RecordBatch.from_arrays(
+        [merges.pa.array([x.tobytes() for x in symbols], merges.pa.binary()), merges.pa.array(freq)], names=["w", "freq"])])
+    start = {p: n for b in start for p, n in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    first, second = sorted([(0, 1), (2, 3)], key=lambda m: (-start[pair(*m)], m))
+    guessed, right = merges.Words(symbols, freq), merges.Words(symbols, freq)
+    changes = {i: tuple(x.tolist() for x in guessed.merge(*m, 5 + i)) for i, m in enumerate((second, first))}
+    of = merges.Learner(1)
+    of.hold(list(start), list(start.values()), True)
+    n, _ = of.replay([pair(*second), pair(*first)], changes, [True, True], [5, 6])
+    assert n == 2 and of.taken == [1, 0]
+    want = Counter(start)
+    for i, m in enumerate((first, second)):
+        want.update(dict(zip(*(x.tolist() for x in right.merge(*m, 5 + i)), strict=True)))
+    assert of.counts == {p: n for p, n in want.items() if n}
+    overlap = {0: ([pair(0, 1), pair(1, 2)], [-7, -3])}
+    of.hold([pair(1, 2), pair(0, 1)], [9, 7], True)
+    assert of.replay([pair(0, 1), pair(1, 2)], overlap, [True, True], [5, 6]) == (0, True)

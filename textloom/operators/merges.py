@@ -3,8 +3,9 @@
 The distinct words are dealt to tasks as symbol arrays. The driver holds the most frequent pairs and a bounded number of the
 most frequent words. In a round it guesses the next merges by trying them on those words; every task applies them one after
 another to its own words, finding a pair's places by an index, and reports by how much each merge changes the counts of
-pairs. The driver replays the round with these changes, which are of all words, and keeps the merges up to the first that
-was not the best pair at its turn. So the words held decide only how many merges a round gives, not which.
+pairs. The driver replays the round with these changes, which are of all words, and takes the best pair at each turn: merges
+guessed in a wrong order change places unless a word holds them overlapping. It stops at a best pair that was not guessed or
+has to stay behind. So the words held decide only how many merges a round gives, not which.
 
 Counts of pairs of old symbols only fall, and those of new symbols are all reported, so a pair that is not held can't be
 best while there are held ones. A merge that makes an old symbol again can raise pairs that are not held; an upper bound of
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from textloom.session import cut_lineage
 
 #: Pairs held at the driver, merges proposed in a round, merges before the words are written anew, words held for guesses.
-HELD, BATCH, KEEP, HEAD = 200_000, 2048, 512, 100_000
+HELD, BATCH, KEEP, HEAD = 200_000, 2048, 512, 400_000
 _END = 1 << 62
 
 
@@ -217,22 +218,30 @@ class Learner:
                     counts.pop(p, None)
         return steps, new
 
-    def replay(self, proposed: list[int], changes: dict[int, tuple], new: list[bool]) -> tuple[int, bool]:
+    def replay(
+        self, proposed: list[int], changes: dict[int, tuple], new: list[bool], made: list[int] | None = None
+    ) -> tuple[int, bool]:
         """How many of the proposed merges were each the first at their turn, and whether the next is known then.
 
         ``changes`` gives each step's (pairs, changes): all of them where the step makes an old symbol. The next is not known
-        when pairs that are not held may have a count as high as the best.
+        when pairs that are not held may have a count as high as the best. With ``made``, the steps' symbols, and all changes,
+        a step may be taken before earlier ones that it can change places with. ``taken`` holds the steps in the order of
+        their turns; new symbols are numbered in that order in the counts.
         """
         heap = self.heap()
         loose = max(self.loose.values(), default=0)
-        for step, pair in enumerate(proposed):
+        self.taken: list[int] = []
+        steps = _Steps(proposed, changes, new, made)
+        while steps.open:
             while heap and self.counts.get(heap[0][1], 0) != -heap[0][0]:
                 heapq.heappop(heap)
             if heap and loose >= -heap[0][0]:
-                return step, False
-            if not heap or heap[0][1] != pair:
-                return step, True
-            for p, change in zip(*changes.get(step, ((), ())), strict=True):
+                return len(self.taken), False
+            step = steps.at.get(heap[0][1]) if heap else None
+            if step is None or not steps.first(step):
+                return len(self.taken), True
+            self.taken.append(step)
+            for p, change in steps.take(step):
                 if p not in self.counts:
                     if change < 0:
                         continue
@@ -246,7 +255,68 @@ class Learner:
                     heapq.heappush(heap, (-n, p))
                 else:
                     self.counts.pop(p, None)
-        return len(proposed), True
+        return len(self.taken), True
+
+
+class _Steps:
+    """Proposed merges with their changes; a merge can change places with the one before where no word holds them overlapping.
+
+    Where they only stand side by side, the later one met the earlier one's symbol x instead of its parts: its changes of pairs
+    (x, .) and (., x) become those of x's right and left part, and the earlier one gets the difference, as both together
+    change the same.
+    """
+
+    def __init__(self, proposed: list[int], changes: dict[int, tuple], new: list[bool], made: list[int] | None):
+        self.proposed, self.new, self.made = proposed, new, made
+        self.changes = {i: dict(zip(*c, strict=True)) for i, c in changes.items()}
+        self.open = list(range(len(proposed)))
+        fresh = {m: None for m, is_new in zip(made or (), new, strict=False) if is_new}
+        self.next = min(fresh, default=0)
+        self.names: dict[int, int | None] = fresh  # number of each new symbol, once its step is taken
+        self.at: dict[int, int] = {}
+        self.users: dict[int, list[int]] = {}
+        for i, p in enumerate(proposed):
+            parts = {s for s in (p >> 32, p & 0xFFFFFFFF) if s in fresh}
+            for s in parts:
+                self.users.setdefault(s, []).append(i)
+            if not parts:
+                self.at.setdefault(p, i)
+
+    def first(self, step: int) -> bool:
+        """Bring a step before all open ones; False if it has to stay behind one of them."""
+        at = self.open.index(step)
+        return at == 0 or (self.made is not None and all(self._swap(i, step) for i in reversed(self.open[:at])))
+
+    def _swap(self, i: int, j: int) -> bool:
+        a, b, x = self.proposed[i] >> 32, self.proposed[i] & 0xFFFFFFFF, self.made[i]
+        c, d, y = self.proposed[j] >> 32, self.proposed[j] & 0xFFFFFFFF, self.made[j]
+        before, after = self.changes.setdefault(i, {}), self.changes.setdefault(j, {})
+        if x in (c, d, y) or before.get(self.proposed[j], 0):
+            return False
+        met = [((x, c), (b, c)), ((x, y), (b, y)), ((d, x), (d, a)), ((y, x), (y, a))]
+        met = [(k[0] << 32 | k[1], to[0] << 32 | to[1]) for k, to in met]
+        if not (self.new[i] and self.new[j]):
+            return not any(after.get(k, 0) for k, _ in met)
+        for k, to in met:
+            if v := after.pop(k, 0):
+                after[to] = after.get(to, 0) + v
+                before[to] = before.get(to, 0) - v
+                before[k] = before.get(k, 0) + v
+        return True
+
+    def _named(self, pair: int) -> int:
+        left, right = pair >> 32, pair & 0xFFFFFFFF
+        return self.names.get(left, left) << 32 | self.names.get(right, right)
+
+    def take(self, step: int) -> list[tuple[int, int]]:
+        """The step's (pairs, changes), its symbol being numbered now."""
+        self.open.remove(step)
+        if self.made is not None and self.new[step]:
+            self.names[self.made[step]], self.next = self.next, self.next + 1
+            for i in self.users.get(self.made[step], ()):
+                if None not in (self.names.get(s, s) for s in (self.proposed[i] >> 32, self.proposed[i] & 0xFFFFFFFF)):
+                    self.at.setdefault(self._named(self.proposed[i]), i)
+        return [(self._named(p), change) for p, change in self.changes.pop(step, {}).items() if change]
 
 
 def learn(
@@ -279,26 +349,30 @@ def learn(
         shared = state.sparkSession.sparkContext.broadcast((known, steps))
         found = state.mapInArrow(_changes(shared), "step int, pair long, change long")
         found = found.groupBy("step", "pair").agg(F.sum("change").alias("change"))
-        old = [i for i, is_new in enumerate(new) if not is_new]
-        told = (F.col("change") < 0) | (F.col("change") >= learner.least) | F.col("step").isin(old)
-        found = found.where(told & (F.col("change") != 0)).toArrow()
+        found = found.where(F.col("change") != 0).toArrow()
         shared.destroy()
         step, pair, change = (found[c].to_numpy() for c in ("step", "pair", "change"))
         order = np.argsort(step, kind="stable")
         step, pair, change = step[order], pair[order], change[order]
         cuts = np.searchsorted(step, np.arange(len(steps) + 1))
         changes = {i: (pair[a:b].tolist(), change[a:b].tolist()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
-        taken, counted = learner.replay([a << 32 | b for a, b, _ in steps], changes, new)
-        name.undo(sum(new[taken:]))
-        wanted -= sum(new[:taken])
-        merges += [s[:2] for s in steps[:taken]]
-        known += steps[:taken]
-        if taken == len(steps):
+        _, counted = learner.replay([a << 32 | b for a, b, _ in steps], changes, new, [m for _, _, m in steps])
+        name.undo(sum(new))
+        taken = []
+        number = dict(zip((steps[i][2] for i in learner.taken if new[i]), sorted(s[2] for s, n in zip(steps, new, strict=True) if n)))
+        for i in learner.taken:
+            left, right = (number.get(s, s) for s in steps[i][:2])
+            made, is_new = name(left, right)
+            taken.append((left, right, made))
+            wanted -= is_new
+        merges += [s[:2] for s in taken]
+        known += taken
+        if taken == steps:
             words = tried
         else:
-            for s in steps[:taken]:
+            for s in taken:
                 words.merge(*s)
-        batch = min(most, max(64, 2 * taken))
+        batch = min(most, max(256, 2 * len(taken)))
         if len(known) > keep and counted:
             state, known = _applied(state, known), []
     return merges
