@@ -257,3 +257,19 @@ def test_scores_without_rows_to_learn_from(spark):
     assert lm.score(spark.createDataFrame([], kind), LM_HELD_OUT).count() == 0
     rows = lm.score(spark.createDataFrame([(None, "a b")], kind), LM_HELD_OUT).collect()
     assert rows[0].train_tokens == 0 and rows[0].n_known == 0 and math.isfinite(rows[0].score)
+
+
+def test_rounds_deal_all_windows():
+    letters = np.arange(3000, dtype=np.uint16)
+    for mark in (0, 12345678901234567, 2**63 - 1):
+        seen = [lm.training_windows(letters, mark, r, 1 / lm.ROUNDS) for r in range(lm.ROUNDS)]
+        starts = sorted(x for s in seen for x in s[:, 1].tolist())
+        assert starts == list(range(0, lm.STRIDE * int(lm.windows_of(len(letters))), lm.STRIDE))
+        assert all(len(s) for s in seen) and len(lm.training_windows(letters, mark, 1, 1.0)) == len(starts)
+
+
+def test_scores_for_each_weight():
+    logs, share = np.array([-3.0, -800.0, -2.0, -0.5]), np.array([0.01, 0.2, 0.0, 1e-9])
+    for w, got in zip(lm._WEIGHTS, lm._mixtures(logs, share), strict=True):
+        want = np.log10(np.maximum((1 - w) * 10.0**logs + w * share, 1e-320))
+        assert np.allclose(got, want)
