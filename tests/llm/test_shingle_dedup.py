@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline as cp
 from textloom.llm import shingle_dedup as sh
+from textloom.llm import simhash
 
 from .test_dedup import plain_components
 
@@ -74,3 +75,21 @@ def test_many_texts_with_a_common_passage(spark):
     for i, k in enumerate(root):
         want.setdefault(k, set()).add(i)
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, want.values()))
+
+
+def test_simhash_proposes_pairs_in_the_pipeline(spark, monkeypatch):
+    """Texts of near fingerprints are compared, through links of codes and through equal codes."""
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(4000)]
+    base = rnd.choices(words, k=900)
+    code = lambda t: simhash.fingerprint(t.encode())
+    cuts = (" ".join(base[:-k]) for k in range(1, 90))
+    near = next(t for t in cuts if 0 < (code(t) ^ code(" ".join(base))).bit_count() <= 4)
+    texts = [" ".join(base), near, " ".join(rnd.choices(words, k=40)), ""]
+    proposed = []
+    monkeypatch.setattr(sh, "_near_coded", lambda *a, f=sh._near_coded: proposed.append(f(*a)) or proposed[-1])
+    monkeypatch.setattr(sh, "_shared", lambda least: lambda batches: iter(()))  # no pairs from shingles
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[0]])], ", ".join(
+        ("doc_id long", "text string", "lang string", "source string", "n_chars long")))
+    kept = sorted(r.doc_id for r in cp.simhash_dedup(spark, df, "").collect())
+    assert kept == [0, 2, 3] and len(proposed) == 1 and proposed[0].distinct().count() == 1
