@@ -1,6 +1,7 @@
 import gzip
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,22 @@ def test_cleaning_runs_on_a_stream(spark, tmp_path):
 
 def test_all_plans_exist():
     assert len(corpora.CORPUS_PLANS) == 10
+
+
+def test_elements_are_held_for_few_documents_at_a_time(spark, monkeypatch):
+    """A batch of many documents leaves its task in parts."""
+    sizes = []
+
+    def counted(self, run, schema):
+        one = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "xml": ["<wtext><p><s>a b</s></p></wtext>", None] * 500})
+        sizes.extend(b.num_rows for b in run(iter([one])))
+        return plain(self, run, schema)
+
+    docs = spark.createDataFrame([(1, '<wtext n="2"><p><s>a</s></p></wtext>'), (2, "<wtext>"), (3, None)], "doc_id long, xml string")
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    rows = markup.elements(docs).orderBy("idx").collect()
+    assert [(r.doc_id, r.tag, r.parent, r.last, r.attrs, r.text) for r in rows] == [
+        (1, "wtext", None, 2, {"n": "2"}, None), (1, "p", 0, 2, {}, "a"), (1, "s", 1, 2, {}, "a")]
+    assert sum(sizes) == 1500 and max(sizes) < 300
+    assert [r.doc_id for r in markup.unparsed(docs).orderBy("doc_id").collect()] == [2, 3]

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.functions import text as tx
 from textloom.functions.hashing import uniform
@@ -38,44 +41,62 @@ EVENTS = ("event", "pause", "shift", "trunc", "unclear", "vocal", "align", "gap"
 SPOKEN = ("stext", "div", "u", "s", "head", "p", *EVENTS)
 
 
-@F.pandas_udf(_ELEMENT)
-def _list_elements(xml: pd.Series) -> pd.Series:
-    def one(doc):
-        rows = []
-
-        try:
-            todo = [(ET.fromstring(_CONTROLS.sub(" ", doc)), None, [], 0)]
-        except ET.ParseError:
-            return None
-        while todo:
-            node, parent, path, child_no = todo.pop()
-            if node is None:  # all below ``parent`` is done
-                rows[parent]["last"] = len(rows) - 1
-                continue
-            idx = len(rows)
-            here = [*path, idx]
-            closed = node.tag in ("s", "head", "speaker", "label")
-            text = "".join(node.itertext()) if closed or node.tag == "p" else None
-            rows.append({
-                "idx": idx, "parent": parent, "path": here, "child_no": child_no, "tag": node.tag, "attrs": dict(node.attrib),
-                "text": text,
-            })
-            todo.append((None, idx, here, 0))
-            # Inside a sentence there are only words.
-            if not closed:
-                todo.extend((child, idx, here, k) for k, child in reversed(list(enumerate(node))))
-        return rows
-
-    return xml.map(one, na_action="ignore")
+#: Documents whose elements are held at once.
+_AT_ONCE = 64
+
+
+def _elements_of(doc: str) -> list | None:
+    """A document's elements in document order; None where it does not parse."""
+    rows = []
+    try:
+        todo = [(ET.fromstring(_CONTROLS.sub(" ", doc)), None, [], 0)]
+    except ET.ParseError:
+        return None
+    while todo:
+        node, parent, path, child_no = todo.pop()
+        if node is None:  # all below ``parent`` is done
+            rows[parent]["last"] = len(rows) - 1
+            continue
+        idx = len(rows)
+        here = [*path, idx]
+        closed = node.tag in ("s", "head", "speaker", "label")
+        text = "".join(node.itertext()) if closed or node.tag == "p" else None
+        rows.append({
+            "idx": idx, "parent": parent, "path": here, "child_no": child_no, "tag": node.tag, "attrs": list(node.attrib.items()),
+            "text": text,
+        })
+        todo.append((None, idx, here, 0))
+        # Inside a sentence there are only words.
+        if not closed:
+            todo.extend((child, idx, here, k) for k, child in reversed(list(enumerate(node))))
+    return rows
+
+
+@F.pandas_udf(T.BooleanType())
+def _fails(xml: pd.Series) -> pd.Series:
+    return xml.map(lambda doc: doc is None or _elements_of(doc) is None)
 
 
 def elements(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """One row per element, in document order; documents that do not parse give no rows."""
-    return docs.select(key, F.explode(_list_elements(F.col(xml))).alias("e")).select(key, "e.*")
+    """One row per element, in document order; documents that do not parse give no rows.
+
+    A task holds the elements of a few documents at a time, however many a batch has.
+    """
+    schema = T.StructType([docs.schema[key], *_ELEMENT.elementType.fields])
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, _AT_ONCE):
+                part = zip(*(c.to_pylist() for c in b.slice(at, _AT_ONCE).columns), strict=True)
+                rows = [{key: k, **e} for k, doc in part if doc is not None for e in _elements_of(doc) or ()]
+                yield pa.RecordBatch.from_pylist(rows, types)
+
+    return docs.select(key, xml).mapInArrow(run, schema)
 
 
 def unparsed(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    return docs.where(_list_elements(F.col(xml)).isNull()).select(key)
+    return docs.where(_fails(F.col(xml))).select(key)
 
 
 def unknown_tags(els: DataFrame, known=WRITTEN, key: str = "doc_id") -> DataFrame:
