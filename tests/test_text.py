@@ -74,3 +74,23 @@ def test_clean_chain(spark):
     assert full[1] == '"q" fix AB café é don\' t'
     assert minimal[2] == "é <b>&amp;</b>"
     assert minimal[3] == "ab ガ"
+
+
+def test_cheap_looks_change_no_result(spark):
+    """Places and texts that the rules skip at a first look are those that they would leave as they are."""
+    rng = random.Random(8)
+    signs = list("aB1 ..  ,;:?!…’()[]{}%$£€‘“”ʼ\t\n\r\x0b\x85 \xa0　\x1c\x1b\x07\x7fé") + ["\x1b[0m", "...", "x...", "1:2", "\r\n"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + [None]
+    t = F.col("t")
+    spaced = F.regexp_replace(tx.collapse_blanks_keep_newlines(t), f"(?s){tx._TIGHTEN}", tx.MARK)
+    spaced = F.replace(F.regexp_replace(spaced, f"(?s){tx._LOOSEN}", " "), F.lit(tx.MARK), F.lit(""))
+    marks = t
+    for pattern, new in ((r"[ʼ‘-‛]", "'"), (r"[“-‟]", '"'), (r"\r\n|[\r  \x85]", "\n"), (r"\x1b\[[\p{Nd};]*[a-zA-Z]", ""),
+                         (r"[\x00-\x08\x0b\x0e-\x1f\x7f⁪-⁯﻿￹-￼]", "")):
+        marks = F.regexp_replace(marks, pattern, new)
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select(
+        "t", tx.space_punctuation(t).alias("a"), spaced.alias("b"), rp._plain_marks(t).alias("c"), marks.alias("d"),
+        tx.collapse_blanks(t).alias("e"), F.trim(F.regexp_replace(t, rf"{tx.BLANK}+", " ")).alias("f"))
+    for r in df.collect():
+        assert (r.a, r.c, r.e) == (r.b, r.d, r.f), repr(r.t)
+    assert tx._LOOSE and rp._SPECIAL_MARKS

@@ -142,13 +142,17 @@ def _ordinary_width(t: Column) -> Column:
     return F.when(t.rlike(r"[\u3000！-\uffef]"), F.translate(t, *_WIDTH)).otherwise(t)
 
 
+_SPECIAL_MARKS = r"[ʼ‘-‟\r\u2028\u2029\x85\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]"
+
+
 def _plain_marks(t: Column) -> Column:
     """Straight quotes, one kind of line break, no terminal codes, no control characters."""
-    t = F.regexp_replace(t, r"[ʼ‘-‛]", "'")
-    t = F.regexp_replace(t, r"[“-‟]", '"')
-    t = F.regexp_replace(t, r"\r\n|[\r\u2028\u2029\x85]", "\n")
-    t = F.regexp_replace(t, r"\x1b\[[\p{Nd};]*[a-zA-Z]", "")
-    return F.regexp_replace(t, r"[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]", "")
+    new = F.regexp_replace(t, r"[ʼ‘-‛]", "'")
+    new = F.regexp_replace(new, r"[“-‟]", '"')
+    new = F.regexp_replace(new, r"\r\n|[\r\u2028\u2029\x85]", "\n")
+    new = F.regexp_replace(new, r"\x1b\[[\p{Nd};]*[a-zA-Z]", "")
+    new = F.regexp_replace(new, r"[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]", "")
+    return F.when(t.rlike(_SPECIAL_MARKS), new).otherwise(t)
 
 
 def _reread_where_needed(t: Column) -> Column:

@@ -47,7 +47,8 @@ def strip(t: Column) -> Column:
 
 def collapse_blanks(t: Column) -> Column:
     """Every run of blanks becomes one space; none remain at the ends."""
-    return F.trim(F.regexp_replace(t, rf"{BLANK}+", " "))
+    uneven = t.rlike(rf"[{BLANK}&&[^ ]]|  ")  # single spaces stay as they are
+    return F.trim(F.when(uneven, F.regexp_replace(t, rf"{BLANK}+", " ")).otherwise(t))
 
 
 def collapse_blanks_keep_newlines(t: Column) -> Column:
@@ -63,6 +64,8 @@ _TIGHTEN = "|".join((
     r"(?<=[$£€]) (?=\p{N})",
     r"(?<=\p{N}) (?=%)",
 ))
+#: What stands before every place that _LOOSEN finds; most places need no further look.
+_LOOSE = r"[.?!…’,;:)\]}%]"
 _LOOSEN = "|".join((
     rf"(?<=\.)(?=\p{{Lu}}|{_OPENERS})",
     rf"(?<=[?!…’])(?={_ALNUM}|{_OPENERS})",
@@ -81,8 +84,8 @@ def space_punctuation(t: Column) -> Column:
     sees that something stood there, as it would when the text is read from right to left.
     """
     t = collapse_blanks_keep_newlines(t)
-    t = F.regexp_replace(t, f"(?s){_TIGHTEN}", MARK)
-    t = F.regexp_replace(t, f"(?s){_LOOSEN}", " ")
+    t = F.regexp_replace(t, f"(?s)(?= )(?:{_TIGHTEN})", MARK)
+    t = F.regexp_replace(t, f"(?s)(?<={_LOOSE})(?:{_LOOSEN})", " ")
     return F.replace(t, F.lit(MARK), F.lit(""))
 
 
