@@ -23,7 +23,7 @@ MAX_ABBREVIATIONS = 4096
 
 def _rejoin(t: Column, abbreviations) -> Column:
     """Take back cuts after single initials and after known abbreviations."""
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{Lu}\.)\x01", "$1")
+    t = F.regexp_replace(t, r"\x01(?<=(?<![\p{L}\p{N}])\p{Lu}\.\x01)", "")  # cuts are rare, so they are looked for first
     if not abbreviations:
         return t
     if len(abbreviations) > MAX_ABBREVIATIONS:
@@ -49,31 +49,44 @@ def segment_lines(df: DataFrame, abbreviations=(), position: str = "sent") -> Da
 
 
 def _rows(df: DataFrame, parts: Column, position: str) -> DataFrame:
-    rows = df.withColumn("_parts", parts).select(
-        *[c for c in df.columns if c != "text"], F.size("_parts").alias("_n"), F.posexplode("_parts").alias(position, "text")
-    )
-    last = (F.col(position) == F.col("_n") - 1) & (F.col("text") != "")
-    return rows.withColumn("text", F.when(last, F.concat("text", F.lit(PARAGRAPH_MARK))).otherwise(F.col("text"))).drop("_n")
+    # The array is made in the generator: as a column it would be made again for every use and filter of it.
+    def marked(found):
+        return F.transform(found, lambda x, i: F.when((i == F.size(found) - 1) & (x != ""), F.concat(x, F.lit(PARAGRAPH_MARK))).otherwise(x))
+
+    return df.select(*[c for c in df.columns if c != "text"], F.posexplode(_with(parts, marked)).alias(position, "text"))
+
+
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def segment_lines_learned(df: DataFrame, scores: DataFrame, keys: list[str], threshold: float = 0.3, position: str = "sent") -> DataFrame:
     """``segment_lines`` with abbreviations from a table (type, score) of any size, see ``abbreviation_scores``.
 
     The words before cuts are rows that meet the table in a join; a cut after a word of at least ``threshold`` is taken back.
-    ``keys`` tell lines apart and are not null. Only words before cuts and the places of the cuts taken back are exchanged.
+    ``keys`` tell lines apart and are not null. Lines are cut and exchanged once; the words before cuts are read from the
+    same exchange, and the places of the cuts taken back are joined to it.
     """
-    cut = df.withColumn("_pieces", F.split(_mark(tx.strip(F.col("text")), ()), _CUT))
-    before = F.posexplode(F.slice("_pieces", F.lit(1), F.size("_pieces") - 1)).alias("_at", "_piece")
-    word = F.regexp_extract("_piece", r"([^\s]+)\.$", 1)
-    kind = F.lower(F.regexp_replace(word, _OPENERS, "")).alias("type")
-    places = cut.where(F.size("_pieces") > 1).select(*keys, before).select(*keys, "_at", kind).where("type <> ''")
+    pieces = F.split(_mark(tx.strip(F.col("text")), ()), _CUT).alias("_pieces")
+    # As in ``ordered``, a struct of keys keeps filters for their nulls from coming between the two uses of the exchange.
+    others = [c for c in df.columns if c not in (*keys, "text")]
+    cut = df.select(F.struct(*keys).alias("_line"), *others, pieces).repartition("_line")
+    # A piece before a cut ends in the mark of the cut.
+    word = F.regexp_extract("_piece", r"(?:^|\s)([^\s]+)\.$", 1)
+    kind = F.lower(F.regexp_replace(word, _OPENERS, ""))
+    before = F.posexplode(F.slice("_pieces", F.lit(1), F.greatest(F.size("_pieces") - 1, F.lit(0)))).alias("_at", "_piece")
+    ended = cut.select("_line", before).where(F.endswith("_piece", F.lit(".")))
+    places = ended.select("_line", "_at", F.explode(F.filter(F.array(kind), lambda k: k != "")).alias("type"))
     known = scores.where(F.col("score") >= threshold).select("type")
-    undone = places.join(known, "type", "left_semi").groupBy(*keys).agg(F.collect_set("_at").alias("_undone"))
-    taken_back = lambda i: F.coalesce(F.array_contains("_undone", i - 1), F.lit(False))
+    undone = places.join(known, "type", "left_semi").groupBy("_line").agg(F.collect_set("_at").alias("_undone"))
+    taken_back = lambda i: F.array_contains("_undone", i - 1)
     marked = F.transform("_pieces", lambda x, i: F.concat(F.when((i == 0) | taken_back(i), "").otherwise(_CUT), x))
-    joined = cut.join(undone, keys, "left").withColumn("_joined", F.array_join(marked, ""))
-    parts = F.transform(F.split("_joined", _CUT), tx.strip)
-    return _rows(joined.withColumn("_found", parts).select(*df.columns, "_found"), F.col("_found"), position).drop("_found")
+    rejoined = F.split(F.array_join(marked, ""), _CUT)
+    parts = F.transform(F.when(F.col("_undone").isNull(), F.col("_pieces")).otherwise(rejoined), tx.strip)
+    joined = cut.join(undone.hint("shuffle_hash"), "_line", "left")
+    out = _rows(joined, parts, position)
+    return out.select(*[F.col(f"_line.{c}").alias(c) if c in keys else F.col(c) for c in df.columns if c != "text"], position, "text")
 
 
 def segment_corpus(df: DataFrame, order: LineOrder, abbreviations=()) -> DataFrame:
@@ -85,19 +98,27 @@ def segment_corpus(df: DataFrame, order: LineOrder, abbreviations=()) -> DataFra
     """
     pos = [order.major, *order.minor]
     t = F.col("text")
-    lines = scan(df, order, add=(tx.strip(t) == "").cast("int")).where(tx.strip(t) != "")
-    lines = lines.select(*order.columns, "text", F.col("before").alias("gaps"))
-    seen = scan(lines, order, ahead=t.rlike(rf"^\s*{_START}"))
     # A virtual capital after the line end asks the same rule and the same exceptions.
-    ends = _mark(F.concat(tx.strip(t), F.lit(" A")), abbreviations).endswith(f"{_CUT} A")
-    closes = ends & F.coalesce(F.col("next.v"), F.lit(False))
-    parts = F.split(_mark(t, abbreviations), _CUT)
-    cut = seen.withColumns({"parts": parts, "closes": closes}).select(*order.columns, "gaps", "parts", "closes")
-    counted = scan(cut, order, add=F.size("parts") - 1 + F.col("closes").cast("int"))
+    asked = df.select(*order.columns, "text", tx.strip(t).alias("_bare"), _mark(F.concat(tx.strip(t), F.lit(" A")), abbreviations).alias("_asked"))
+    ends = F.col("_asked").endswith(f"{_CUT} A")
+    # A text without outer blanks has the cuts of that reading, but for the last.
+    own = F.substr("_asked", F.lit(1), F.length("_asked") - F.when(ends, 3).otherwise(2))
+    cut = asked.select(
+        *order.columns, (F.col("_bare") == "").alias("blank"), t.rlike(rf"^\s*{_START}").alias("starts"), ends.alias("ends"),
+        F.split(F.when(F.col("_bare") == t, own).otherwise(_mark(t, abbreviations)), _CUT).alias("parts"),
+    )
+    seen = scan(cut, order, add=F.col("blank").cast("int"), carry=F.when(~F.col("blank"), F.col("ends"))).where(~F.col("blank"))
+    opens = (F.col("starts") & F.coalesce("carried", F.lit(False))).cast("int")
+    lines = seen.select(*order.columns, F.col("before").alias("gaps"), opens.alias("opens"), "parts")
+    counted = scan(lines, order, add=F.size("parts") - 1 + F.col("opens"))
     pieces = counted.select(
-        *order.columns, "gaps", "before", F.posexplode("parts").alias("piece_no", "piece")
-    ).withColumn("sentence_no", F.col("before") + F.col("piece_no"))
-    grouped = pieces.groupBy(*order.keys, "sentence_no").agg(
+        *order.columns, "gaps", (F.col("before") + F.col("opens")).alias("first_no"), "opens", F.size("parts").alias("n"),
+        F.posexplode("parts").alias("piece_no", "piece"),
+    ).withColumn("sentence_no", F.col("first_no") + F.col("piece_no"))
+    # Between two boundaries of one line a piece is a sentence; only the others are brought together.
+    alone = (F.col("piece_no") < F.col("n") - 1) & ((F.col("piece_no") > 0) | (F.col("opens") == 1))
+    whole = pieces.where(alone).select(*order.keys, "sentence_no", F.col("piece").alias("text"))
+    grouped = pieces.where(~alone).groupBy(*order.keys, "sentence_no").agg(
         F.array_sort(F.collect_list(F.struct(*pos, "piece_no", "gaps", "piece"))).alias("p")
     )
     joined = F.aggregate(
@@ -113,9 +134,8 @@ def segment_corpus(df: DataFrame, order: LineOrder, abbreviations=()) -> DataFra
         ),
         lambda acc: acc["text"],
     )
-    return grouped.select(
-        *order.keys, "sentence_no", F.concat(tx.strip(joined), F.lit(PARAGRAPH_MARK)).alias("text")
-    )
+    sentences = whole.unionByName(grouped.select(*order.keys, "sentence_no", joined.alias("text")))
+    return sentences.withColumn("text", F.concat(tx.strip(F.col("text")), F.lit(PARAGRAPH_MARK)))
 
 
 def abbreviation_scores(df: DataFrame, text: str = "text") -> DataFrame:
@@ -125,11 +145,15 @@ def abbreviation_scores(df: DataFrame, text: str = "text") -> DataFrame:
     period-free uses (Kiss and Strunk 2006).
     """
     words = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[^\s]+"), 0)).alias("w"))
-    words = words.select(F.regexp_replace("w", r"^[\"'“‘(\[]+|[\"'’”)\],;:]+$", "").alias("w")).where(F.col("w").rlike(r"\p{L}"))
+    words = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # The rules look at distinct words. They stand in a generator, below which no filter by their outcome is moved.
+    bare = F.regexp_replace("w", r"^[\"'“‘(\[]+|[\"'’”)\],;:]+$", "")
+    words = words.select(F.explode(F.filter(F.array(bare), lambda w: w.rlike(r"\p{L}"))).alias("w"), "n")
     typed = words.select(
-        F.regexp_replace("w", r"\.$", "").alias("type"), F.col("w").endswith(".").cast("bigint").alias("dotted")
-    ).where(F.col("type").rlike(r"^[\p{L}.\-]+$"))
-    types = typed.groupBy("type").agg(F.sum("dotted").alias("with_period"), F.count(F.lit(1)).alias("n"))
+        F.explode(F.filter(F.array(F.regexp_replace("w", r"\.$", "")), lambda w: w.rlike(r"^[\p{L}.\-]+$"))).alias("type"),
+        F.when(F.col("w").endswith("."), F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("dotted"), "n",
+    )
+    types = typed.groupBy("type").agg(F.sum("dotted").alias("with_period"), F.sum("n").alias("n"))
     share = types.agg((F.sum("with_period") / F.sum("n")).alias("share"))
     rows = types.where(F.col("with_period") > 0).withColumn("p", share.scalar())
     k, n = F.col("with_period").cast("double"), F.col("n").cast("double")
