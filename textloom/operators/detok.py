@@ -1,9 +1,21 @@
-"""Tokens back to text: spacing classes and quote parity as windows over a token table."""
+"""Tokens back to text by spacing classes and quote parity.
+
+``spacing`` gives them for a token table, by windows; ``detokenize`` follows the same rules in one pass over the tokens of a
+text, which travel as one array.
+"""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+from itertools import batched
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from textloom.functions import text as tx
 
@@ -112,15 +124,149 @@ def spacing(tokens: DataFrame, key: str = "doc_id", pos: str = "pos", token: str
     return rows.withColumn("gap", gap).drop(*scratch)
 
 
+_LINE_END = re.compile("(?:\r\n|[\n\r\u0085\u2028\u2029])\\Z")
+_CJK_CHAR = re.compile("[" + _CJK[1:-1].replace("\\x{20000}-\\x{2ffff}", "\U00020000-\U0002ffff").replace("\\x{", "\\u").replace("}", "") + "]")
+_REMEMBERED = 1 << 18
+_ROWS = 64  # texts whose tokens a task holds as Python values
+# What the rules ask about a token.
+(_CJK_FIRST, _CJK_LAST, _OPENS, _CLOSES, _FRENCH, _CLITIC, _NUMBER, _ELIDED, _QUOTES, _LETTER_FIRST, _LETTER, _UPPER_FIRST, _POINT, _DASH,
+ _AFTER_DASH, _S_LAST) = (1 << i for i in range(16))
+_CLASSED = _CJK_FIRST | _OPENS | _CLOSES | _CLITIC | _NUMBER | _ELIDED | _QUOTES  # others are plain in any language
+
+
+def _traits(t: str) -> int:
+    """Bits for a token; as in the patterns of ``spacing``, a line end may follow what ends it."""
+    kind = unicodedata.category
+    bare = _LINE_END.sub("", t)
+    letters = [kind(c)[0] == "L" for c in t]
+    tests = (
+        bool(_CJK_CHAR.match(t)), bool(bare) and bool(_CJK_CHAR.match(bare[-1])),
+        bare != "" and all(c in "([{¿¡" or kind(c) == "Sc" for c in bare), bare != "" and all(c in ",.?!:;\\%}])" for c in bare),
+        len(bare) == 1 and bare in "?!:;\\%", t[:1] == "'" and letters[1:2] == [True], bare != "" and all("0" <= c <= "9" for c in bare),
+        bare[-1:] == "'" and letters[len(bare) - 2 : len(bare) - 1] == [True], bare != "" and all(c in "'\"„“`" for c in bare),
+        letters[:1] == [True], any(letters), t != "" and kind(t[0]) == "Lu", bare in (".", ","), bare in ("-", "–"),
+        bare.lower() == "li" or t[:4].lower() == "mail", t.endswith("s"),
+    )
+    return sum(1 << i for i, found in enumerate(tests) if found)
+
+
+def _gaps(tokens: list, langs: list, traits: list) -> Iterator[str]:
+    """What stands before each token; see ``spacing``. A missing token has no traits."""
+    n = len(tokens)
+    at = lambda i: traits[i] if 0 <= i < n else 0
+    turns, sets = {}, {}
+    glued = taken = after_dash = False
+    for i, (t, lang, f) in enumerate(zip(tokens, langs, traits, strict=True)):
+        cls, dash = "plain", False
+        if f & _CLASSED:
+            before, after = at(i - 1), at(i + 1)
+            later = i > 0 and tokens[i - 1] is not None
+            dash = lang == "cs" and bool(f & _ELIDED and after & _DASH and at(i + 2) & _AFTER_DASH)
+            if f & _CJK_FIRST and lang is not None and lang != "ko":
+                cls = "left" if before & _CJK_LAST else "plain"
+            elif f & _OPENS:
+                cls = "opener"
+            elif f & _CLOSES:
+                cls = "spaced" if lang == "fr" and f & _FRENCH else "left"
+            elif lang == "en" and later and f & _CLITIC or lang == "cs" and f & _NUMBER and before & _POINT and at(i - 2) & _NUMBER:
+                cls = "left"
+            elif lang in ("fr", "it", "ga") and f & _ELIDED and after & _LETTER_FIRST or dash:
+                cls = "opener"
+            elif f & _QUOTES:
+                kind = '"' if not set(_LINE_END.sub("", t)) - set("„“”") else t
+                single = lang == "en" and t == "'" and later
+                plural = single and before & _S_LAST
+                done = turns.get(kind, 0)
+                cls = "left"
+                if plural and before & _UPPER_FIRST:
+                    pass
+                elif single and before & _LETTER and i + 1 < n and tokens[i + 1] == "s":
+                    cls = "both"
+                elif plural or lang == "cs" and t == "“":
+                    sets[kind] = -done
+                elif lang == "cs" and t == "„":
+                    sets[kind] = 1 - done
+                    cls = "opener"
+                else:
+                    if (sets.get(kind, 0) + done) % 2 == 0:
+                        cls = "opener"
+                    turns[kind] = done + 1
+        if taken or cls in ("left", "both"):
+            yield ""
+        elif cls == "spaced":
+            yield " "
+        else:
+            yield "" if after_dash or glued else " "
+        glued, taken, after_dash = cls in ("opener", "both"), dash, taken
+
+
 def detokenize(tokens: DataFrame, key: str = "doc_id", pos: str = "pos", token: str = "token", lang: str = "lang") -> DataFrame:
-    """(key, text) from a token table."""
-    spaced = spacing(tokens, key, pos, token, lang)
-    pieces = F.array_sort(F.collect_list(F.struct(pos, F.concat("gap", token).alias("s"))))
-    text = F.array_join(F.transform(pieces, lambda p: p["s"]), "")
-    return spaced.groupBy(key).agg(F.trim(F.regexp_replace(text, " {2,}", " ")).alias("text"))
+    """(key, text) from a token table, or from rows whose ``token`` is an array of tokens in order.
+
+    Arrays of the same key are one text, their tokens taken by place.
+    """
+    arrays = isinstance(tokens.schema[token].dataType, ArrayType)
+    if arrays:
+        rows = tokens.select(key, F.col(lang).alias("lang"), F.col(token).alias("t")).repartition(key).sortWithinPartitions(key)
+    else:
+        item = F.struct(F.col(pos).alias("pos"), F.col(token).alias("t"), F.col(lang).alias("lang"))
+        rows = tokens.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    schema = StructType([tokens.schema[key], StructField("text", StringType())])
+    key_type = to_arrow_type(tokens.schema[key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {None: 0}
+
+        def traits(t: str) -> int:
+            if len(known) > _REMEMBERED:
+                known.clear()
+                known[None] = 0
+            found = known[t] = _traits(t)
+            return found
+
+        def text(items: list) -> str:
+            if not arrays:
+                places, words, langs = ([x[c] for x in items] for c in ("pos", "t", "lang"))
+            elif len(items) == 1:
+                lang, words = items[0]
+                places, langs = range(len(words)), [lang] * len(words)
+            else:
+                placed = sorted(((i, t, lang) for lang, ts in items for i, t in enumerate(ts)), key=lambda p: p[0])
+                places, words, langs = zip(*placed, strict=True)
+            bits = [known[t] if t in known else traits(t) for t in words]
+            spaced = [None if t is None else g + t for g, t in zip(_gaps(words, langs, bits), words, strict=True)]
+            if len(items) > 1:  # rows may share a place
+                order = sorted((p is not None, p or 0, s is not None, s or "") for p, s in zip(places, spaced, strict=True))
+                spaced = [s for *_, s in order]
+            return re.sub(" {2,}", " ", "".join(s or "" for s in spaced)).strip(" ")
+
+        def texts() -> Iterator[tuple]:
+            last, held = None, []
+            for b in batches:
+                for start in range(0, b.num_rows, _ROWS):
+                    part = b.slice(start, _ROWS)
+                    if not arrays:
+                        yield from zip(part.column(0).to_pylist(), map(text, part.column(1).to_pylist()), strict=True)
+                        continue
+                    for k, lang, words in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                        if not words:
+                            continue
+                        if held and k != last:
+                            yield last, text(held)
+                            held = []
+                        last = k
+                        held.append((lang, words))
+            if held:
+                yield last, text(held)
+
+        for some in batched(texts(), _ROWS):
+            keys, made = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(made, pa.string())], names=[key, "text"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def detokenize_lists(df: DataFrame, key: str = "doc_id", tokens: str = "tokens", lang: str = "lang", unescape: bool = True) -> DataFrame:
     """(key, text) from token arrays, with escapes undone first."""
-    rows = df.select(key, lang, F.posexplode(prepare_tokens(F.col(tokens), unescape)).alias("pos", "token"))
+    rows = df.select(key, F.col(lang).alias("lang"), prepare_tokens(F.col(tokens), unescape).alias("token"))
     return detokenize(rows, key)

@@ -1,7 +1,8 @@
 """Applying a vocabulary: words to ids and back.
 
-Looking words up is a join with the vocabulary; Spark measures the vocabulary and broadcasts it
+Words in rows are looked up by a join with the vocabulary; Spark measures the vocabulary and broadcasts it
 only below its size threshold, and beyond that shuffles both sides and splits hot words (AQE).
+Words in arrays are looked up in place.
 Merging, longest match and best path have no expression form; they run in an Arrow function
 that remembers words it has seen, so no text is shuffled.
 """
@@ -11,10 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from textloom.functions.words import UNK, hide_bytes
 from textloom.operators.vocab import model_rows
@@ -23,7 +27,13 @@ _REMEMBERED = 1 << 18
 
 
 def encode_by_lookup(tokens: DataFrame, vocab: DataFrame, keys: list[str], pos: str = "pos", word: str = "word") -> DataFrame:
-    """(keys, ids) from one row per word; unknown words become the unknown id."""
+    """(keys, ids) from one row per word, or from arrays of words; unknown words become the unknown id.
+
+    Arrays are looked up where they are, with the vocabulary shared as the splitters' models are: no word becomes a row.
+    Arrays of the same keys are put together by the words' places.
+    """
+    if isinstance(tokens.schema[word].dataType, ArrayType):
+        return _encode_arrays(tokens.select(*keys, F.col(word).alias("ids")), vocab, keys)
     known = vocab.select(F.col("token").alias(word), "id")
     found = tokens.join(known, word, "left").withColumn("id", F.coalesce("id", F.lit(UNK)))
     return found.groupBy(*keys).agg(
@@ -31,6 +41,59 @@ def encode_by_lookup(tokens: DataFrame, vocab: DataFrame, keys: list[str], pos:
     )
 
 
+def _encode_arrays(rows: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
+    model = model_rows(vocab.select("token", "id"))
+    shared = rows.sparkSession.sparkContext.broadcast(([r["token"] for r in model], [r["id"] for r in model]))
+    schema = StructType([*rows.select(*keys).schema.fields, StructField("ids", ArrayType(IntegerType(), False))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = pa.array(shared.value[0], pa.string()), pa.array(shared.value[1], pa.int32())
+        for b in batches:
+            b = b.filter(pc.fill_null(pc.greater(pc.list_value_length(b.column("ids")), 0), False))
+            lists = b.column("ids")
+            found = pc.fill_null(ids.take(pc.index_in(lists.flatten().cast(pa.string()), value_set=known)), UNK)
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int32)
+            offsets = pa.array(np.concatenate([np.zeros(1, np.int32), ends]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, found)], names=b.schema.names)
+
+    def joined(lists: list) -> list:
+        return lists[0] if len(lists) == 1 else [x for _, x in sorted(p for ids in lists for p in enumerate(ids))]
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows, those of the same keys as one; the last one of a batch may go on in the next."""
+        out = None
+        last, held = None, []
+        for b in batches:
+            out = b.schema
+            lists = b.column("ids")
+            of = list(zip(*[c.to_pylist() for c in b.columns[:-1]], strict=True))
+            starts = [i for i, k in enumerate(of) if not i or k != of[i - 1]]
+            alone, several = [], []
+            for s, e in zip(starts, [*starts[1:], len(of)], strict=True):
+                if not held or of[s] != last:
+                    if held:
+                        several.append((*last, joined(held)))
+                        held = []
+                    if e - s == 1 and e < len(of):
+                        alone.append(s)
+                        continue
+                last = of[s]
+                held += lists.slice(s, e - s).to_pylist()
+            if alone:
+                yield b.take(pa.array(alone))
+            if several:
+                yield _row_batch(several, out)
+        if held:
+            yield _row_batch([(*last, joined(held))], out)
+
+    found = rows.mapInArrow(run, schema).repartition(*keys).sortWithinPartitions(*keys)
+    return found.mapInArrow(together, schema)
+
+
+def _row_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
+
+
 class _MergeModel:
     def __init__(self, tokens: set, merges: list):
         self.tokens = tokens
@@ -148,8 +211,7 @@ def unigram_splitter(vocab: DataFrame):
 
 def tokens_to_ids(tokens: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ids) from (keys, tokens array)."""
-    rows = tokens.select(*keys, F.posexplode("tokens").alias("pos", "word"))
-    return encode_by_lookup(rows, vocab, keys)
+    return encode_by_lookup(tokens, vocab, keys, word="tokens")
 
 
 def ids_to_tokens(encoded: DataFrame, vocab: DataFrame, keys: list[str], ids: str = "ids") -> DataFrame:

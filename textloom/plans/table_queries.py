@@ -231,9 +231,7 @@ def _speaker_turns(turns):
 
 
 def detokenized(spark, sf):
-    toks = _table(spark, sf, "documents").select(
-        "doc_id", "lang", F.posexplode(wd.whitespace_words(F.col("text"))).alias("pos", "token")
-    )
+    toks = _table(spark, sf, "documents").select("doc_id", "lang", wd.whitespace_words(F.col("text")).alias("token"))
     return detok.detokenize(toks, "doc_id").select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
 
 
@@ -325,8 +323,7 @@ def vocab_wordlevel(spark, sf):
 def encode_wordlevel(spark, sf):
     docs = _table(spark, sf, "documents")
     v = vocab.wordlevel_vocab(vocab.word_counts(docs), 5000)
-    toks = docs.select("doc_id", F.posexplode(wd.whitespace_words(F.col("text"))).alias("pos", "word"))
-    out = encode.encode_by_lookup(toks, v, ["doc_id"])
+    out = encode.encode_by_lookup(docs.select("doc_id", wd.whitespace_words(F.col("text")).alias("word")), v, ["doc_id"])
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n"), _joined(F.col("ids")).alias("ids"))
 
 
@@ -421,8 +418,8 @@ def sentence_examples(spark, sf):
     """Examples of whole documents, one for each sentence, in ids of the full word vocabulary."""
     v = vocab.wordlevel_vocab(_word_counts(spark, sf))
     keys = ["doc_id", "pos", "sent"]
-    words = F.posexplode(wd.whitespace_words(F.replace("text", F.lit(segment.PARAGRAPH_MARK), F.lit("")))).alias("at", "word")
-    ids = encode.encode_by_lookup(sentences_learned(spark, sf).select(*keys, words), v, keys, pos="at")
+    words = wd.whitespace_words(F.replace("text", F.lit(segment.PARAGRAPH_MARK), F.lit(""))).alias("word")
+    ids = encode.encode_by_lookup(sentences_learned(spark, sf).select(*keys, words), v, keys)
     out = examples.build_examples(ids, 64)
     return out.select(*keys, _joined(F.col("input_ids")).alias("input_ids"), F.size(F.filter("is_pad", lambda p: p)).cast("bigint").alias("n_pad"))
 
