@@ -18,6 +18,14 @@ def test_arrays_are_looked_up_as_rows_are(spark):
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_keys_that_are_never_null(spark):
+    vocab = spark.createDataFrame([("a", 7), ("b", 8)], "token string, id int")
+    lists = spark.range(12).select("id", F.lit(1).alias("n"), F.array(F.lit("a"), F.lit("x")).alias("word"))
+    lists = lists.unionByName(lists.where("id % 5 = 0")).coalesce(1)
+    got = {r.id: r.ids for r in encode.encode_by_lookup(lists, vocab, ["id", "n"]).collect()}
+    assert got == {i: [7, 7, 0, 0] if i % 5 == 0 else [7, 0] for i in range(12)}
+
+
 def windowed(tokens):
     """The reading by ``spacing``."""
     pieces = F.array_sort(F.collect_list(F.struct("pos", F.concat("gap", "token").alias("s"))))

@@ -91,7 +91,7 @@ def _encode_arrays(rows: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFr
 
 
 def _row_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 class _MergeModel:
