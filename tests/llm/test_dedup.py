@@ -3,8 +3,10 @@
 import hashlib
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -209,6 +211,18 @@ def test_removal_edges(spark):
     assert {r.doc_id: r.text for r in sd.remove_repeats(cut, kept="text").collect()} == {1: "€" * 30, 2: "aé"}
 
 
+def test_hash_buckets_are_of_one_size():
+    """Smallest hashes of windows are small numbers; the buckets that tasks hold must share them evenly all the same."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(97, 123, 4000).astype(np.uint8).tobytes() for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts, pa.binary())], names=["doc_id", "data"])
+    sizes = Counter()
+    for b in sd._hash_runs(40, 50, 20)([batch]):
+        for bucket, owner in zip(b["bucket"].to_pylist(), b["owner"].to_pylist(), strict=True):
+            sizes[bucket] += len(sd._unpacked(owner, np.uint32))
+    assert len(sizes) == 40 and max(sizes.values()) < 1.5 * sum(sizes.values()) / 40
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=4, max_size=4), max_size=12), min_size=1, max_size=7))
 def test_loser_tree(runs):

@@ -102,16 +102,32 @@ def _schema(**columns) -> StructType:
 _HASHES = _schema(bucket=LongType, hashes=BinaryType, docs=BinaryType, owner=BinaryType)
 
 
+def bucket_edges(buckets: int, span: int) -> np.ndarray:
+    """Hashes that cut the smallest ones of windows of ``span`` hashes into buckets of about the same number of them.
+
+    A hash at u of the way is the smallest of a window if, around it, ``span`` - 1 in a row are larger; so of all
+    smallest hashes the share 1 - (span + 1) / 2 * q ** span + (span - 1) / 2 * q ** (span + 1), q = 1 - u, lies below it.
+    """
+    want = np.arange(1, buckets) / buckets
+    low, high = np.zeros(len(want)), np.ones(len(want))
+    for _ in range(52):
+        u = (low + high) / 2
+        q = 1 - u
+        below = 1 - (span + 1) / 2 * q**span + (span - 1) / 2 * q ** (span + 1) < want
+        low, high = np.where(below, u, low), np.where(below, high, u)
+    return (low * 2.0**63).astype(np.uint64) * np.uint64(2)
+
+
 def _hash_runs(buckets: int, length: int, gram: int):
     """Step 1: rows (doc_id, data) to sorted runs of (hash, document) by bucket."""
+    edges = bucket_edges(buckets, length - gram + 1)
 
     def flush(hashes: list[np.ndarray], docs: list[int]) -> pa.RecordBatch:
         owner = np.repeat(np.arange(len(docs), dtype=np.uint32), [len(h) for h in hashes])
         h = np.concatenate(hashes)
         order = np.argsort(h)
         h, owner, ids = h[order], owner[order], np.array(docs, np.int64)
-        edges = [b * (1 << 64) // buckets for b in range(1, buckets)]
-        cut = [0, *np.searchsorted(h, np.array(edges, np.uint64)).tolist(), len(h)]
+        cut = [0, *np.searchsorted(h, edges).tolist(), len(h)]
         rows = []
         for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)):
             if e > s:
