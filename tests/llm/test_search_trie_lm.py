@@ -3,10 +3,13 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import attention_lm as lm
@@ -273,3 +276,95 @@ def test_scores_for_each_weight():
     for w, got in zip(lm._WEIGHTS, lm._mixtures(logs, share), strict=True):
         want = np.log10(np.maximum((1 - w) * 10.0**logs + w * share, 1e-320))
         assert np.allclose(got, want)
+
+
+class FirstTask:
+    @staticmethod
+    def get():
+        return FirstTask
+
+    @staticmethod
+    def partitionId():  # noqa: N802
+        return 0
+
+
+def chunked(docs):
+    columns = zip(*docs, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["doc_id", "held", "data"])
+    return list(lm._chunks([batch]))
+
+
+def test_chunks_hold_all_words(monkeypatch):
+    monkeypatch.setattr(lm, "TaskContext", FirstTask)
+    blanks = [bytes([b]) for b in range(256)]
+    texts = [None, b"", b" \n", b"Ab  aB\tab\x0b", "É é e x".encode(), b"\x00 \xff\xfe z", *(b"a" + b + b"b" for b in blanks), b"end"]
+    docs, words = chunked([(i, i % 3 == 0, t) for i, t in enumerate(texts)])
+    names = words["data"].to_pylist()
+    for i, (t, data) in enumerate(zip(texts, docs["data"].to_pylist(), strict=True)):
+        want = (t or b"").lower().split()
+        assert [names[k] for k in np.frombuffer(data, np.int32)] == want and docs["n"][i].as_py() == len(want) + 1
+    learned = Counter(w for i, t in enumerate(texts) if i % 3 for w in (t or b"").lower().split())
+    assert dict(zip(names, words["n"].to_pylist(), strict=True)) == {w: learned[w] for w in names}
+
+
+def test_chunk_counts_grow_with_its_words(monkeypatch):
+    """Not with its documents times its different words."""
+    monkeypatch.setattr(lm, "TaskContext", FirstTask)
+
+    def seconds(n):
+        docs, times = [(i, False, b"w%d" % i) for i in range(n)], []
+        for _ in range(2):
+            start = time.thread_time()
+            assert [b.num_rows for b in chunked(docs)] == [n, n]
+            times.append(time.thread_time() - start)
+        return min(times)
+
+    assert seconds(80_000) < 20 * seconds(10_000)
+
+
+def test_dealt_windows_stay_in_their_document():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, lm.ALPHABET, n).astype(np.uint16) for n in (1, 8, 31, 32, 33, 56, 57, 400)]
+    marks = rng.integers(0, 2**63 - 1, len(docs))
+    got = lm.dealt_windows(np.concatenate(docs), np.array([len(d) for d in docs]), marks, 0, 1.0)
+    want = []
+    for d in docs:
+        padded = [lm.BEGIN, *d.tolist(), *[65535] * lm.WINDOW]
+        want += [padded[s : s + lm.WINDOW + 1] for s in range(0, lm.STRIDE * int(lm.windows_of(len(d))), lm.STRIDE)]
+    assert got.tolist() == want
+    for number in range(lm.ROUNDS):
+        one = [lm.training_windows(d, int(m), number, 0.3) for d, m in zip(docs, marks, strict=True)]
+        assert lm.dealt_windows(np.concatenate(docs), np.array([len(d) for d in docs]), marks, number, 0.3).tolist() == np.concatenate(one).tolist()
+
+
+def test_training_equals_adam_over_all_parameters(model):
+    """Rows of letters that a task has not met, or not met lately, move as plain Adam moves them."""
+    flat, counts = model
+    rng = np.random.default_rng(6)
+    blocks = [rng.integers(0, top, (4, lm.WINDOW + 1)).astype(np.uint16) for top in (40, 900, 5, 300, 4000)]
+    blocks[1][:, 0] = lm.BEGIN
+    blocks[2][0, 3:] = 65535
+    want, m, s = flat.astype(float), np.zeros(len(flat)), np.zeros(len(flat))
+    for t, block in enumerate(blocks, 1):
+        g = lm.gradient(lm.views(want.astype(np.float32)), counts, block)[0].astype(float)
+        m, s = 0.9 * m + 0.1 * g, 0.98 * s + 0.02 * g * g
+        want -= 1e-2 * math.sqrt(1 - 0.98**t) / (1 - 0.9**t) * m / (np.sqrt(s) + 1e-8)
+        for name in ("high", "low"):
+            w = lm.views(want)[name]
+            np.clip(w, -lm._WEIGHT, lm._WEIGHT, out=w)
+    got = lm.train(flat, counts, blocks, 1e-2)
+    assert np.allclose(got[0], want, atol=2e-4) and got[2] == sum(int((b[:, 1:] != 65535).sum()) for b in blocks)
+
+
+def test_ids_without_a_letter_are_spelled_in_bytes():
+    path = lm.vocabulary_path()
+    ids, byte_ids = lm._tokenizer(path)
+    words = [b"stone", b"internationalisation", b"\xff\xfe", "été".encode(), b"z" * 700]
+    made = next(lm._tokenized(path)([pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([1] * 5)], names=["word", "c"])]))
+    assert [np.frombuffer(x, np.int32).tolist() for x in made["ids"].to_pylist()] == [ids(w) for w in words]
+    counts = {i: 3 for i in ids(words[0])}
+    of = lm.alphabet(counts, 5, byte_ids)[0]
+    got = next(lm._spelled(path, SimpleNamespace(value=of))([made]))["letters"].to_pylist()
+    plain = [ids(w) if all(i < len(of) and of[i] >= 0 for i in ids(w)) else byte_ids[np.frombuffer(b" " + w, np.uint8)] for w in words]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in got] == [of[p].tolist() for p in plain]
+    assert len(got[0]) == 2 * len(ids(words[0])) and len(got[1]) == 2 * (len(words[1]) + 1)
