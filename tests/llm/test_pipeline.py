@@ -86,3 +86,20 @@ def test_run_is_reproducible(spark):
     digest = lambda rows: sorted((r.doc_id, hashlib.md5(repr(r.ids).encode()).hexdigest()) for r in rows)
     one, two = (digest(entry.queries()["pipeline"](spark, SF).collect()) for _ in range(2))
     assert one and one == two
+
+
+def test_rows_without_doc_id_are_deduplicated(spark):
+    """Of copies and near copies without doc_id one row stays, and a chain goes through them."""
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    one, two = rnd.choices(words, k=100), rnd.choices(words, k=60)
+    middle, far = one[10:] + ["x1", "x2"], one[18:] + ["x1", "x2"]
+    sets = [plain_shingles(" ".join(t)) for t in (one, middle, far)]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
+    texts = [(1, one), (2, far), (None, middle), (None, two), (None, two), (None, [*two, "tail"]), (None, rnd.choices(words, k=30))]
+    texts += [(3, rnd.choices(words, k=30))]
+    rows = [(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in texts] + [(None, None, "en", "s", 0), (None, "", "en", "s", 0), (None, " ", "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(map(tuple, cp.simhash_dedup(spark, df, SF).collect()), key=repr)
+    assert kept == sorted([rows[0], rows[2], rows[3], rows[6], rows[7], rows[8]], key=repr)
