@@ -198,3 +198,19 @@ def test_merges_guessed_in_the_wrong_order_change_places():
     overlap = {0: ([pair(0, 1), pair(1, 2)], [-7, -3])}
     of.hold([pair(1, 2), pair(0, 1)], [9, 7], True)
     assert of.replay([pair(0, 1), pair(1, 2)], overlap, [True, True], [5, 6]) == (0, True)
+
+
+def test_rounds_stay_few_when_most_words_are_not_held(spark, monkeypatch):
+    """Held words' changes follow the order of the turns, so most of a round's guesses count: 39 rounds before, 14 now."""
+    rng = np.random.default_rng(5)
+    units = ["th", "e", "on", "re", "a", "nd", "ing", "st", "o", "le", "ou", "r", "aa", "é", "s", "i", "tt"]
+    words = Counter("".join(rng.choice(units, rng.integers(1, 6))) for _ in range(7200))
+    rounds = []
+    replay = merges.Learner.replay
+    monkeypatch.setattr(merges.Learner, "replay", lambda *a: rounds.append(replay(*a)) or rounds[-1])
+    counts = spark.createDataFrame(sorted(words.items()), "word string, freq long")
+    _, few = vocab.train_bpe(counts, 4000, 1, words_per_task=700, held=20_000, head=900)
+    assert len(rounds) <= 20
+    rounds.clear()
+    _, all_ = vocab.train_bpe(counts, 4000, 1, held=20_000)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, all_.collect()))

@@ -3,8 +3,10 @@
 The distinct words are dealt to tasks as symbol arrays. The driver holds the most frequent pairs and a bounded number of the
 most frequent words. In a round it guesses the next merges by trying them on those words; every task applies them one after
 another to its own words, finding a pair's places by an index, and reports by how much each merge changes the counts of
-pairs. The driver replays the round with these changes, which are of all words, and takes the best pair at each turn: merges
-guessed in a wrong order change places unless a word holds them overlapping. It stops at a best pair that was not guessed or
+pairs. The driver replays the round with these changes, which are of all words, and takes the best pair at each turn. A word's
+changes don't depend on other words, so those of the words held are taken out of the sums and made anew in the order of the
+turns, with merges that no other word has, guessed or not. Of all others, merges guessed in a wrong order change places unless a word holds them overlapping; tasks send such words
+of merges that are guessed close to each other, which are held for the round. It stops at a best pair that was not guessed or
 has to stay behind. So the words held decide only how many merges a round gives, not which.
 
 Counts of pairs of old symbols only fall, and those of new symbols are all reported, so a pair that is not held can't be
@@ -16,9 +18,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from textloom.session import cut_lineage
 
 #: Pairs held at the driver, merges proposed in a round, merges before the words are written anew, words held for guesses.
 HELD, BATCH, KEEP, HEAD = 200_000, 2048, 512, 400_000
+#: Words with overlapping merges that tasks send in a round, and the share of its count that a later merge may be short of.
+SENT, CLOSE = 60_000, 0.3
 _END = 1 << 62
 
 
@@ -33,10 +39,20 @@ class Words:
     """Words of one task as linked symbols: merging closes the gap to the next symbol in place."""
 
     def __init__(self, symbols: list[np.ndarray], freq: np.ndarray):
-        size = np.array([len(s) for s in symbols], np.int64)
+        flat = np.concatenate(symbols) if len(symbols) else np.zeros(0, np.int32)
+        self._link(flat, np.array([len(s) for s in symbols], np.int64), freq)
+
+    @classmethod
+    def of(cls, flat: np.ndarray, size: np.ndarray, freq: np.ndarray) -> Words:
+        """From the words' symbols, one after another, and the words' sizes."""
+        words = cls.__new__(cls)
+        words._link(flat, size, freq)
+        return words
+
+    def _link(self, flat: np.ndarray, size: np.ndarray, freq: np.ndarray) -> None:
         self.end = np.cumsum(size)
         self.start = self.end - size
-        self.sym = np.concatenate(symbols).astype(np.int64) if len(symbols) else np.zeros(0, np.int64)
+        self.sym = flat.astype(np.int64)
         n = len(self.sym)
         self.word = np.repeat(np.arange(len(size)), size)
         self.freq = freq.astype(np.int64)
@@ -58,13 +74,23 @@ class Words:
         at = np.repeat(self.start[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return at[self.alive[at] & (self.next[at] >= 0)]
 
-    def merge(self, left: int, right: int, made: int) -> tuple[np.ndarray, np.ndarray]:
-        """(pair codes, changes of their counts) of one merge."""
-        code = left << 32 | right
+    def _places(self, code: int, later: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(self.index_codes, [code, code + 1])
-        at = np.concatenate([self.index[a:b], *self.later.pop(code, [])])
+        at = np.concatenate([self.index[a:b], *later])
         at = at[self.alive[at] & (self.next[at] >= 0)]
-        at = np.unique(at[self.codes(at) == code])
+        return np.unique(at[self.codes(at) == code])
+
+    def count(self, code: int) -> int:
+        """Occurrences of a pair."""
+        return int(self.freq[self.word[self._places(code, self.later.get(code, []))]].sum())
+
+    def merge(self, left: int, right: int, made: int, beside=None) -> tuple[np.ndarray, np.ndarray]:
+        """(pair codes, changes of their counts) of one merge.
+
+        ``beside`` is called with the codes of the pairs that overlap a merged one, and their words.
+        """
+        code = left << 32 | right
+        at = self._places(code, self.later.pop(code, []))
         if left == right and len(at):  # of a run of equal symbols, every second pair from its start
             run = np.concatenate([[True], self.next[at[:-1]] != at[1:]])
             first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
@@ -75,6 +101,10 @@ class Words:
         links = self._links(words)
         old, old_freq = self.codes(links), self.freq[self.word[links]]
         gone = self.next[at]
+        if beside is not None:
+            place = np.searchsorted(at, self.next[links])
+            over = np.concatenate([links[at[np.minimum(place, len(at) - 1)] == self.next[links]], gone[self.next[gone] >= 0]])
+            beside(self.codes(over), self.word[over])
         self.sym[at], self.next[at] = made, self.next[gone]
         self.alive[gone] = False
         links = self._links(words)
@@ -103,32 +133,71 @@ class Words:
     def words(self) -> list[np.ndarray]:
         return [self.sym[s:e][self.alive[s:e]] for s, e in zip(self.start, self.end, strict=True)]
 
+    def flat(self, which: np.ndarray, sym: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, sizes and frequencies of those words that are marked in ``which``, as ``sym`` and ``alive`` have them."""
+        at = np.flatnonzero(alive & which[self.word])
+        return sym[at], np.bincount(self.word[at], minlength=len(which))[which], self.freq[which]
+
+    def shorter(self) -> Words:
+        """The words that still have pairs, indexed anew."""
+        which = np.bincount(self.word[self.alive], minlength=len(self.freq)) > 1
+        return Words.of(*self.flat(which, self.sym, self.alive))
+
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Words:
-    symbols, freq = [], [np.zeros(0, np.int64)]
+    flat, size, freq = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for b in batches:
-        symbols += [np.frombuffer(x.as_py(), np.int32) for x in b.column(0)]
+        flat.append(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32))
+        size.append(np.asarray(pc.binary_length(b.column(0))).astype(np.int64) // 4)
         freq.append(b.column(1).to_numpy())
-    return Words(symbols, np.concatenate(freq))
+    return Words.of(*map(np.concatenate, (flat, size, freq)))
+
+
+def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The symbols of each word as bytes."""
+    ends = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype(np.int32))])
 
 
 _ROWS = 1 << 16
+_CHANGES = "step int, pair long, w binary, change long"
+
+
+class _Overlaps:
+    """Words of at most ``above`` occurrences in which a merge overlaps one of its step's ``rivals``, ``most`` words."""
+
+    def __init__(self, w: Words, rivals: list[np.ndarray], above: int, most: int):
+        self.rivals, self.most = rivals, most
+        self.rare, self.found, self.step = w.freq <= above, np.zeros(len(w.freq), bool), 0
+
+    def __call__(self, codes: np.ndarray, words: np.ndarray) -> None:
+        if self.most > 0 and len(self.rivals[self.step]):
+            words = np.unique(words[np.isin(codes, self.rivals[self.step]) & self.rare[words]])
+            words = words[~self.found[words]][: self.most]
+            self.found[words] = True
+            self.most -= len(words)
 
 
 def _changes(shared):
+    """Changes by step, and words that the driver shall hold, as step -1."""
+
     def batch(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         steps = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
-        columns = [steps, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["step", "pair", "change"])
+        pairs, change = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        columns = [pa.array(steps), pa.array(pairs), pa.nulls(len(steps), pa.binary()), pa.array(change)]
+        return pa.RecordBatch.from_arrays(columns, names=["step", "pair", "w", "change"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, proposed = shared.value
+        known, proposed, rivals, above, most = shared.value
         w = _read(batches)
         for m in known:
             w.merge(*m)
+        overlaps = _Overlaps(w, rivals, above, most)
+        sym, alive = w.sym.copy(), w.alive.copy()
         parts, rows = [], 0
         for step, m in enumerate(proposed):
-            codes, change = w.merge(*m)
+            overlaps.step = step
+            codes, change = w.merge(*m, overlaps)
             if len(codes):
                 parts.append((step, codes, change))
                 rows += len(codes)
@@ -137,6 +206,10 @@ def _changes(shared):
                 parts, rows = [], 0
         if parts:
             yield batch(parts)
+        if overlaps.found.any():
+            flat, size, freq = w.flat(overlaps.found, sym, alive)
+            columns = [pa.array(np.full(len(size), -1, np.int32)), pa.array(np.zeros(len(size), np.int64)), _binary(flat, size), pa.array(freq)]
+            yield pa.RecordBatch.from_arrays(columns, names=["step", "pair", "w", "change"])
 
     return run
 
@@ -146,11 +219,9 @@ def _merged(shared):
         w = _read(batches)
         for m in shared.value:
             w.merge(*m)
-        made = [x.astype(np.int32).tobytes() for x in w.words()]
-        keep = np.array([len(x) > 4 for x in made], bool)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, k in zip(made, keep, strict=True) if k], pa.binary()), pa.array(w.freq[keep])], names=["w", "freq"]
-        )
+        which = np.bincount(w.word[w.alive], minlength=len(w.freq)) > 1
+        flat, size, freq = w.flat(which, w.sym, w.alive)
+        yield pa.RecordBatch.from_arrays([_binary(flat, size), pa.array(freq)], names=["w", "freq"])
 
     return run
 
@@ -164,6 +235,11 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], names=["pair", "n"])
 
 
+def _add(found: dict[int, int], codes: np.ndarray, change: np.ndarray) -> None:
+    for p, c in zip(codes.tolist(), change.tolist(), strict=True):
+        found[p] = found.get(p, 0) + c
+
+
 class Learner:
     """The pairs held at the driver: those that rank up to ``last``, which come before all others.
 
@@ -188,26 +264,42 @@ class Learner:
         heapq.heapify(heap)
         return heap
 
-    def guess(self, words: Words, number: int, name) -> tuple[list[tuple[int, int, int]], list[bool]]:
+    def guess(self, words: Words, number: int, name, more: Iterable[Words] = ()) -> tuple[list[tuple[int, int, int]], list[bool]]:
         """Up to ``number`` merges (left, right, symbol) that are likely next, and whether each symbol is new.
 
-        They are applied to ``words``, a part of all words; a pair's changes there stand for all in proportion.
+        They are applied to ``words`` and ``more``, a part of all words; a pair's changes there stand for all in proportion.
+        ``tried`` holds the merges' changes in ``words``, ``rivals`` for each the pairs that it may have to change places with:
+        those of a count near its own. Pairs that lost such a count to it and were not guessed come last.
         """
         counts, heap = dict(self.counts), self.heap()
         steps, new = [], []
+        self.tried: list[tuple[np.ndarray, np.ndarray]] = []
+        at, lost = [], []
+
+        def merge(pair: int) -> dict[int, int]:
+            made, is_new = name(pair >> 32, pair & 0xFFFFFFFF)
+            steps.append((pair >> 32, pair & 0xFFFFFFFF, made))
+            new.append(is_new)
+            self.tried.append(words.merge(*steps[-1]))
+            found: dict[int, int] = {}
+            _add(found, *self.tried[-1])
+            for w in more:
+                _add(found, *w.merge(*steps[-1]))
+            return found
+
         while heap and len(steps) < number:
             n, pair = heapq.heappop(heap)
             if counts.get(pair, 0) != -n:
                 continue
-            made, is_new = name(pair >> 32, pair & 0xFFFFFFFF)
-            steps.append((pair >> 32, pair & 0xFFFFFFFF, made))
-            new.append(is_new)
-            codes, change = words.merge(*steps[-1])
-            here = -dict(zip(codes.tolist(), change.tolist(), strict=True)).get(pair, 0)
+            found = merge(pair)
+            at.append(-n)
+            near = -n * (1 - CLOSE) - 2
+            lost.append([p for p, c in found.items() if c < 0 and p != pair and counts.get(p, 0) >= near])
+            here = -found.get(pair, 0)
             del counts[pair]
             if here <= 0:
                 continue
-            for p, c in zip(codes.tolist(), np.rint(change * (-n / here)).astype(np.int64).tolist(), strict=True):
+            for p, c in zip(found, np.rint(np.array(list(found.values())) * (-n / here)).astype(np.int64).tolist(), strict=True):
                 if p == pair or (c < 0 and p not in counts):
                     continue
                 n_p = counts.get(p, 0) + c
@@ -216,36 +308,71 @@ class Learner:
                     heapq.heappush(heap, (-n_p, p))
                 else:
                     counts.pop(p, None)
+        pairs = [a << 32 | b for a, b, _ in steps]
+        below = np.array(at)
+        upto = [int(np.flatnonzero(below[i:] >= x * (1 - CLOSE) - 2)[-1]) + i + 1 for i, x in enumerate(at)]
+        self.rivals = [np.array([*pairs[i + 1 : k], *more_], np.int64) for i, (k, more_) in enumerate(zip(upto, lost, strict=True))]
+        own = set(pairs)
+        for pair in dict.fromkeys(chain.from_iterable(lost)):
+            if pair not in own and len(steps) < 2 * number:
+                merge(pair)
+                self.rivals.append(np.zeros(0, np.int64))
         return steps, new
 
     def replay(
-        self, proposed: list[int], changes: dict[int, tuple], new: list[bool], made: list[int] | None = None
+        self, proposed: list[int], changes: dict[int, tuple], new: list[bool], made: list[int] | None = None,
+        words: Iterable[Words] = (), name=None, most: int | None = None,
     ) -> tuple[int, bool]:
         """How many of the proposed merges were each the first at their turn, and whether the next is known then.
 
         ``changes`` gives each step's (pairs, changes): all of them where the step makes an old symbol. The next is not known
         when pairs that are not held may have a count as high as the best. With ``made``, the steps' symbols, and all changes,
         a step may be taken before earlier ones that it can change places with. ``taken`` holds the steps in the order of
-        their turns; new symbols are numbered in that order in the counts.
+        their turns; new symbols are numbered in that order in the counts. ``words`` are merged in that order, too, and their
+        changes come on top of ``changes``; a best pair that only they hold is merged without having been proposed.
+        ``name(left, right)`` gives a merge's symbol, whether it is new, and the steps' symbol of the same token. ``merged`` holds
+        all merges (left, right, symbol). It ends after ``most`` new symbols.
         """
         heap = self.heap()
         loose = max(self.loose.values(), default=0)
         self.taken: list[int] = []
+        self.merged: list[tuple[int, int, int]] = []
         steps = _Steps(proposed, changes, new, made)
-        while steps.open:
+        while steps.open and most != 0:
             while heap and self.counts.get(heap[0][1], 0) != -heap[0][0]:
                 heapq.heappop(heap)
             if heap and loose >= -heap[0][0]:
                 return len(self.taken), False
-            step = steps.at.get(heap[0][1]) if heap else None
-            if step is None or not steps.first(step):
+            if not heap:
+                return len(self.taken), True
+            best = heap[0][1]
+            step, found = steps.at.get(best), {}
+            if step is not None:
+                if not steps.first(step):
+                    return len(self.taken), True
+                self.taken.append(step)
+            elif not words or sum(w.count(best) for w in words) != self.counts[best]:
                 return len(self.taken), True
-            self.taken.append(step)
-            for p, change in steps.take(step):
+            if name is not None:
+                symbol, is_new, same = name(best >> 32, best & 0xFFFFFFFF)
+                self.merged.append((best >> 32, best & 0xFFFFFFFF, symbol))
+                steps.name(same, symbol)
+            else:
+                is_new = new[step]
+                steps.number(step)
+            if most is not None:
+                most -= is_new
+            if step is not None:
+                found = dict(steps.take(step))
+            for w in words:
+                _add(found, *w.merge(*self.merged[-1]))
+            for p, change in found.items():
+                if not change:
+                    continue
                 if p not in self.counts:
                     if change < 0:
                         continue
-                    if not new[step]:
+                    if not is_new:
                         self.loose[p] = self.loose.get(p, -self.last[0]) + change
                         loose = max(loose, self.loose[p])
                         continue
@@ -291,6 +418,8 @@ class _Steps:
         a, b, x = self.proposed[i] >> 32, self.proposed[i] & 0xFFFFFFFF, self.made[i]
         c, d, y = self.proposed[j] >> 32, self.proposed[j] & 0xFFFFFFFF, self.made[j]
         before, after = self.changes.setdefault(i, {}), self.changes.setdefault(j, {})
+        if not before:
+            return True
         if x in (c, d, y) or before.get(self.proposed[j], 0):
             return False
         met = [((x, c), (b, c)), ((x, y), (b, y)), ((d, x), (d, a)), ((y, x), (y, a))]
@@ -304,18 +433,27 @@ class _Steps:
                 before[k] = before.get(k, 0) + v
         return True
 
+    def number(self, step: int) -> None:
+        """Number a step's symbol, if it is new, by the turns."""
+        if self.made is not None and self.new[step]:
+            self.name(self.made[step], self.next)
+            self.next += 1
+
+    def name(self, symbol: int | None, number: int) -> None:
+        """Number a symbol of the steps, which makes its users known."""
+        if self.names.get(symbol, number) is None:
+            self.names[symbol] = number
+            for i in self.users.get(symbol, ()):
+                if None not in (self.names.get(s, s) for s in (self.proposed[i] >> 32, self.proposed[i] & 0xFFFFFFFF)):
+                    self.at.setdefault(self._named(self.proposed[i]), i)
+
     def _named(self, pair: int) -> int:
         left, right = pair >> 32, pair & 0xFFFFFFFF
         return self.names.get(left, left) << 32 | self.names.get(right, right)
 
     def take(self, step: int) -> list[tuple[int, int]]:
-        """The step's (pairs, changes), its symbol being numbered now."""
+        """The step's (pairs, changes), its symbol being numbered."""
         self.open.remove(step)
-        if self.made is not None and self.new[step]:
-            self.names[self.made[step]], self.next = self.next, self.next + 1
-            for i in self.users.get(self.made[step], ()):
-                if None not in (self.names.get(s, s) for s in (self.proposed[i] >> 32, self.proposed[i] & 0xFFFFFFFF)):
-                    self.at.setdefault(self._named(self.proposed[i]), i)
         return [(self._named(p), change) for p, change in self.changes.pop(step, {}).items() if change]
 
 
@@ -325,10 +463,10 @@ def learn(
     """The merges (left, right) in order, at most until ``name`` has given ``wanted`` new symbols.
 
     ``state`` has a row for each word: w (its symbols as 32-bit integers) and freq. ``name(left, right)`` gives the symbol
-    that a merge makes and whether it is new; ``name.undo(n)`` takes back the last n new ones. The driver holds ``held``
+    that a merge makes and whether it is new; ``name.undo(n)`` takes back the last n new ones, ``name.tokens`` holds all. The driver holds ``held``
     pairs and the ``head`` most frequent words.
     """
-    words = _read(state.orderBy(F.desc("freq"), "w").limit(head).toArrow().to_batches())
+    words, some, above = _most_frequent(state, head)
     learner, merges, known, batch, counted = Learner(least), [], [], min(256, most), False
     while wanted > 0:
         if not counted:
@@ -339,45 +477,63 @@ def learn(
             counted = True
             if not len(top):
                 break
-        tried = words.copy()
-        steps, new = learner.guess(tried, min(batch, wanted), name)
+        steps, new = learner.guess(words.copy(), min(batch, wanted), name, [some.copy()])
         if not steps:
             counted = False
             if learner.last[1] == _END and not learner.loose:
                 break
             continue
-        shared = state.sparkSession.sparkContext.broadcast((known, steps))
-        found = state.mapInArrow(_changes(shared), "step int, pair long, change long")
-        found = found.groupBy("step", "pair").agg(F.sum("change").alias("change"))
+        each = -(-SENT // state.rdd.getNumPartitions())
+        shared = state.sparkSession.sparkContext.broadcast((known, steps, learner.rivals, above, each))
+        found = state.mapInArrow(_changes(shared), _CHANGES)
+        found = found.groupBy("step", "pair", "w").agg(F.sum("change").alias("change"))
         found = found.where(F.col("change") != 0).toArrow()
         shared.destroy()
+        sent = found.filter(pc.equal(found["step"], -1)).select(["w", "change"])
+        held_now = _read(sent.to_batches())
+        again = held_now.copy()
         step, pair, change = (found[c].to_numpy() for c in ("step", "pair", "change"))
         order = np.argsort(step, kind="stable")
         step, pair, change = step[order], pair[order], change[order]
         cuts = np.searchsorted(step, np.arange(len(steps) + 1))
-        changes = {i: (pair[a:b].tolist(), change[a:b].tolist()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
-        _, counted = learner.replay([a << 32 | b for a, b, _ in steps], changes, new, [m for _, _, m in steps])
+        changes = {}
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            rest = dict(zip(pair[a:b].tolist(), change[a:b].tolist(), strict=True))
+            for codes, own in (learner.tried[i], again.merge(*steps[i])):
+                _add(rest, codes, -own)
+            rest = {p: c for p, c in rest.items() if c}
+            changes[i] = (list(rest), list(rest.values()))
+        fresh = {name.tokens[m]: m for (_, _, m), is_new in zip(steps, new, strict=True) if is_new}
         name.undo(sum(new))
-        taken = []
-        number = dict(zip((steps[i][2] for i in learner.taken if new[i]), sorted(s[2] for s, n in zip(steps, new, strict=True) if n)))
-        for i in learner.taken:
-            left, right = (number.get(s, s) for s in steps[i][:2])
+
+        def final(left: int, right: int) -> tuple[int, bool, int | None]:
             made, is_new = name(left, right)
-            taken.append((left, right, made))
-            wanted -= is_new
+            return made, is_new, fresh.get(name.tokens[made])
+
+        before = len(name.tokens)
+        pairs, symbols = [a << 32 | b for a, b, _ in steps], [m for _, _, m in steps]
+        _, counted = learner.replay(pairs, changes, new, symbols, (words, held_now), final, wanted)
+        taken = learner.merged
+        wanted -= len(name.tokens) - before
         merges += [s[:2] for s in taken]
         known += taken
-        if taken == steps:
-            words = tried
-        else:
-            for s in taken:
-                words.merge(*s)
+        for s in taken:
+            some.merge(*s)
         batch = min(most, max(256, 2 * len(taken)))
         if len(known) > keep and counted:
             state, known = _applied(state, known), []
+            words, some = words.shorter(), some.shorter()
     return merges
 
 
+def _most_frequent(state: DataFrame, head: int) -> tuple[Words, Words, int]:
+    """At most ``head`` words: all of more than so many occurrences, some that have just as many, and that number."""
+    top = state.orderBy(F.desc("freq"), "w").limit(head + 1).toArrow()
+    above = pc.min(top["freq"]).as_py() if len(top) > head else 0
+    more = pc.greater(top["freq"], above)
+    return *(_read(top.filter(x).to_batches()) for x in (more, pc.invert(more))), above
+
+
 def _applied(state: DataFrame, known: list[tuple[int, int, int]]) -> DataFrame:
     """The words after the merges, written."""
     if not known:
