@@ -214,3 +214,25 @@ def test_rounds_stay_few_when_most_words_are_not_held(spark, monkeypatch):
     rounds.clear()
     _, all_ = vocab.train_bpe(counts, 4000, 1, held=20_000)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, all_.collect()))
+
+
+def test_words_and_ids_stay_in_arrays(spark):
+    """Splitting and decoding make no row of a token; null and empty arrays, repeated and null keys, unknown ids."""
+    v = spark.createDataFrame([(t, i, 0.0, "piece") for i, t in enumerate(["a", "b", "ab", "c", "abc"], 7)], "token string, id int, score double, kind string")
+    ranks = spark.createDataFrame([(0, "a", "b"), (1, "ab", "c")], "rank int, left string, right string")
+    rows = [(1, ["abc", "ab?", "abab"]), (2, None), (3, []), (None, ["cab"]), (1, ["b", "b", "b", "b", "b", "b"]), (4, [""])]
+    df = spark.createDataFrame(rows, "k int, w array<string>").coalesce(1)
+    tokens = df.select("k", encode.bpe_splitter(v, ranks)(F.col("w")).alias("tokens"))
+    want = [(1, ["abc", "ab", "[UNK]", "ab", "ab"]), (2, None), (3, []), (None, ["c", "ab"]), (1, ["b"] * 6), (4, [])]
+    assert [(r.k, r.tokens) for r in tokens.collect()] == want
+    ids = spark.createDataFrame([(1, [11, 9, 99]), (1, [8]), (None, [7]), (2, None), (3, [])], "k int, ids array<int>")
+    back = encode.ids_to_tokens(ids, v, ["k"])
+    assert {r.k: r.tokens for r in back.collect()} == {1: ["abc", "b", "ab", "[UNK]"], None: ["a"]}
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_words_are_split_in_as_many_tasks_as_they_need(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1) for i in range(50)], "word string, freq long").coalesce(1)
+    split = encode.split_counts(counts, lambda w: w, words_per_task=10)
+    assert split.rdd.getNumPartitions() == 5 and sorted(r.tokens[0] for r in split.collect()) == sorted(f"w{i}" for i in range(50))

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from textloom.functions.words import UNK, hide_bytes
-from textloom.operators.vocab import model_rows
+from textloom.operators.vocab import model_rows, tasks_for
 
 _REMEMBERED = 1 << 18
 
@@ -52,12 +52,24 @@ def _encode_arrays(rows: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFr
             b = b.filter(pc.fill_null(pc.greater(pc.list_value_length(b.column("ids")), 0), False))
             lists = b.column("ids")
             found = pc.fill_null(ids.take(pc.index_in(lists.flatten().cast(pa.string()), value_set=known)), UNK)
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int32)
-            offsets = pa.array(np.concatenate([np.zeros(1, np.int32), ends]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, found)], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(lists, found)], names=b.schema.names)
+
+    return _put_together(rows.mapInArrow(run, schema), schema, keys, lambda k: k)
+
+
+def _lists(like: pa.Array, values: pa.Array) -> pa.Array:
+    """Arrays of the same lengths with other values."""
+    ends = np.cumsum(pc.list_value_length(like).to_numpy(zero_copy_only=False), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), values)
+
+
+def _put_together(found: DataFrame, schema: StructType, keys: list[str], order) -> DataFrame:
+    """(keys, ids) with one row for the keys: ids by their places, those of one place by ``order``."""
 
     def joined(lists: list) -> list:
-        return lists[0] if len(lists) == 1 else [x for _, x in sorted(p for ids in lists for p in enumerate(ids))]
+        if len(lists) == 1:
+            return lists[0]
+        return [x for _, x in sorted((p for ids in lists for p in enumerate(ids)), key=lambda p: (p[0], order(p[1])))]
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows, those of the same keys as one; the last one of a batch may go on in the next."""
@@ -86,8 +98,7 @@ def _encode_arrays(rows: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFr
         if held:
             yield _row_batch([(*last, joined(held))], out)
 
-    found = rows.mapInArrow(run, schema).repartition(*keys).sortWithinPartitions(*keys)
-    return found.mapInArrow(together, schema)
+    return found.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(together, schema)
 
 
 def _row_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -100,21 +111,20 @@ class _MergeModel:
         self.ranks = {(a, b): (i, a + b) for i, (a, b) in enumerate(merges)}
 
     def __call__(self, word: str) -> list:
-        rank = self.ranks
         symbols = [c if c in self.tokens else "[UNK]" for c in word]
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:]), key=lambda p: rank.get(p, (math.inf,))[0])
-            if best not in rank:
-                break
-            made, out, i = rank[best][1], [], 0
+        found = list(map(self.ranks.get, zip(symbols, symbols[1:])))  # (rank, merged) of each pair, or None
+        while any(found):
+            best = min(filter(None, found))
+            out, i = [], 0
             while i < len(symbols):
-                if tuple(symbols[i:i + 2]) == best:
-                    out.append(made)
+                if i < len(found) and found[i] == best:
+                    out.append(best[1])
                     i += 2
                 else:
                     out.append(symbols[i])
                     i += 1
             symbols = out
+            found = list(map(self.ranks.get, zip(symbols, symbols[1:])))
         return symbols
 
 
@@ -166,28 +176,33 @@ class _BestPath:
 
 
 def _split_words(build, data: tuple, spark):
-    """Arrow function array<word> -> array<token>; every task builds its model once."""
+    """Arrow function array<word> -> array<token>; every task builds its model once and splits a batch's words once each."""
     shared = spark.sparkContext.broadcast(data)
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, seen = build(*shared.value), {}
-
-        def one(words):
-            if words is None:
-                return None
-            out = []
-            for w in words:
-                got = seen.get(w)
-                if got is None:
-                    if len(seen) >= _REMEMBERED:
-                        seen.clear()
-                    got = seen[w] = model(w)
-                out.extend(got)
-            return out
-
-        for batch in batches:
-            yield batch.map(one)
+    @F.arrow_udf(ArrayType(StringType()))
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, seen, codes = build(*shared.value), {}, {}
+
+        def one(word: str) -> list[int]:
+            got = seen.get(word)
+            if got is None:
+                if len(seen) >= _REMEMBERED:
+                    seen.clear()
+                got = seen[word] = [codes.setdefault(t, len(codes)) for t in model(word)]
+            return got
+
+        for lists in batches:
+            words = lists.flatten().dictionary_encode()
+            made = [one(w) for w in words.dictionary.to_pylist()]
+            size = np.array([len(x) for x in made], np.int64)
+            flat = np.fromiter(chain.from_iterable(made), np.int64, size.sum())
+            first, place = np.cumsum(size) - size, words.indices.to_numpy()
+            n = size[place]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            found = flat[np.repeat(first[place] - upto[:-1], n) + np.arange(upto[-1])]
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            offsets = pa.array(upto[ends.astype(np.int64)].astype(np.int32), pa.int32(), mask=np.append(pc.is_null(lists).to_numpy(zero_copy_only=False), False))
+            yield pa.ListArray.from_arrays(offsets, pa.array(list(codes), pa.string()).take(pa.array(found)))
 
     return split
 
@@ -204,6 +219,12 @@ def wordpiece_splitter(vocab: DataFrame, prefix: str = "", longest_word: int | N
     return _split_words(_LongestMatch, (tokens, prefix, longest_word), vocab.sparkSession)
 
 
+def split_counts(counts: DataFrame, splitter, words_per_task: int = 100_000) -> DataFrame:
+    """(tokens, freq) from (word, freq); few bytes of words are much work, so they are dealt by their number."""
+    dealt = counts.repartition(tasks_for(counts.count(), words_per_task), "word")
+    return dealt.select(splitter(F.array("word")).alias("tokens"), "freq")
+
+
 def unigram_splitter(vocab: DataFrame):
     scores = {r["token"]: r["score"] for r in model_rows(vocab.where("kind <> 'special'").select("token", "score"))}
     return _split_words(_BestPath, (scores,), vocab.sparkSession)
@@ -215,13 +236,26 @@ def tokens_to_ids(tokens: DataFrame, vocab: DataFrame, keys: list[str]) -> DataF
 
 
 def ids_to_tokens(encoded: DataFrame, vocab: DataFrame, keys: list[str], ids: str = "ids") -> DataFrame:
-    """(keys, tokens) from (keys, ids array)."""
-    known = vocab.select("token", "id")
-    rows = encoded.select(*keys, F.posexplode(ids).alias("pos", "id")).join(known, "id", "left")
-    named = F.struct("pos", F.coalesce("token", F.lit("[UNK]")).alias("token"))
-    return rows.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(named)), lambda s: s["token"]).alias("tokens")
-    )
+    """(keys, tokens) from (keys, ids array); ids of the same keys are put together by their places, no id becomes a row."""
+    model = model_rows(vocab.select("token", "id"))
+    shared = encoded.sparkSession.sparkContext.broadcast(([r["token"] for r in model], [r["id"] for r in model]))
+    rows = encoded.select(*keys, F.col(ids).cast(ArrayType(IntegerType())).alias("ids")).where(F.size("ids") > 0)
+    fields = rows.select(*keys).schema.fields
+    named = {}
+
+    def order(k: int | None) -> str:
+        if not named:
+            named.update(zip(*reversed(shared.value), strict=True))
+        return named.get(k, "[UNK]")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, known = pa.array(shared.value[0], pa.string()), pa.array(shared.value[1], pa.int32())
+        for b in batches:
+            found = pc.fill_null(tokens.take(pc.index_in(b.column("ids").flatten(), value_set=known)), "[UNK]")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(b.column("ids"), found)], names=[*b.schema.names[:-1], "tokens"])
+
+    whole = _put_together(rows, rows.schema, keys, order)
+    return whole.mapInArrow(run, StructType([*fields, StructField("tokens", ArrayType(StringType(), False))]))
 
 
 def join_tokens(tokens: Column, byte_level: bool = False) -> Column:

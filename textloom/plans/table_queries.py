@@ -13,7 +13,7 @@ from textloom.operators import detok, encode, evalsets, examples, markup, metric
 from textloom.operators import lines as ln
 from textloom.operators.ordered import DOCUMENT_LINES, LineOrder
 from textloom.plans import corpora
-from textloom.session import spread
+from textloom.session import cut_lineage, spread
 
 _PAGE_LINES = LineOrder(("page_id",), "pos", (), ())
 _ONE_DOC = LineOrder(("doc_id",), "pos", (), ())
@@ -328,7 +328,7 @@ def encode_wordlevel(spark, sf):
 
 
 def _trained_bpe(spark, sf):
-    counts = _word_counts(spark, sf)
+    counts = cut_lineage(_word_counts(spark, sf))
     return counts, *vocab.train_bpe(counts, vocab_size=BPE_SIZE)
 
 
@@ -344,8 +344,7 @@ def bpe_merges(spark, sf):
 def bpe_token_frequencies(spark, sf):
     """Subword frequencies from word counts and the encodings of distinct words."""
     counts, v, merges = _trained_bpe(spark, sf)
-    split = encode.bpe_splitter(v, merges)
-    return vocab.token_frequencies(counts.select(split(F.array("word")).alias("tokens"), "freq"))
+    return vocab.token_frequencies(encode.split_counts(counts, encode.bpe_splitter(v, merges)))
 
 
 def subword_decoded(spark, sf):
@@ -359,9 +358,8 @@ def subword_decoded(spark, sf):
 
 def wordpiece_tokens(spark, sf):
     """Byte-level words with single digits, a WordPiece vocabulary, and its subword frequencies."""
-    counts = byte_level_counts(spark, sf)
-    split = encode.wordpiece_splitter(vocab.train_wordpiece(counts))
-    return vocab.token_frequencies(counts.select(split(F.array("word")).alias("tokens"), "freq"))
+    counts = cut_lineage(byte_level_counts(spark, sf))
+    return vocab.token_frequencies(encode.split_counts(counts, encode.wordpiece_splitter(vocab.train_wordpiece(counts))))
 
 
 def unigram_pieces(spark, sf):
