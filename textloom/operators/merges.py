@@ -31,7 +31,7 @@ from textloom.session import cut_lineage
 #: Pairs held at the driver, merges proposed in a round, merges before the words are written anew, words held for guesses.
 HELD, BATCH, KEEP, HEAD = 200_000, 2048, 512, 400_000
 #: Words with overlapping merges that tasks send in a round, and the share of its count that a later merge may be short of.
-SENT, CLOSE = 60_000, 0.3
+SENT, CLOSE = 120_000, 0.15
 _END = 1 << 62
 
 
